@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from quadloom.operators.frequency import distinct_profile, modes
-from quadloom.operators.wide import Attribute, attributes_to_wide, trimmed, whole_number, xsd_boolean, xsd_calendar_date
+from quadloom.operators.wide import Attribute, attributes_to_wide
 
 SCHEMA = "http://kb.example/schema#"
 RDF_TYPE = "http://www.w3.org/1999/02/22-rdf-syntax-ns#type"
@@ -44,17 +44,15 @@ FILM_COLUMNS = ("label_en", "runtime", "votes", "rating100", "released", "colour
 
 
 def film_attributes() -> tuple[dict[str, int], list[Attribute]]:
-    lex, literal, iri = F.col("lex"), F.col("kind") == 2, F.col("kind") == 1
-    only = lambda c, when: F.when(when, c)
-    english = literal & (F.lower(F.col("lang")) == "en")
+    literal, iri = F.col("kind") == 2, F.col("kind") == 1
     attributes = [
-        Attribute("label_en", "string", text=lambda: only(trimmed(lex), english & (trimmed(lex) != ""))),
-        Attribute("runtime", "bigint", number=lambda: only(whole_number(lex), literal)),
-        Attribute("votes", "bigint", number=lambda: only(whole_number(lex), literal)),
-        Attribute("rating100", "bigint", number=lambda: only(whole_number(lex, 2), literal)),
-        Attribute("released", "string", text=lambda: only(xsd_calendar_date(lex), literal)),
-        Attribute("colour", "bigint", number=lambda: only(xsd_boolean(lex), literal)),
-        Attribute("n_genres", "bigint", text=lambda: only(lex, iri), count=True),
+        Attribute("label_en", "string", "text", literal & (F.lower(F.col("lang")) == "en")),
+        Attribute("runtime", "bigint", "number", literal),
+        Attribute("votes", "bigint", "number", literal),
+        Attribute("rating100", "bigint", "number", literal, shift=2),
+        Attribute("released", "string", "date", literal),
+        Attribute("colour", "bigint", "boolean", literal),
+        Attribute("n_genres", "bigint", "text", iri, count=True),
     ]
     predicates = [RDFS_LABEL, *(SCHEMA + x for x in ("runtime", "votes", "rating", "initial_release_date", "in_colour", "genre"))]
     return {p: i for i, p in enumerate(predicates)}, attributes
@@ -66,7 +64,7 @@ def p2_found(spark: SparkSession, d: str) -> DataFrame:
     films = flat.where((F.col("p") == RDF_TYPE) & (F.col("kind") == 1) & (F.col("lex") == SCHEMA + "Film"))
     rows = flat.where(F.col("p").isin(list(position)) & F.col("lex").isNotNull())
     at = F.coalesce(*[F.when(F.col("p") == p, F.lit(i)) for p, i in position.items()])
-    return attributes_to_wide(rows, films, "s", at, attributes, "s")
+    return attributes_to_wide(rows, films, "s", "lex", at, attributes, "s")
 
 
 _BLANK = r"^[ \t\n\r\f\v]+|[ \t\n\r\f\v]+$"
