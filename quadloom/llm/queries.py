@@ -5,6 +5,17 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 
 from quadloom.llm.components import group_pairs
+from quadloom.llm.lookalike import canonical_text, lookalike_pairs
+
+
+def p3_found(spark: SparkSession, d: str) -> DataFrame:
+    return lookalike_pairs(spark.read.parquet(f"{d}/label_literals.parquet"), "lit_id", "lex", "lang", "lit_a", "lit_b")
+
+
+def p3_forms(spark: SparkSession, d: str) -> DataFrame:
+    """Every label with the canonical form of its text and its language tag."""
+    t = spark.read.parquet(f"{d}/label_literals.parquet").select("lit_id", "lex", "lang")
+    return canonical_text(t, {"lex": "lex_form", "lang": "lang_form"}).select("lit_id", "lex_form", "lang_form")
 
 
 def p4_found(spark: SparkSession, d: str) -> DataFrame:
@@ -17,5 +28,5 @@ r AS (SELECT a AS node, a AS g FROM e UNION SELECT e.b, r.g FROM r JOIN e ON e.a
 SELECT node, min(g) AS group_id FROM r GROUP BY node
 """
 
-QUERIES = {"p4_found": p4_found}
+QUERIES = {"p3_found": p3_found, "p3_forms": p3_forms, "p4_found": p4_found}
 SQL: dict[str, str] = {}
