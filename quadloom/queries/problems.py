@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from quadloom.operators.frequency import distinct_profile, modes
+from quadloom.operators.instants import normalise_instants
 from quadloom.operators.wide import Attribute, attributes_to_wide
 
 SCHEMA = "http://kb.example/schema#"
@@ -67,6 +68,15 @@ def p2_found(spark: SparkSession, d: str) -> DataFrame:
     return attributes_to_wide(rows, films, "s", "lex", at, attributes, "s")
 
 
+def p5_instants(spark: SparkSession, d: str) -> DataFrame:
+    """Every time literal with its instant, how it was read, and whether it is certain."""
+    return normalise_instants(spark.read.parquet(f"{d}/time_literals.parquet"), spark.read.parquet(f"{d}/graph_zones.parquet"), "lit_id", "g", "lex")
+
+
+def p5_found(spark: SparkSession, d: str) -> DataFrame:
+    return p5_instants(spark, d).where("resolved").select("lit_id", "instant_us")
+
+
 _BLANK = r"^[ \t\n\r\f\v]+|[ \t\n\r\f\v]+$"
 _NUMERAL = r"^[+-]?([0-9]+(\.[0-9]*)?|\.[0-9]+)([eE][+-]?[0-9]+)?$"
 _DATE = r"^[0-9]{4}-[0-9]{2}-[0-9]{2}(T(([01][0-9]|2[0-3]):[0-5][0-9]:[0-5][0-9](\.[0-9]+)?|24:00:00(\.0+)?))?(Z|[+-]((0[0-9]|1[0-3]):[0-5][0-9]|14:00))?$"
@@ -89,5 +99,5 @@ SELECT films.s AS s,
 FROM films JOIN flat ON flat.s = films.s GROUP BY films.s
 """
 
-QUERIES = {"p1_found": p1_found, "p1_modes": p1_modes, "p2_found": p2_found}
+QUERIES = {"p1_found": p1_found, "p1_modes": p1_modes, "p2_found": p2_found, "p5_found": p5_found, "p5_instants": p5_instants}
 SQL = {"p1_found": P1_SQL, "p1_modes": P1_MODES_SQL, "p2_found": P2_SQL}
