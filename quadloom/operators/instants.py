@@ -223,7 +223,7 @@ def normalise_instants(df: DataFrame, zones: DataFrame, key: str, source: str, l
     read = rows.mapInPandas(_read_batches, f"_key {key_type}, _g string, _readings array<struct<notation:string, us:bigint>>")
     read = read.withColumn("_which", F.transform("_readings", lambda r: r["notation"]))
     kinds = read.where(F.size("_which") > 0).groupBy("_g", "_which").agg(F.count(F.lit(1)).alias("n"))
-    fitted = kinds.groupBy("_g").applyInPandas(mixture_posteriors, "_g string, _which array<string>, _p array<double>")
+    fitted = kinds.groupBy("_g").applyInPandas(lambda pdf: mixture_posteriors(pdf), "_g string, _which array<string>, _p array<double>")
     fitted = fitted.select(F.col("_g").alias("_fg"), F.col("_which").alias("_fw"), "_p")
     joined = read.join(fitted, F.col("_g").eqNullSafe(F.col("_fg")) & (F.col("_which") == F.col("_fw")), "left")
     best = F.array_max(F.zip_with("_p", "_readings", lambda p, r: F.struct(p.alias("p"), r["notation"].alias("notation"), r["us"].alias("us"))))
