@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 from quadloom.llm.components import group_pairs
 from quadloom.llm.lookalike import canonical_text, lookalike_pairs
+from quadloom.llm.tokens import encode_corpus
 
 
 def p3_found(spark: SparkSession, d: str) -> DataFrame:
@@ -22,11 +23,15 @@ def p4_found(spark: SparkSession, d: str) -> DataFrame:
     return group_pairs(spark.read.parquet(f"{d}/same_links.parquet"), "s", "o")
 
 
+def p6_ids(spark: SparkSession, d: str) -> DataFrame:
+    return encode_corpus(spark.read.parquet(f"{d}/documents.parquet"), "doc_id", "text")
+
+
 P4_SQL = """
 WITH RECURSIVE e AS (SELECT s AS a, o AS b FROM same_links WHERE s IS NOT NULL AND o IS NOT NULL UNION SELECT o, s FROM same_links WHERE s IS NOT NULL AND o IS NOT NULL),
 r AS (SELECT a AS node, a AS g FROM e UNION SELECT e.b, r.g FROM r JOIN e ON e.a = r.node WHERE r.g < e.b OR r.g = e.b)
 SELECT node, min(g) AS group_id FROM r GROUP BY node
 """
 
-QUERIES = {"p3_found": p3_found, "p3_forms": p3_forms, "p4_found": p4_found}
+QUERIES = {"p3_found": p3_found, "p3_forms": p3_forms, "p4_found": p4_found, "p6_ids": p6_ids}
 SQL: dict[str, str] = {}
