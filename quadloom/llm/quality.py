@@ -22,10 +22,12 @@ STATISTICS = ("n_words", "mean_word_length", "symbol_ratio", "digit_ratio", "lin
 LOW, HIGH = ("line_end_share", "common_share", "distinct_share", "sentence_share"), ("symbol_ratio", "digit_ratio", "mean_word_length")
 #: Robust z-score beyond which a value is in a tail; least scale of the z-scores of a ratio; texts from which a language has sketches of its own.
 TAIL, LEAST_SCALE, ENOUGH = 3.5, 0.02, 100
+#: Percentiles are told in so many steps.
+GRID = 40
 
 #: Words after which a sentence has a noun or an adjective next, and hardly ever a word of the common ones.
 DETERMINERS = frozenset(
-    "the a an its their his ein eine einem einen einer eines des zum zur im am le la les un une du au aux cette son sa ses leur".split()
+    "the a its their his ein eine einem einen einer eines des zum zur im am le la les un une du au aux cette son sa ses leur".split()
 )
 #: Common words that do follow them in prose.
 AFTER_DETERMINERS = frozenset("will other one time more same all said man mehr anderen deux tout plus même fait des sont en".split())
@@ -38,6 +40,7 @@ _NEXT = re.compile(r"[^\W\d_]{4,}[.!?]\s+([^\W\d_])")
 _DOCKET = re.compile(r"\W*(?:[A-Z][a-z]{0,2}\.\s?)?[A-Z]{0,4}-?\d{4,8}\s?[/-]\s?\d{4,8}\W*")
 _PAGE = re.compile(r"\W*(?:page|seite|[ps]\.)?\W*\d{1,4}(?:\W{1,3}(?:of|von|sur|de|/)?\W{0,2}\d{1,4})?\W*|.{0,30}\d{4}[/-]\d{4,8}\b.{0,80}\W\d{1,3}\W*", re.IGNORECASE)
 _FIRST = re.compile(r"[^\W\d_]")
+_MARKUP = re.compile(r"(?:\s*<\|\w+\|>)+$")
 _TAIL = " \t\"'”’»)]"
 
 
@@ -85,7 +88,7 @@ def _is_prose(body: str, listed: bool, words: list[str], n_common: int, n_symbol
     first = _FIRST.search(body)
     if not first or not (first.group().isupper() or body.lstrip()[:1] in "█[_*…"):
         return False
-    tail = body.rstrip(_TAIL)
+    tail = (_MARKUP.sub("", body) if body.endswith("|>") else body).rstrip(_TAIL)
     if not (tail and tail[-1] in ".!?…") and not (n >= 12 and share >= 0.3 and _FULL_STOP.search(body)):
         return False
     if len(set(words[:200])) < 0.35 * min(n, 200):
@@ -162,6 +165,10 @@ def sketch_by_language(stats: DataFrame) -> DataFrame:
     return own.unionByName(merged)
 
 
+def _at_most(statistic: str):
+    return lambda q: q <= F.col(statistic)
+
+
 def flag_tails(stats: DataFrame, staging: Staging | None = None) -> DataFrame:
     """Add to each text's statistics ``<statistic>_pct``, its percentile in its language, ``<statistic>_z``, its robust
     z-score by median and interquartile range, and ``tails``, the names of the statistics whose value lies in the tail that
@@ -174,10 +181,13 @@ def flag_tails(stats: DataFrame, staging: Staging | None = None) -> DataFrame:
     stats = staging.cut(stats)
     sketches = sketch_by_language(stats)
     sketches = staging.cut(sketches)
-    quarter = lambda s, q: F.expr(f"kll_sketch_get_quantile_double({s}, {q}D)")
+    steps = f"array({', '.join(f'{i / GRID}D' for i in range(GRID + 1))})"
+    grid = lambda s: F.expr(f"kll_sketch_get_quantile_double({s}, {steps})")
+    sketches = staging.cut(sketches.select("language", "n", *[grid(s).alias(s) for s in STATISTICS]))
+    quarter = lambda s, q: F.get(F.col(s), F.lit(int(q * GRID)))
     known = sketches.select(
         F.col("language").alias("_l"), F.col("n").alias("_n"),
-        *[F.struct(quarter(s, 0.5).alias("mid"), ((quarter(s, 0.75) - quarter(s, 0.25)) / 1.349).alias("scale"), F.col(s).alias("sketch")).alias(f"_{s}") for s in STATISTICS],
+        *[F.struct(quarter(s, 0.5).alias("mid"), ((quarter(s, 0.75) - quarter(s, 0.25)) / 1.349).alias("scale"), F.col(s).alias("grid")).alias(f"_{s}") for s in STATISTICS],
     )
     own = known.where((F.col("_n") >= ENOUGH) | (F.col("_l") == "*")).select("_l")
     keyed = stats.join(own.select(F.col("_l").alias("_own")), F.col("language") == F.col("_own"), "left")
@@ -186,7 +196,7 @@ def flag_tails(stats: DataFrame, staging: Staging | None = None) -> DataFrame:
     z = {s: (F.col(s) - F.col(f"_{s}.mid")) / F.greatest(F.col(f"_{s}.scale"), F.lit(floor[s])) for s in STATISTICS}
     scored = keyed.select(
         *stats.columns,
-        *[F.when(F.col(s).isNotNull() & (F.col("n_words") > 0), F.expr(f"kll_sketch_get_rank_double(_{s}.sketch, {s})")).alias(f"{s}_pct") for s in STATISTICS],
+        *[F.when(F.col(s).isNotNull() & (F.col("n_words") > 0), (F.greatest(F.size(F.filter(F.col(f"_{s}.grid"), _at_most(s))), F.lit(1)) - 1) / GRID).alias(f"{s}_pct") for s in STATISTICS],
         *[F.when(F.col("n_words") > 0, z[s]).alias(f"{s}_z") for s in STATISTICS],
     )
     tails = [F.when(F.col(f"{s}_z") < -TAIL, F.lit(s)) for s in LOW] + [F.when(F.col(f"{s}_z") > TAIL, F.lit(s)) for s in HIGH]

@@ -6,7 +6,9 @@ from pyspark.sql import DataFrame, SparkSession
 
 from quadloom.llm.components import group_pairs
 from quadloom.llm.lookalike import canonical_text, lookalike_pairs
-from quadloom.llm.tokens import encode_corpus
+from quadloom.llm.mixing import mix_sources
+from quadloom.llm.quality import flag_tails, not_prose, text_statistics
+from quadloom.llm.tokens import count_tokens, encode_corpus
 
 
 def p3_found(spark: SparkSession, d: str) -> DataFrame:
@@ -27,11 +29,36 @@ def p6_ids(spark: SparkSession, d: str) -> DataFrame:
     return encode_corpus(spark.read.parquet(f"{d}/documents.parquet"), "doc_id", "text")
 
 
+def _mix(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame]:
+    documents = count_tokens(spark.read.parquet(f"{d}/documents.parquet"), "text", keep=["doc_id", "source"])
+    return mix_sources(documents, spark.read.parquet(f"{d}/source_mix.parquet"), "doc_id", "source", "n_tokens", "target_share", "max_repeats")
+
+
+def p7_mix(spark: SparkSession, d: str) -> DataFrame:
+    """Every use of a document in the mix, with the slot of its block."""
+    return _mix(spark, d)[0]
+
+
+def p7_shares(spark: SparkSession, d: str) -> DataFrame:
+    """The shares that the mix reaches."""
+    return _mix(spark, d)[1]
+
+
+def p8_statistics(spark: SparkSession, d: str) -> DataFrame:
+    """Every document's statistics, their percentiles and robust z-scores in its language, and its tails."""
+    words = [r["word"] for r in spark.read.parquet(f"{d}/common_words.parquet").select("word").distinct().collect()]  # a fixed list of 204
+    return flag_tails(text_statistics(spark.read.parquet(f"{d}/documents.parquet"), "doc_id", "text", "lang", words))
+
+
+def p8_found(spark: SparkSession, d: str) -> DataFrame:
+    return not_prose(p8_statistics(spark, d), "doc_id")
+
+
 P4_SQL = """
 WITH RECURSIVE e AS (SELECT s AS a, o AS b FROM same_links WHERE s IS NOT NULL AND o IS NOT NULL UNION SELECT o, s FROM same_links WHERE s IS NOT NULL AND o IS NOT NULL),
 r AS (SELECT a AS node, a AS g FROM e UNION SELECT e.b, r.g FROM r JOIN e ON e.a = r.node WHERE r.g < e.b OR r.g = e.b)
 SELECT node, min(g) AS group_id FROM r GROUP BY node
 """
 
-QUERIES = {"p3_found": p3_found, "p3_forms": p3_forms, "p4_found": p4_found, "p6_ids": p6_ids}
+QUERIES = {"p3_found": p3_found, "p3_forms": p3_forms, "p4_found": p4_found, "p6_ids": p6_ids, "p7_mix": p7_mix, "p7_shares": p7_shares, "p8_found": p8_found, "p8_statistics": p8_statistics}
 SQL: dict[str, str] = {}
