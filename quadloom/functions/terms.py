@@ -220,22 +220,47 @@ def literal_term(lex: Column, dt: str | Column | None = None, lang: Column | Non
     return make_term(literal_id(lex, d, lang), LITERAL, lex, d if lang is None else F.when(lang.isNull(), d).otherwise(F.lit(RDF.langString)), lang)
 
 
-def term_of_id(id: Column) -> Column:
-    """The term struct of an N3 form, on the JVM; the datatype and text of literals by pattern."""
+def id_kind(id: Column) -> Column:
+    c = F.left(id, F.lit(1))
+    return F.when(id.startswith("<<("), F.lit(TRIPLE)).when(c == "<", F.lit(IRI)).when(c == "_", F.lit(BNODE)).when(c == '"', F.lit(LITERAL))
+
+
+def _after_text(id: Column) -> Column:
+    """What follows the closing quote of a literal's id: no quote can stand there."""
+    return F.substring_index(id, '"', -1)
+
+
+def id_lex(id: Column) -> Column:
+    """The lexical form, IRI or label of an id; of a triple term, the id itself."""
+    raw = F.substring(id, 2, F.length(id) - F.length(_after_text(id)) - 2)
+    text = F.replace(raw, F.lit("\\\\"), F.lit("\x01"))
+    for raw_char, shown in (("\n", "\\n"), ("\r", "\\r"), ("\t", "\\t"), ('"', '\\"')):
+        text = F.replace(text, F.lit(shown), F.lit(raw_char))
+    text = F.when(F.contains(raw, F.lit("\\")), F.replace(text, F.lit("\x01"), F.lit("\\"))).otherwise(raw)
     c = F.left(id, F.lit(1))
-    is_triple = id.startswith("<<(")
-    text = F.regexp_extract(id, r'(?s)^"(.*)"(?:@[A-Za-z0-9-]+|\^\^<[^<>]*>)?$', 1)
-    for raw, shown in [("\n", "\\n"), ("\r", "\\r"), ("\t", "\\t"), ('"', '\\"')]:
-        text = F.regexp_replace(text, r"(?<!\\)((?:\\\\)*)" + re.escape(shown), "$1" + raw.replace("\\", "\\\\"))
-    text = F.replace(text, F.lit("\\\\"), F.lit("\\"))
-    null_if_empty = lambda x: F.when(x != "", x)
-    lang = null_if_empty(F.regexp_extract(id, r'(?s)^".*"@([A-Za-z]+(?:-[A-Za-z0-9]+)*)(?:--(?:ltr|rtl))?$', 1))
-    dir = null_if_empty(F.regexp_extract(id, r'(?s)^".*"@.*--(ltr|rtl)$', 1))
-    dt = F.coalesce(null_if_empty(F.regexp_extract(id, r'(?s)^".*"\^\^<([^<>]*)>$', 1)), F.when(dir.isNotNull(), F.lit(RDF.dirLangString)).when(lang.isNotNull(), F.lit(RDF.langString)).otherwise(F.lit(XSD.string)))
-    kind = F.when(is_triple, F.lit(TRIPLE)).when(c == "<", F.lit(IRI)).when(c == "_", F.lit(BNODE)).otherwise(F.lit(LITERAL))
-    lex = F.when(is_triple, id).when(c == "<", F.substring(id, 2, F.length(id) - 2)).when(c == "_", F.substr(id, F.lit(3))).otherwise(text)
-    is_lit = kind == LITERAL
-    return make_term(id, kind, lex, F.when(is_lit, dt), F.when(is_lit, lang), F.when(is_lit, dir))
+    return F.when(id.startswith("<<("), id).when(c == "<", F.substring(id, 2, F.length(id) - 2)).when(c == "_", F.substr(id, F.lit(3))).otherwise(text)
+
+
+def id_lang(id: Column) -> Column:
+    rest = _after_text(id)
+    return F.when(id.startswith('"') & rest.startswith("@"), F.substring_index(F.substr(rest, F.lit(2)), "--", 1))
+
+
+def id_dir(id: Column) -> Column:
+    rest = _after_text(id)
+    return F.when(id.startswith('"') & rest.startswith("@") & F.contains(rest, F.lit("--")), F.substring_index(rest, "--", -1))
+
+
+def id_dt(id: Column) -> Column:
+    rest = _after_text(id)
+    typed = F.when(rest == "", F.lit(XSD.string)).when(rest.startswith("^^<"), F.substring(rest, 4, F.length(rest) - 4))
+    tagged = F.when(F.contains(rest, F.lit("--")), F.lit(RDF.dirLangString)).otherwise(F.lit(RDF.langString))
+    return F.when(id.startswith('"'), F.coalesce(typed, tagged))
+
+
+def term_of_id(id: Column) -> Column:
+    """The term struct of an N3 form, on the JVM."""
+    return make_term(id, id_kind(id), id_lex(id), id_dt(id), id_lang(id), id_dir(id))
 
 
 def _parts(ids):

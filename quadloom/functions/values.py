@@ -11,7 +11,7 @@ from dataclasses import dataclass
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from quadloom.functions.terms import BNODE, IRI, LITERAL, Term, escaped, iri_term, lit_term, literal_id, literal_term, make_term
+from quadloom.functions.terms import BNODE, IRI, LITERAL, Term, escaped, id_dir, id_dt, id_kind, id_lang, id_lex, iri_term, lit_term, literal_id, literal_term, make_term, term_of_id
 from quadloom.functions.vocab import INTEGER_TYPES, NUMERIC_TYPES, XSD
 
 #: Spark types by the datatype of native values.
@@ -116,7 +116,7 @@ class Val:
         if self.is_number:
             return self.col.cast("double")
         if self.t == "term":
-            lex, dt = self.col["lex"], self.col["dt"]
+            lex, dt = self.lex(), self.dtype()
             special = F.when(lex == "INF", F.lit(float("inf"))).when(lex == "-INF", F.lit(float("-inf"))).when(lex == "NaN", F.lit(float("nan")))
             return F.when(dt.isin(*NUMERIC_TYPES), F.when(lex.rlike(_NUMERIC_FORM), lex.try_cast("double")).otherwise(F.when(dt.isin(XSD.double, XSD.float), special)))
         return null("double")
@@ -134,7 +134,7 @@ class Val:
         if self.t == "native":
             return self.col.cast("timestamp") if self.dt in (XSD.dateTime, XSD.date) else null("timestamp")
         if self.t == "term":
-            lex, dt = self.col["lex"], self.col["dt"]
+            lex, dt = self.lex(), self.dtype()
             day = F.regexp_replace(lex, r"^(-?\d{4}-\d\d-\d\d)(Z|[+-]\d\d:\d\d)?$", "$1T00:00:00$2")
             ok = lex.rlike(r"^\d{4}-\d\d-\d\d(T\d\d:\d\d(:\d\d(\.\d+)?)?)?(Z|[+-]\d\d:\d\d)?$")
             return F.when(dt.isin(XSD.dateTime, XSD.date) & ok, day.try_cast("timestamp"))
@@ -156,7 +156,7 @@ class Val:
             return (self.col != 0) & ~F.isnan(self.col)
         if self.t == "iri":
             return null("boolean")
-        dt, lex, n = self.col["dt"], self.col["lex"], self.num()
+        dt, lex, n = self.dtype(), self.lex(), self.num()
         return F.when(dt == XSD.boolean, lex.isin("true", "1")).when(dt == XSD.string, lex != "").when(dt.isin(*NUMERIC_TYPES), F.coalesce((n != 0) & ~F.isnan(n), F.lit(False)))
 
     def order(self) -> list[Column]:
@@ -175,6 +175,37 @@ class Val:
         return self.lex() if self.t == "iri" else self.col
 
 
+class IdVal(Val):
+    """A term by its id alone; each part is read from the id where it is needed."""
+
+    def __init__(self, id: Column):
+        super().__init__("term", id)
+
+    def kind(self) -> Column:
+        return id_kind(self.col)
+
+    def lex(self) -> Column:
+        return id_lex(self.col)
+
+    def dtype(self) -> Column:
+        return id_dt(self.col)
+
+    def lang(self) -> Column:
+        return id_lang(self.col)
+
+    def dir(self) -> Column:
+        return id_dir(self.col)
+
+    def id(self) -> Column:
+        return self.col
+
+    def term(self) -> Column:
+        return term_of_id(self.col)
+
+    def text(self) -> Column:
+        return F.when(self.kind() != BNODE, self.lex())
+
+
 def constant(t: Term) -> Val:
     """A constant in its native type, if it has one."""
     if t.kind == IRI:
