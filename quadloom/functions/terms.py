@@ -55,6 +55,18 @@ def unescape(s: str) -> str:
     return re.sub(r"\\(u[0-9A-Fa-f]{4}|U[0-9A-Fa-f]{8}|.)", one, s, flags=re.DOTALL)
 
 
+_SHORT = {
+    XSD.integer: re.compile(r"[+-]?[0-9]{1,18}"), XSD.boolean: re.compile(r"true|false"), XSD.decimal: re.compile(r"[+-]?([0-9]+\.[0-9]*|\.[0-9]+)"),
+    XSD.double: re.compile(r"[+-]?([0-9]+(\.[0-9]*)?|\.[0-9]+)[eE][+-]?[0-9]+"),
+}
+
+
+def _is_short(lex: str, dt: str | None) -> bool:
+    """Whether N3 writes a literal without quotes and datatype."""
+    form = _SHORT.get(dt)
+    return bool(form and form.fullmatch(lex))
+
+
 @dataclass(frozen=True)
 class Term:
     """A term on the driver. For triple terms, ``parts`` has the three terms."""
@@ -74,6 +86,17 @@ class Term:
             return f"_:{self.lex}"
         if self.kind == TRIPLE:
             return f"<<( {' '.join(p.id for p in self.parts)} )>>"
+        if _is_short(self.lex, self.dt):
+            return self.lex
+        return self.line
+
+    @property
+    def line(self) -> str:
+        """As ``id``, but as it stands in N-Triples: numbers and truth values are quoted, too."""
+        if self.kind == TRIPLE:
+            return f"<<( {' '.join(p.line for p in self.parts)} )>>"
+        if self.kind != LITERAL:
+            return self.id
         text = f'"{escape(self.lex)}"'
         if self.lang:
             return f"{text}@{self.lang}" + (f"--{self.dir}" if self.dir else "")
@@ -122,7 +145,8 @@ def triple_term(s: Term, p: Term, o: Term) -> Term:
 
 
 _TOKEN = re.compile(
-    r'\s*(?:<<\(|\)>>|<([^<>]*)>|_:([^\s<>"()]+)|"((?:[^"\\]|\\.)*)"(?:@([A-Za-z]+(?:-[A-Za-z0-9]+)*)(?:--(ltr|rtl))?|\^\^<([^<>]*)>)?)', re.DOTALL
+    r'\s*(?:<<\(|\)>>|<([^<>]*)>|_:([^\s<>"()]+)|(?:"""((?:"{0,2}(?:[^"\\]|\\.))*"{0,2})"""|"((?:[^"\\]|\\.)*)")(?:@([A-Za-z]+(?:-[A-Za-z0-9]+)*)(?:--(ltr|rtl))?|\^\^<([^<>]*)>)?'
+    r"|((?:[+-]?(?:[0-9]+\.?[0-9]*|\.[0-9]+)(?:[eE][+-]?[0-9]+)?|true|false)(?![^\s)])))", re.DOTALL
 )
 
 
@@ -134,7 +158,7 @@ def parse_id(text: str) -> Term:
     return term
 
 
-def _parse_at(text: str, at: int) -> tuple[Term, int]:
+def _parse_at(text: str, at: int, short: bool = True) -> tuple[Term, int]:
     m = _TOKEN.match(text, at)
     if not m:
         raise ValueError(f"no term at {at} of {text!r}")
@@ -142,7 +166,7 @@ def _parse_at(text: str, at: int) -> tuple[Term, int]:
     if whole == "<<(":
         parts, at = [], m.end()
         for _ in range(3):
-            part, at = _parse_at(text, at)
+            part, at = _parse_at(text, at, short)
             parts.append(part)
         close = re.compile(r"\s*\)>>").match(text, at)
         if not close:
@@ -152,10 +176,13 @@ def _parse_at(text: str, at: int) -> tuple[Term, int]:
         return Term(IRI, unescape(m.group(1))), m.end()
     if m.group(2) is not None:
         return Term(BNODE, m.group(2)), m.end()
-    if m.group(3) is None:
+    if m.group(8) is not None and short:
+        lex = m.group(8)
+        return Term(LITERAL, lex, XSD.boolean if lex[0] in "tf" else XSD.double if "e" in lex.lower() else XSD.decimal if "." in lex else XSD.integer), m.end()
+    quoted = m.group(4) if m.group(3) is None else m.group(3)
+    if quoted is None:
         raise ValueError(f"no term at {at} of {text!r}")
-    lex, lang, direction, dt = unescape(m.group(3)), m.group(4), m.group(5), m.group(6)
-    return literal(lex, dt, lang, direction), m.end()
+    return literal(unescape(quoted), m.group(7), m.group(5), m.group(6)), m.end()
 
 
 def skolemize(node: Term, base: str) -> Term:
@@ -193,9 +220,16 @@ def escaped(c: Column) -> Column:
     return c
 
 
-def literal_id(lex: Column, dt: Column | None, lang: Column | None = None, dir: Column | None = None) -> Column:
+def literal_id(lex: Column, dt: Column | str | None, lang: Column | None = None, dir: Column | None = None, short: bool = True) -> Column:
+    """The N3 form of a literal; with ``short``, numbers and truth values stand without quotes."""
     text = F.concat(F.lit('"'), escaped(lex), F.lit('"'))
+    fixed, dt = (dt, F.lit(dt)) if isinstance(dt, str) else (None, dt)
     typed = text if dt is None else F.when(dt.isNull() | (dt == XSD.string), text).otherwise(F.concat(text, F.lit("^^<"), dt, F.lit(">")))
+    if short and dt is not None:
+        for name, form in _SHORT.items():
+            if fixed is None or fixed == name:
+                bare = lex.rlike(f"^({form.pattern})$")
+                typed = F.when(bare if fixed else (dt == name) & bare, lex).otherwise(typed)
     if lang is None:
         return typed
     tagged = F.concat(text, F.lit("@"), lang)
@@ -216,46 +250,53 @@ def iri_term(value: Column) -> Column:
 
 
 def literal_term(lex: Column, dt: str | Column | None = None, lang: Column | None = None) -> Column:
-    d = F.lit(dt or XSD.string) if not isinstance(dt, Column) else dt
-    return make_term(literal_id(lex, d, lang), LITERAL, lex, d if lang is None else F.when(lang.isNull(), d).otherwise(F.lit(RDF.langString)), lang)
+    fixed = dt if isinstance(dt, Column) else dt or XSD.string
+    d = F.lit(fixed) if isinstance(fixed, str) else fixed
+    return make_term(literal_id(lex, fixed, lang), LITERAL, lex, d if lang is None else F.when(lang.isNull(), d).otherwise(F.lit(RDF.langString)), lang)
 
 
 def id_kind(id: Column) -> Column:
     c = F.left(id, F.lit(1))
-    return F.when(id.startswith("<<("), F.lit(TRIPLE)).when(c == "<", F.lit(IRI)).when(c == "_", F.lit(BNODE)).when(c == '"', F.lit(LITERAL))
+    return F.when(id.startswith("<<("), F.lit(TRIPLE)).when(c == "<", F.lit(IRI)).when(c == "_", F.lit(BNODE)).when(id.isNotNull(), F.lit(LITERAL))
 
 
 def _after_text(id: Column) -> Column:
-    """What follows the closing quote of a literal's id: no quote can stand there."""
+    """What follows the closing quote of a quoted literal's id: no quote can stand there."""
     return F.substring_index(id, '"', -1)
 
 
+def _quoted(id: Column) -> Column:
+    return id.startswith('"')
+
+
 def id_lex(id: Column) -> Column:
     """The lexical form, IRI or label of an id; of a triple term, the id itself."""
-    raw = F.substring(id, 2, F.length(id) - F.length(_after_text(id)) - 2)
+    n = F.length(id) - F.length(_after_text(id))
+    raw = F.when(id.startswith('"""') & (n >= 6), F.substr(id, F.lit(4), n - 6)).otherwise(F.substr(id, F.lit(2), n - 2))
     text = F.replace(raw, F.lit("\\\\"), F.lit("\x01"))
     for raw_char, shown in (("\n", "\\n"), ("\r", "\\r"), ("\t", "\\t"), ('"', '\\"')):
         text = F.replace(text, F.lit(shown), F.lit(raw_char))
     text = F.when(F.contains(raw, F.lit("\\")), F.replace(text, F.lit("\x01"), F.lit("\\"))).otherwise(raw)
     c = F.left(id, F.lit(1))
-    return F.when(id.startswith("<<("), id).when(c == "<", F.substring(id, 2, F.length(id) - 2)).when(c == "_", F.substr(id, F.lit(3))).otherwise(text)
+    return F.when(id.startswith("<<("), id).when(c == "<", F.substring(id, 2, F.length(id) - 2)).when(c == "_", F.substr(id, F.lit(3))).when(c == '"', text).otherwise(id)
 
 
 def id_lang(id: Column) -> Column:
     rest = _after_text(id)
-    return F.when(id.startswith('"') & rest.startswith("@"), F.substring_index(F.substr(rest, F.lit(2)), "--", 1))
+    return F.when(_quoted(id) & rest.startswith("@"), F.substring_index(F.substr(rest, F.lit(2)), "--", 1))
 
 
 def id_dir(id: Column) -> Column:
     rest = _after_text(id)
-    return F.when(id.startswith('"') & rest.startswith("@") & F.contains(rest, F.lit("--")), F.substring_index(rest, "--", -1))
+    return F.when(_quoted(id) & rest.startswith("@") & F.contains(rest, F.lit("--")), F.substring_index(rest, "--", -1))
 
 
 def id_dt(id: Column) -> Column:
     rest = _after_text(id)
     typed = F.when(rest == "", F.lit(XSD.string)).when(rest.startswith("^^<"), F.substring(rest, 4, F.length(rest) - 4))
     tagged = F.when(F.contains(rest, F.lit("--")), F.lit(RDF.dirLangString)).otherwise(F.lit(RDF.langString))
-    return F.when(id.startswith('"'), F.coalesce(typed, tagged))
+    short = F.when(id.isin("true", "false"), F.lit(XSD.boolean)).when(id.rlike("[eE]"), F.lit(XSD.double)).when(F.contains(id, F.lit(".")), F.lit(XSD.decimal)).otherwise(F.lit(XSD.integer))
+    return F.when(_quoted(id), F.coalesce(typed, tagged)).when(~F.left(id, F.lit(1)).isin("<", "_"), short)
 
 
 def term_of_id(id: Column) -> Column:

@@ -100,7 +100,7 @@ class Val:
             return self.col["id"]
         if self.t == "iri":
             return F.concat(F.lit(f"<{self.prefix}"), self.col.cast("string"), F.lit(">"))
-        return literal_id(self.lex(), F.lit(self.dt) if self.t == "native" else self.dtype())
+        return literal_id(self.lex(), self.dt if self.t == "native" else self.dtype())
 
     def term(self) -> Column:
         if self.const is not None:

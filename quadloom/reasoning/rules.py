@@ -36,7 +36,7 @@ def _strip(c):
 
 
 def _is_resource(c: str):
-    return ~F.col(c).startswith('"')
+    return F.left(F.col(c), F.lit(1)).isin("<", "_")
 
 
 class Triples:
@@ -144,7 +144,7 @@ def owl_rules(t: Triples, lists: DataFrame, staging: Staging) -> list[DataFrame]
     rules.append(_out(uses.join(typed, (F.col("o") == F.col("x")) & (F.col("v") == F.col("c"))), "s", RDF.type, "r"))
     avf = on.join(of(OWL.allValuesFrom, "v"), "r").join(typed.select(F.col("x"), F.col("c")), F.col("r") == F.col("c"))
     rules.append(_out(objects.join(avf, (objects.s == F.col("x")) & (objects.p == F.col("rp"))), "o", RDF.type, "v"))
-    one = lambda c: F.regexp_extract(c, '^"0*1"', 0) != ""
+    one = lambda c: F.col(c).rlike('^("0*1"|[+]?0*1$)')
     maxc = on.join(of(OWL.maxCardinality, "n").where(one("n")), "r").join(typed, F.col("r") == F.col("c"))
     held = objects.join(maxc, (objects.s == F.col("x")) & (objects.p == F.col("rp"))).select("s", "p", "o")
     rules += _stars(held)
@@ -286,7 +286,7 @@ def inconsistencies(ids: DataFrame, staging: Staging) -> DataFrame:
     diff = diff.unionByName(diff.select(F.col("y2").alias("x2"), F.col("x2").alias("y2"))).distinct()
     report("eq-diff1", same.join(diff, F.expr("x = x2 AND y = y2")).where("x <= y"), "x", "y")
     on = t.p(OWL.onProperty).select(F.col("s").alias("r"), _strip("o").alias("rp")).where("rp IS NOT NULL")
-    zero = lambda p: t.p(p).where(F.col("o").rlike('^"0+"')).select(F.col("s").alias("r"))
+    zero = lambda p: t.p(p).where(F.col("o").rlike('^("0+"|[+-]?0+$)')).select(F.col("s").alias("r"))
     none = on.join(zero(OWL.maxCardinality), "r").join(types, F.col("r") == F.col("c"))
     report("cls-maxc1", a.join(none, F.expr("s = x AND p = rp")), "s", "p", "o")
     noneq = on.join(zero(OWL.maxQualifiedCardinality), "r").join(t.p(OWL.onClass).select(F.col("s").alias("r"), F.col("o").alias("q")), "r").join(types, F.col("r") == F.col("c"))

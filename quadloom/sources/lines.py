@@ -9,7 +9,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quadloom.functions.terms import BNODE, IRI, LITERAL, QUADS, TRIPLE, Term, _parse_at, _BAD_IRI
+from quadloom.functions.terms import BNODE, IRI, LITERAL, QUADS, TRIPLE, Term, _BAD_IRI, _parse_at, literal_id
 from quadloom.functions.vocab import RDF
 
 _REST = re.compile(r"\s*\.\s*(#.*)?$")
@@ -41,12 +41,12 @@ def parse_line(line: str, quads: bool = True) -> tuple | None:
     if not text or text.startswith("#") or text.upper().startswith("VERSION "):
         return None
     try:
-        s, at = _parse_at(text, 0)
-        p, at = _parse_at(text, at)
-        o, at = _parse_at(text, at)
+        s, at = _parse_at(text, 0, False)
+        p, at = _parse_at(text, at, False)
+        o, at = _parse_at(text, at, False)
         g = None
         if quads and text[_SPACE.match(text, at).end() :][:1] in ("<", "_"):
-            g, at = _parse_at(text, at)
+            g, at = _parse_at(text, at, False)
         if not _REST.match(text, at):
             raise LineError("the line doesn't end with a point")
         return (None if g is None else _valid(g, "g"), _valid(s, "s"), _valid(p, "p"), _valid(o, "o"))
@@ -105,16 +105,17 @@ def _escaped_controls(c: Column) -> Column:
 
 
 def line_column(quads: bool = True) -> Column:
-    """The N-Quads (or N-Triples) line of a row of quads."""
-    parts = [F.col("s.id"), F.concat(F.lit("<"), F.col("p"), F.lit(">")), F.col("o.id")]
+    """The N-Quads (or N-Triples) line of a row of quads; NULL where s, p or o is missing."""
+    plain = literal_id(F.col("o.lex"), F.col("o.dt"), F.col("o.lang"), F.col("o.dir"), short=False)
+    parts = [F.col("s.id"), F.concat(F.lit("<"), F.col("p"), F.lit(">")), F.when(F.col("o.kind") == LITERAL, plain).otherwise(F.col("o.id"))]
     if quads:
         parts.append(F.when(F.col("g").isNotNull(), F.concat(F.lit("<"), F.col("g"), F.lit(">"))))
-    return F.concat(_escaped_controls(F.concat_ws(" ", *parts)), F.lit(" ."))
+    return F.when(parts[0].isNotNull() & parts[1].isNotNull() & parts[2].isNotNull(), F.concat(_escaped_controls(F.concat_ws(" ", *parts)), F.lit(" .")))
 
 
 def write_lines(df: DataFrame, path: str, quads: bool = True) -> None:
     """Sorted lines, each once, as text files."""
-    df.select(line_column(quads).alias("value")).distinct().orderBy("value").write.text(path)
+    df.select(line_column(quads).alias("value")).where("value IS NOT NULL").distinct().orderBy("value").write.text(path)
 
 
 __all__ = ["LITERAL", "RDF", "LineError", "parse_line", "parse_lines", "read_lines", "write_lines", "line_column"]
