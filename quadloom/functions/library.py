@@ -4,7 +4,8 @@ from __future__ import annotations
 
 import re
 
-from pyspark.sql import Column
+from pyspark.errors import IllegalArgumentException
+from pyspark.sql import Column, SparkSession
 from pyspark.sql import functions as F
 
 from quadloom.functions.terms import BNODE, IRI, LITERAL, TRIPLE, Term, literal_id, make_term, term_of_id, triple_parts
@@ -65,12 +66,9 @@ def _pattern(v: Val, flags: Val | None) -> Column:
     if flags is not None and flags.const is not None and "q" in flags.const.lex:
         text = r"\Q" + text.replace(r"\E", r"\E\\E\Q") + r"\E"
     try:
-        from pyspark.sql import SparkSession
-
         SparkSession.active()._jvm.java.util.regex.Pattern.compile(text)
-    except Exception as e:
-        if "PatternSyntax" in str(e):
-            raise UnsupportedFunction(f"{text!r} is no regular expression") from None
+    except IllegalArgumentException:
+        raise UnsupportedFunction(f"{text!r} is no regular expression") from None
     return F.lit(f"(?{head}){text}" if head else text)
 
 

@@ -9,6 +9,7 @@ from __future__ import annotations
 from dataclasses import dataclass
 from functools import reduce
 
+from pyspark.errors import IllegalArgumentException
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -90,6 +91,7 @@ class Validator:
         self.ids = data.where("s.id IS NOT NULL AND p IS NOT NULL AND o.id IS NOT NULL").select(F.col("s.id").alias("s"), "p", F.col("o.id").alias("o")).distinct()
         self._super: DataFrame | None = None
         self._lists: DataFrame | None = None
+        self.linked: bool | None = None
         self.open: list[str] = []
 
     # data ------------------------------------------------------------------------------------------------------------
@@ -191,10 +193,11 @@ class Validator:
             elif k == "targetWhere":
                 everyone = self.ids.select(F.explode(F.array("s", "o")).alias("focus")).distinct()
                 parts.append(self.conforming(self.shapes.shape(x), everyone))
-        shaped = self.p(SH.shape).where(F.col("o") == s.id.id).select(F.col("s").alias("focus"))
-        if not parts and not any(p.lex == SH.shape for _, p, _ in self.shapes.graph.triples):
-            return None
-        return reduce(DataFrame.unionByName, [*parts, shaped]).distinct()
+        if self.linked is None:
+            self.linked = bool(self.p(SH.shape).head(1))
+        if self.linked:
+            parts.append(self.p(SH.shape).where(F.col("o") == s.id.id).select(F.col("s").alias("focus")))
+        return reduce(DataFrame.unionByName, parts).distinct() if parts else None
 
     # evaluation ------------------------------------------------------------------------------------------------------
     def violators(self, s: Shape, nodes: DataFrame) -> DataFrame:
@@ -272,7 +275,7 @@ class Validator:
             flags = "".join(f for f in c.extra.get("flags", "") if f in "ismx")
             try:
                 self.spark._jvm.java.util.regex.Pattern.compile(v.lex)
-            except Exception:
+            except IllegalArgumentException:
                 raise ShapeError(f"{v.lex!r} is no regular expression") from None
             return bad(F.when(x.kind() != 0, x.lex()).rlike((f"(?{flags})" if flags else "") + v.lex))
         if k == "languageIn":
@@ -404,7 +407,7 @@ class Validator:
         if c.value == "true":
             bad = used.where(~F.col("p").isin([*own, *c.extra["ignored"]] or [""]))
         else:  # by types: the properties of the shapes that are the node's classes or their superclasses
-            rows = [(sh.id.id, p) for sh in self.shapes.by_id.values() for p in self._properties(sh, set())]
+            rows = [(sh.id.id, p) for sh in list(self.shapes.by_id.values()) for p in self._properties(sh, set())]
             table = self.spark.createDataFrame(rows, "cls string, allowed string") if rows else self.spark.createDataFrame([], "cls string, allowed string")
             types = self.p(RDF.type).select(F.col("s").alias("n"), F.col("o").alias("sub"))
             wide = types.unionByName(types.join(self.superclasses(), "sub").select("n", F.col("sup").alias("sub")))
