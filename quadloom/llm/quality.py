@@ -33,7 +33,7 @@ DETERMINERS = frozenset(
 AFTER_DETERMINERS = frozenset("will other one time more same all said man mehr anderen deux tout plus même fait des sont en".split())
 _PUNCTUATION = b"!\"#$%&'()*+,-./:;<=>?@[\\]^_`{|}~"
 _NUMERALS = b"0123456789"
-_GAP = re.compile(r"\S\t+\S|\S {3,}\S|\.{4,}|(?:^|[\s:])_{3,}|_ / _|\|.*\||\[ ?\]")
+_GAP = re.compile(r"\S\t+\S|\S {3,}\S|\.{4,}|(?:^|[\s:])_{3,}|_ / _|\s\|\s.*\s\||\[ ?\]")
 _MARK = re.compile(r"\s*(?:(?P<list>[*•·‣▪–—-]\s+|\([a-z]{1,4}\)\s+|[a-z]\)\s+)|(?P<number>\(\d+\)|\[\d+\]|\d{1,3}(?:[.)](?=\s)|(?=\t))|¶\s?\d+|§\s?\d+)\s*)")
 _FULL_STOP = re.compile(r"[^\W\d_]{3,}[.!?][\"'”’»)\]]*\s+[\"'“‘«(\[]*[A-ZÀ-ÞŒ]")
 _NEXT = re.compile(r"[^\W\d_]{4,}[.!?]\s+([^\W\d_])")
