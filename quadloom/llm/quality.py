@@ -183,7 +183,7 @@ def flag_tails(stats: DataFrame, staging: Staging | None = None) -> DataFrame:
     sketches = staging.cut(sketches)
     steps = f"array({', '.join(f'{i / GRID}D' for i in range(GRID + 1))})"
     grid = lambda s: F.expr(f"kll_sketch_get_quantile_double({s}, {steps})")
-    sketches = staging.cut(sketches.select("language", "n", *[grid(s).alias(s) for s in STATISTICS]))
+    sketches = staging.cut(sketches.where("n > 0").select("language", "n", *[grid(s).alias(s) for s in STATISTICS]))
     quarter = lambda s, q: F.get(F.col(s), F.lit(int(q * GRID)))
     known = sketches.select(
         F.col("language").alias("_l"), F.col("n").alias("_n"),
@@ -191,7 +191,7 @@ def flag_tails(stats: DataFrame, staging: Staging | None = None) -> DataFrame:
     )
     own = known.where((F.col("_n") >= ENOUGH) | (F.col("_l") == "*")).select("_l")
     keyed = stats.join(own.select(F.col("_l").alias("_own")), F.col("language") == F.col("_own"), "left")
-    keyed = keyed.withColumn("_l", F.coalesce("_own", F.lit("*"))).drop("_own").join(known, "_l")
+    keyed = keyed.withColumn("_l", F.coalesce("_own", F.lit("*"))).drop("_own").join(known, "_l", "left")
     floor = {s: 0.1 if s in ("mean_word_length", "n_words") else LEAST_SCALE for s in STATISTICS}
     z = {s: (F.col(s) - F.col(f"_{s}.mid")) / F.greatest(F.col(f"_{s}.scale"), F.lit(floor[s])) for s in STATISTICS}
     scored = keyed.select(

@@ -51,3 +51,5 @@ def test_found(spark):
     sketches = {r.language: r.n for r in sketch_by_language(stats).collect()}
     assert sketches["*"] == sum(n for k, n in sketches.items() if k != "*") == len(rows) - 3
     assert flag_tails(text_statistics(df.limit(0), "id", "t", "lang", WORDS)).count() == 0
+    empty = df.where("id BETWEEN 2000 AND 2002")
+    assert flag_tails(text_statistics(empty, "id", "t", "lang", WORDS)).count() == 3
