@@ -15,6 +15,8 @@ import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from quadloom.plans.staging import Staging
+
 # Letters of other scripts, and Latin letters of other names, with the shape of the letter before the colon.
 SHAPES = (
     "A:АΑᎪ B:ВΒᏴ C:СϹᏟ D:Ꭰ E:ЕΕᎬ F:Ϝ G:ԌᏀ H:НΗᎻ I:ІΙӀ J:ЈᎫͿ K:КΚᏦ L:Ꮮ M:МΜϺᎷ N:Ν O:ОΟՕ P:РΡᏢ Q:Ԛ R:Ꭱ S:ЅՏᏚ T:ТΤᎢ U:Ս V:ѴᏙ "
@@ -58,19 +60,21 @@ def canonical_text(df: DataFrame, columns: dict[str, str]) -> DataFrame:
     return df.withColumns({new: form(F.col(old)) for old, new in columns.items()})
 
 
-def lookalike_pairs(df: DataFrame, key: str, text: str, tag: str, a: str, b: str) -> DataFrame:
+def lookalike_pairs(df: DataFrame, key: str, text: str, tag: str, a: str, b: str, staging: Staging | None = None) -> DataFrame:
     """Pairs of rows (a < b by ``key``) whose texts differ in characters but look the same, and whose tags read the same.
 
     Tags compare by canonical form apart from case; NULL only equals NULL. NULL and empty texts are no case, and rows
     with equal texts make no pair with each other. Rows of one look are first reduced to its different spellings; only
     spellings are compared with each other, and only looks with several spellings go on to the rows, so that a text
-    that is repeated in a third of the table meets nothing but its rarer spellings. ``key`` should be unique: a row
+    that is repeated in a third of the table meets nothing but its rarer spellings. The forms are computed once and
+    staged, as three joins read them. ``key`` should be unique: a row
     repeated with its key makes its pairs repeatedly.
     """
     rows = df.select(F.col(key).alias("k"), F.col(text).alias("t"), F.col(tag).alias("l")).where("t IS NOT NULL AND t <> ''")
     rows = canonical_text(rows, {"t": "form", "l": "tag"})
     rows = rows.select("k", "t", F.struct("form", F.lower("tag").alias("tag")).alias("look"))
     rows = rows.select("k", "t", F.col("look.form").alias("form"), F.coalesce(F.concat(F.lit("="), "look.tag"), F.lit("")).alias("tag"))
+    rows = (staging or Staging(df.sparkSession, "lookalike")).cut(rows)
     spellings = rows.select("form", "tag", "t").distinct()
     several = spellings.groupBy("form", "tag").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("form", "tag")
     spellings = spellings.join(several, ["form", "tag"], "left_semi")
