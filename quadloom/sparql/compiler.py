@@ -67,6 +67,8 @@ class Compiler:
             return self.bgp(p.triples, g)
         if isinstance(p, Join):
             return join(self.pattern(p.left, g), self.pattern(p.right, g))
+        if isinstance(p, LeftJoin) and has_exists(p.condition):
+            return self.optional_exists(self.pattern(p.left, g), self.pattern(p.right, g), p.condition, g)
         if isinstance(p, LeftJoin):
             condition = None if p.condition is None else (lambda f: self.expr(p.condition, f).ebv())
             return join(self.pattern(p.left, g), self.pattern(p.right, g), "left", condition)
@@ -95,6 +97,21 @@ class Compiler:
             return self.select(p.query, g)
         raise SparqlError(f"unknown pattern {type(p).__name__}")
 
+    def optional_exists(self, left: Frame, right: Frame, condition: object, g) -> Frame:
+        """A left join whose condition has EXISTS: the filtered inner join, and the left solutions that it lacks."""
+        names = list(left.info)
+        copies = left
+        for n in names:
+            copies = copies.extend(f"_left_{n}", left.val(n), left.info[n].certain)
+        kept = self.filter(join(copies, right), condition, g)
+        had = kept.only([f"_left_{n}" for n in names])
+        keys = [c.alias(f"h_{i}") for i, c in enumerate(key_columns(had, list(had.info)))] or [F.lit(1).alias("h_0")]
+        on = F.lit(True)
+        for i, c in enumerate(key_columns(left, names)):
+            on = on & c.eqNullSafe(F.col(f"h_{i}"))
+        rest = Frame(left.df.join(had.df.select(*keys).distinct(), on, "left_anti"), left.info)
+        return unite([kept.only([n for n in kept.info if not n.startswith("_left_")]), rest])
+
     def values(self, p: Values) -> Frame:
         cols, vals, certain = [], {}, {}
         for i, n in enumerate(p.names):
@@ -486,6 +503,10 @@ class Compiler:
         return keyed.dropDuplicates(["g", "_s", "p", "_o"]).select("g", "s", "p", "o")
 
 
+def has_exists(e: object) -> bool:
+    return isinstance(e, Exists) or isinstance(e, Call) and any(map(has_exists, e.args))
+
+
 def run_query(graph, text: str | Query, bindings: dict[str, Term] | None = None) -> Result:
     """Answer a query over a QuadGraph or a VirtualGraph."""
     from quadloom.plans.graphs import QuadGraph
