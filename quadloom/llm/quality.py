@@ -39,6 +39,7 @@ _FULL_STOP = re.compile(r"[^\W\d_]{3,}[.!?][\"'”’»)\]]*\s+[\"'“‘«(\[]*
 _NEXT = re.compile(r"[^\W\d_]{4,}[.!?]\s+([^\W\d_])")
 _DOCKET = re.compile(r"\W*(?:[A-Z][a-z]{0,2}\.\s?)?[A-Z]{0,4}-?\d{4,8}\s?[/-]\s?\d{4,8}\W*")
 _PAGE = re.compile(r"\W*(?:page|seite|[ps]\.)?\W*\d{1,4}(?:\W{1,3}(?:of|von|sur|de|/)?\W{0,2}\d{1,4})?\W*|.{0,30}\d{4}[/-]\d{4,8}\b.{0,80}\W\d{1,3}\W*", re.IGNORECASE)
+_VISIBLE = re.compile("[^\\s\u00ad\u200b-\u200f\u2060\ufeff]")
 _FIRST = re.compile(r"[^\W\d_]")
 _MARKUP = re.compile(r"(?:\s*<\|\w+\|>)+$")
 _TAIL = " \t\"'”’»)]"
@@ -105,11 +106,11 @@ def _is_prose(body: str, listed: bool, words: list[str], n_common: int, n_symbol
 
 def statistics_of(text: str | None, common: frozenset[str]) -> tuple[float | None, ...]:
     """The statistics of a text and the characters (blanks aside) it has in sentences and elsewhere."""
-    if not text or text.isspace():
+    if not text or not _VISIBLE.search(text):
         return (0.0, None, None, None, None, None, None, None, 0, 0)
     lines = (text.replace("\r\n", "\n").replace("\r", "\n") if "\r" in text else text).split("\n")
     kept = [x for x in lines if x and not x.isspace()]
-    in_head, prose, other, head = any(map(_DOCKET.fullmatch, kept[:5])), 0, 0, 0
+    in_head, prose, other, head, captions = any(map(_DOCKET.fullmatch, kept[:5])), 0, 0, 0, 0
     n = letters = n_common = n_symbols = n_digits = 0
     distinct: set[str] = set()
     for block in _blocks(lines):
@@ -126,9 +127,11 @@ def statistics_of(text: str | None, common: frozenset[str]) -> tuple[float | Non
         if _is_prose(body, bool(mark and mark.group("list")), words, known, symbols, digits, size, common):
             prose, in_head = prose + size, False
         elif in_head and head < 8 and size < 150 and (not mark or _DOCKET.fullmatch(whole)):
-            head += 1  # captions and parties of a decision count for neither side
+            head, captions = head + 1, captions + size  # captions and parties of a decision count for neither side
         else:
             other += size
+    if not prose:  # captions of nothing
+        other += captions
     return (
         float(n), letters / n, n_symbols / letters, n_digits / letters,
         sum(x.rstrip()[-1] in ".!?…:;\"”»" for x in kept) / len(kept), n_common / n,

@@ -35,6 +35,7 @@ def test_figures():
     s = statistics_of("The lease was void. It\tis 12!", COMMON)
     assert s[0] == 7 and abs(s[1] - 23 / 7) < 1e-9 and s[5] == pytest.approx(4 / 7) and s[3] == pytest.approx(2 / 23) and s[4] == 1.0
     assert statistics_of(None, COMMON)[0] == statistics_of(" \n\t", COMMON)[0] == 0.0 and statistics_of("", COMMON)[1] is None
+    assert statistics_of("\u200b\ufeff\n", COMMON)[0] == 0.0 and statistics_of("High Court\nK-2017/0000522\nSmith v. Jones", COMMON)[8:] == (0, 35)
     assert statistics_of("the " * 200000 + ".", COMMON)[0] == 200001
 
 
