@@ -83,8 +83,8 @@ class Val:
         return self.col.cast("string")
 
     def dtype(self) -> Column:
-        if self.t == "term":
-            return self.col["dt"]
+        if self.t == "term":  # a literal that states no datatype is a string
+            return F.coalesce(self.col["dt"], F.when((self.col["kind"] == LITERAL) & self.col["lang"].isNull(), F.lit(XSD.string)))
         if self.t == "num":
             return F.when(self.rank == 0, F.lit(XSD.integer)).when(self.rank == 1, F.lit(XSD.decimal)).when(self.rank == 2, F.lit(XSD.double))
         return F.when(self.bound(), F.lit(self.dt)) if self.t == "native" else null("string")
