@@ -8,8 +8,8 @@ from pyspark.errors import IllegalArgumentException
 from pyspark.sql import Column, SparkSession
 from pyspark.sql import functions as F
 
-from quadloom.functions.terms import BNODE, IRI, LITERAL, TRIPLE, Term, literal_id, make_term, term_of_id, triple_parts
-from quadloom.functions.values import Val, as_string, boolean, constant, decimal_text, equal, integer, less, null, number_text, same, string
+from quadloom.functions.terms import BNODE, IRI, LITERAL, TRIPLE, Term, literal_id, make_term, triple_parts
+from quadloom.functions.values import IdVal, Val, as_string, boolean, constant, decimal_text, equal, integer, less, null, number_text, same, string, val_of
 from quadloom.functions.vocab import NUMERIC_TYPES, RDF, XSD
 
 _STAMP = r"^(-?\d{4,})-(\d\d)-(\d\d)(?:T(\d\d):(\d\d)(?::(\d\d(?:\.\d+)?))?)?(Z|[+-]\d\d:\d\d)?$"
@@ -36,7 +36,7 @@ def numeric(op: str, a: Val, b: Val) -> Val:
 
 def keep(v: Val, lex: Column) -> Val:
     """A text with the language (or datatype) of another."""
-    if v.t != "term":
+    if not v.is_term:
         return string(lex)
     lang, dir = v.lang(), v.dir()
     dt = F.when(lang.isNull(), F.lit(XSD.string)).otherwise(v.dtype())
@@ -46,7 +46,7 @@ def keep(v: Val, lex: Column) -> Val:
 
 def _text(v: Val) -> Column:
     """String argument: literals and, as string form, IRIs and numbers."""
-    return v.lex() if v.t != "term" else v.text()
+    return v.lex() if not v.is_term else v.text()
 
 
 def _flags(v: Val | None) -> str:
@@ -73,7 +73,7 @@ def _pattern(v: Val, flags: Val | None) -> Column:
 
 
 def _stamp(v: Val, i: int) -> Column:
-    part = F.regexp_extract(F.when(v.dtype().isin(XSD.dateTime, XSD.date) if v.t == "term" else F.lit(v.dt in (XSD.dateTime, XSD.date)), v.lex()), _STAMP, i)
+    part = F.regexp_extract(F.when(v.dtype().isin(XSD.dateTime, XSD.date) if v.is_term else F.lit(v.dt in (XSD.dateTime, XSD.date)), v.lex()), _STAMP, i)
     return F.when(part != "", part)
 
 
@@ -109,7 +109,7 @@ def _each_number(v: Val, f) -> Val:
 def cast(dt: str, v: Val) -> Val:
     """xsd constructors; NULL where the text is no such value."""
     lex, n = v.lex(), v.num()
-    literal_only = lambda c: c if v.t in ("native", "num") else F.when(v.kind() == LITERAL, c) if v.t == "term" else null("string")
+    literal_only = lambda c: c if v.t in ("native", "num") else F.when(v.kind() == LITERAL, c) if v.is_term else null("string")
     if dt == XSD.string:
         return string(F.when(v.kind() != BNODE, lex))
     t = F.trim(literal_only(lex)) if v.t != "iri" else null("string")
@@ -185,7 +185,7 @@ def call(name: str, args: list[Val], context) -> Val:
     if name == "ISNUMERIC":
         return boolean(F.when(a.bound(), a.num().isNotNull()))
     if name == "STR":
-        return string(a.text() if a.t == "term" else a.lex())
+        return string(a.text() if a.is_term else a.lex())
     if name == "STRLEN":
         return integer(F.char_length(_text(a)))
     if name in ("UCASE", "LCASE"):
@@ -211,7 +211,7 @@ def call(name: str, args: list[Val], context) -> Val:
     if name == "CONCAT":
         parts = [_text(x) for x in args]
         text = F.concat(*parts) if parts else F.lit("")
-        if all(x.t != "term" for x in args):
+        if not any(x.is_term for x in args):
             return string(text)
         lang = args[0].lang()
         alike = F.lit(True)
@@ -260,7 +260,7 @@ def call(name: str, args: list[Val], context) -> Val:
     if name in ("IRI", "URI"):
         if a.t == "iri":
             return a
-        text = F.when(a.kind() == IRI, a.lex()).when(a.dtype() == XSD.string, _resolved(a.lex(), context.base)) if a.t == "term" else _resolved(a.lex(), context.base)
+        text = F.when(a.kind() == IRI, a.lex()).when(a.dtype() == XSD.string, _resolved(a.lex(), context.base)) if a.is_term else _resolved(a.lex(), context.base)
         return Val("iri", text)
     if name == "BNODE":
         label = F.concat(F.lit("N"), F.replace(F.uuid(), F.lit("-"), F.lit(""))) if a is None else F.concat(F.lit("bnode_"), _text(a))
@@ -312,7 +312,7 @@ def call(name: str, args: list[Val], context) -> Val:
         id = F.when(ok, F.concat(F.lit("<<( "), args[0].id(), F.lit(" "), args[1].id(), F.lit(" "), args[2].id(), F.lit(" )>>")))
         return Val("term", make_term(id, TRIPLE, id))
     if name in ("SUBJECT", "PREDICATE", "OBJECT"):
-        return Val("term", term_of_id(triple_parts(a.id())[{"SUBJECT": "s", "PREDICATE": "p", "OBJECT": "o"}[name]]))
+        return IdVal(triple_parts(a.id())[{"SUBJECT": "s", "PREDICATE": "p", "OBJECT": "o"}[name]])
     if name in REGISTERED:
         return REGISTERED[name](*args)
     if name.startswith(XSD):
@@ -334,10 +334,10 @@ def _resolved(text: Column, base: str | None) -> Column:
 def _choose(f, x: Val, y: Val) -> Val:
     """f of two values in one representation."""
     if x.t == y.t and x.dt == y.dt and x.prefix == y.prefix and x.t != "num":
-        return Val(x.t, f(x.col, y.col), x.dt, x.prefix)
+        return val_of(x.t, f(x.col, y.col), x.dt, x.prefix)
     if x.t == y.t == "iri":
         return Val("iri", f(x.lex(), y.lex()))
-    return Val("term", f(x.term(), y.term()))
+    return IdVal(f(x.id(), y.id()))
 
 
 __all__ = ["NUMERIC_TYPES", "UnsupportedFunction", "call", "register_function", "decimal_text", "number_text"]

@@ -1,7 +1,8 @@
 """Values of variables and expressions as columns of the narrowest type that is known when a query is compiled.
 
 A value is ``native`` (a column of a Spark type with a fixed datatype), ``iri`` (a key column behind a fixed prefix), ``num`` (a
-double whose RDF datatype depends on the row) or ``term`` (a term struct). NULL is an unbound variable or an error.
+double whose RDF datatype depends on the row), ``id`` (the N3 form of any term) or ``term`` (a term struct). NULL is an unbound
+variable or an error.
 """
 
 from __future__ import annotations
@@ -48,6 +49,11 @@ class Val:
     const: Term | None = None
 
     # what it is
+    @property
+    def is_term(self) -> bool:
+        """Whether only its rows tell what kind of term it is."""
+        return self.t in ("term", "id")
+
     def bound(self) -> Column:
         return self.col.isNotNull()
 
@@ -96,6 +102,8 @@ class Val:
         return self.col["dir"] if self.t == "term" else null("string")
 
     def id(self) -> Column:
+        if self.const is not None:
+            return F.lit(self.const.id)
         if self.t == "term":
             return self.col["id"]
         if self.t == "iri":
@@ -115,7 +123,7 @@ class Val:
     def num(self) -> Column:
         if self.is_number:
             return self.col.cast("double")
-        if self.t == "term":
+        if self.is_term:
             lex, dt = self.lex(), self.dtype()
             special = F.when(lex == "INF", F.lit(float("inf"))).when(lex == "-INF", F.lit(float("-inf"))).when(lex == "NaN", F.lit(float("nan")))
             return F.when(dt.isin(*NUMERIC_TYPES), F.when(lex.rlike(_NUMERIC_FORM), lex.try_cast("double")).otherwise(F.when(dt.isin(XSD.double, XSD.float), special)))
@@ -133,7 +141,7 @@ class Val:
         """The instant of a date or dateTime; without a zone it is UTC."""
         if self.t == "native":
             return self.col.cast("timestamp") if self.dt in (XSD.dateTime, XSD.date) else null("timestamp")
-        if self.t == "term":
+        if self.is_term:
             lex, dt = self.lex(), self.dtype()
             day = F.regexp_replace(lex, r"^(-?\d{4}-\d\d-\d\d)(Z|[+-]\d\d:\d\d)?$", "$1T00:00:00$2")
             ok = lex.rlike(r"^\d{4}-\d\d-\d\d(T\d\d:\d\d(:\d\d(\.\d+)?)?)?(Z|[+-]\d\d:\d\d)?$")
@@ -172,14 +180,14 @@ class Val:
 
     def out(self) -> Column:
         """The column of a result: native types, IRIs as strings, numbers as doubles, else term structs."""
-        return self.lex() if self.t == "iri" else self.col
+        return self.lex() if self.t == "iri" else self.term() if self.t == "id" else self.col
 
 
 class IdVal(Val):
     """A term by its id alone; each part is read from the id where it is needed."""
 
     def __init__(self, id: Column):
-        super().__init__("term", id)
+        super().__init__("id", id)
 
     def kind(self) -> Column:
         return id_kind(self.col)
@@ -206,6 +214,10 @@ class IdVal(Val):
         return F.when(self.kind() != BNODE, self.lex())
 
 
+def val_of(t: str, col: Column, dt: str | None = None, prefix: str = "", rank: Column | None = None) -> Val:
+    return IdVal(col) if t == "id" else Val(t, col, dt, prefix, rank=rank)
+
+
 def constant(t: Term) -> Val:
     """A constant in its native type, if it has one."""
     if t.kind == IRI:
@@ -251,7 +263,7 @@ def equal(a: Val, b: Val) -> Column:
         return same(a, b)
     if "iri" in (a.t, b.t) and "native" in (a.t, b.t) or "iri" in (a.t, b.t) and "num" in (a.t, b.t):
         return F.when(a.bound() & b.bound(), F.lit(False))
-    if as_string(a) and a.const is not None and b.t == "term" or as_string(b) and b.const is not None and a.t == "term":
+    if as_string(a) and a.const is not None and b.is_term or as_string(b) and b.const is not None and a.is_term:
         x, c = (b, a) if a.const is not None and as_string(a) else (a, b)
         return F.when(x.bound(), (x.kind() == LITERAL) & (x.lex() == c.lex()) & x.lang().isNull())
     na, nb, ta, tb = a.num(), b.num(), a.ts(), b.ts()
@@ -300,9 +312,7 @@ def merge(a: Val, b: Val) -> tuple[Val, Val]:
         return a, b
     if a.t == b.t == "iri":
         return Val("iri", a.lex()), Val("iri", b.lex())
-    if a.t == b.t == "native" and a.is_number and b.is_number and not (a.is_integer and b.is_integer):
-        return Val("term", a.term()), Val("term", b.term())
-    return Val("term", a.term()), Val("term", b.term())
+    return IdVal(a.id()), IdVal(b.id())
 
 
 __all__ = ["Val", "constant", "equal", "less", "same", "merge", "boolean", "string", "integer", "escaped", "make_term"]

@@ -8,7 +8,7 @@ from dataclasses import dataclass, replace
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from quadloom.functions.values import Val, merge, same
+from quadloom.functions.values import Val, merge, same, val_of
 
 
 @dataclass(frozen=True)
@@ -35,7 +35,7 @@ class Frame:
     def val(self, name: str) -> Val:
         i = self.info[name]
         c = F.col(f"`{self.col(name)}`")
-        return Val(i.t, c, i.dt, i.prefix, rank=F.col(f"`{_rank(self.col(name))}`") if i.t == "num" else None)
+        return val_of(i.t, c, i.dt, i.prefix, rank=F.col(f"`{_rank(self.col(name))}`") if i.t == "num" else None)
 
     @staticmethod
     def make(df: DataFrame, vals: dict[str, Val], certain: dict[str, bool] | None = None, keep: list[str] | None = None) -> Frame:
@@ -134,11 +134,11 @@ def unite(frames: list[Frame]) -> Frame:
 
 def _nothing(like: Val, f: Frame, n: str) -> Val:
     kind = f.df.schema[f.col(n)].dataType
-    return Val(like.t, F.lit(None).cast(kind), like.dt, like.prefix, rank=F.lit(None).cast("int") if like.t == "num" else None)
+    return val_of(like.t, F.lit(None).cast(kind), like.dt, like.prefix, rank=F.lit(None).cast("int") if like.t == "num" else None)
 
 
 def _narrow(a: Val, b: Val) -> Val:
-    order = {"native": 0, "iri": 1, "num": 2, "term": 3}
+    order = {"native": 0, "iri": 1, "num": 2, "id": 3, "term": 4}
     if a.t == b.t == "iri":
         return a if len(a.prefix) >= len(b.prefix) else b
     return a if order[a.t] <= order[b.t] else b

@@ -8,8 +8,8 @@ from dataclasses import dataclass, field
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quadloom.functions.terms import BNODE, IRI, QUADS, TERM_DDL, TRIPLE, Term, parse_id, term_of_id, triple_parts
-from quadloom.functions.values import Val, constant, same, string
+from quadloom.functions.terms import BNODE, IRI, QUADS, TERM_DDL, TRIPLE, Term, parse_id, triple_parts
+from quadloom.functions.values import IdVal, Val, constant, same, string
 from quadloom.functions.vocab import RDF, XSD
 from quadloom.plans.frames import Frame, unite
 from quadloom.sparql.ast import TripleTermPattern, Var
@@ -66,9 +66,9 @@ class QuadGraph:
             else:
                 extra.append((node, val))
 
-        place(s, Val("term", F.col("s")))
+        place(s, IdVal(F.col("s.id")))
         place(p, Val("iri", F.col("p")))
-        place(o, Val("term", F.col("o")))
+        place(o, IdVal(F.col("o.id")))
         if isinstance(graph, Var):
             place(graph, Val("iri", F.col("g")))
         for k, (node, val) in enumerate(extra):
@@ -87,7 +87,7 @@ class QuadGraph:
                 if part.name in vals:
                     df = df.where(vals[part.name].id() == inner)
                 else:
-                    vals[part.name] = Val("term", term_of_id(inner))
+                    vals[part.name] = IdVal(inner)
             else:
                 df = df.where(inner.startswith("<<("))
                 df = self._match_parts(df, part, inner, f"{name}{field_}", vals)
@@ -215,12 +215,12 @@ class VirtualGraph:
             else:
                 wild.append(t)
         for k, t in enumerate(wild):  # a variable predicate: the row's triples, unpivoted
-            cells = [F.struct(F.lit(RDF.type).alias("p"), Val("iri", F.lit(c.iri)).term().alias("o"))]
+            cells = [F.struct(F.lit(RDF.type).alias("p"), Val("iri", F.lit(c.iri)).id().alias("o"))]
             for p, m in c.columns.items():
                 v = Val("iri", F.col(m.column), prefix=m.to) if m.to else Val("native", F.col(m.column), m.dt)
-                cells.append(F.when(F.col(m.column).isNotNull(), F.struct(F.lit(p).alias("p"), v.term().alias("o"))))
+                cells.append(F.when(F.col(m.column).isNotNull(), F.struct(F.lit(p).alias("p"), v.id().alias("o"))))
             df = df.withColumn(f"_w{k}", F.explode(F.array_compact(F.array(*cells))))
-            if not put(t.p, Val("iri", F.col(f"_w{k}")["p"])) or not put(t.o, Val("term", F.col(f"_w{k}")["o"])):
+            if not put(t.p, Val("iri", F.col(f"_w{k}")["p"])) or not put(t.o, IdVal(F.col(f"_w{k}")["o"])):
                 return None
         for x in conditions:
             df = df.where(x)

@@ -35,7 +35,7 @@ ask("union_of_classes", "customer supplier nation",
 over_quads("agg_terms", "SELECT ?p (COUNT(DISTINCT ?o) AS ?n) (COUNT(*) AS ?m) WHERE { ?s ?p ?o } GROUP BY ?p",
     f"WITH q AS {_Q} SELECT '<' || p || '>' AS p, CAST(count(DISTINCT o) AS VARCHAR) AS n, CAST(count(*) AS VARCHAR) AS m FROM q GROUP BY p")
 over_quads("agg_datatypes", "SELECT ?dt ?lang (COUNT(*) AS ?n) WHERE { ?s ?p ?o FILTER(ISLITERAL(?o)) BIND(DATATYPE(?o) AS ?dt) BIND(LANG(?o) AS ?lang) } GROUP BY ?dt ?lang",
-    f"WITH q AS (SELECT s, p, o, min(dt) AS dt, min(lang) AS lang FROM {_QK} x WHERE k = 2 GROUP BY s, p, o) SELECT '<' || coalesce(dt, '{XSD.string}') || '>' AS dt, '\"' || coalesce(lang, '') || '\"' AS lang, CAST(count(*) AS VARCHAR) AS n FROM q GROUP BY 1, 2")
+    f"WITH q AS (SELECT s, p, o, min(dt) AS dt, min(lower(lang)) AS lang FROM {_QK} x WHERE k = 2 GROUP BY s, p, o) SELECT '<' || coalesce(dt, '{XSD.string}') || '>' AS dt, '\"' || coalesce(lang, '') || '\"' AS lang, CAST(count(*) AS VARCHAR) AS n FROM q GROUP BY 1, 2")
 over_quads("filter_numeric_terms", "SELECT ?f ?v WHERE { ?f s:votes ?v FILTER(?v >= 100000) }",
     f"""WITH q AS (SELECT s, o, min(lex) AS lex, min(dt) AS dt FROM {_QK} x WHERE p = '{S_}votes' AND k = 2 GROUP BY s, o) SELECT s AS f, o AS v FROM q
     WHERE dt IN ('{XSD.integer}', '{XSD.int}', '{XSD.long}', '{XSD.decimal}', '{XSD.double}', '{XSD.float}') AND regexp_matches(lex, '^[+-]?([0-9]+([.][0-9]*)?|[.][0-9]+)([eE][+-]?[0-9]+)?$') AND try_cast(lex AS DOUBLE) >= 100000""")

@@ -172,13 +172,20 @@ def _stars(held: DataFrame) -> list[DataFrame]:
 
 
 def _keys(t: Triples, lists: DataFrame, typed: DataFrame) -> DataFrame:
-    """prp-key: instances that share a value of every key property. Values meet by equality of (class, property, value)."""
+    """prp-key: instances that share a value of every key property are linked to the least of them.
+
+    An instance has a tuple for every choice of one value per key; equal tuples meet in an aggregate, not in pairs.
+    """
     keys = _members(lists, t.p(OWL.hasKey)).select("owner", "n", "i", _strip("member").alias("kp"))
     a = t.all
-    have = a.join(keys, a.p == F.col("kp")).join(typed, (F.col("s") == F.col("x")) & (F.col("owner") == F.col("c"))).select("owner", "n", "i", "o", "s").distinct()
-    b = have.select(F.col("owner").alias("owner2"), F.col("i").alias("i2"), F.col("o").alias("o2"), F.col("s").alias("s2"))
-    meet = have.join(b, (F.col("owner") == F.col("owner2")) & (F.col("i") == F.col("i2")) & (F.col("o") == F.col("o2"))).where("s < s2")
-    return _out(meet.groupBy("owner", "n", "s", "s2").agg(F.count_distinct("i").alias("k")).where("k = n"), "s", SAME, "s2")
+    have = a.join(keys, a.p == F.col("kp")).join(typed, (F.col("s") == F.col("x")) & (F.col("owner") == F.col("c"))).select("owner", "n", "i", "o", "s")
+    values = have.groupBy("owner", "n", "s", "i").agg(F.sort_array(F.collect_set("o")).alias("vs"))
+    whole = values.groupBy("owner", "n", "s").agg(F.sort_array(F.collect_list(F.struct("i", "vs"))).alias("ks")).where("size(ks) = n")
+    grow = lambda done, xs: F.flatten(F.transform(done, lambda d: F.transform(xs, lambda x: F.concat(d, F.lit(" "), x))))
+    tuples = F.aggregate(F.transform("ks", lambda k: k["vs"]), F.array(F.lit("")), grow)
+    rows = whole.select("owner", "s", F.explode(tuples).alias("key"))
+    least = rows.groupBy("owner", "key").agg(F.min("s").alias("m")).select(F.col("owner").alias("owner2"), F.col("key").alias("key2"), "m")
+    return _out(rows.join(least, (F.col("owner") == F.col("owner2")) & (F.col("key") == F.col("key2"))).where("s <> m"), "m", SAME, "s")
 
 
 def _chains(t: Triples, lists: DataFrame) -> list[DataFrame]:

@@ -8,8 +8,8 @@ from dataclasses import replace
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from quadloom.functions.terms import IRI, Term, parse_id, term_of_id
-from quadloom.functions.values import Val
+from quadloom.functions.terms import IRI, Term, parse_id
+from quadloom.functions.values import IdVal, Val
 from quadloom.functions.vocab import SH
 from quadloom.plans.frames import Frame, join
 from quadloom.shacl.shapes import Constraint, Shape
@@ -69,7 +69,7 @@ def _run(v, owner: Term, text: str, frame: Frame, s: Shape | None) -> Frame:
     q: Query = p.query()
     consts = {"currentShape": s.id, "shapesGraph": Term(IRI, "urn:x-shapes-graph")} if s is not None else {}
     for name, t in consts.items():
-        frame = frame.extend(name, Val("iri", F.lit(t.lex)) if t.kind == IRI else Val("term", term_of_id(F.lit(t.id))), True)
+        frame = frame.extend(name, Val("iri", F.lit(t.lex)) if t.kind == IRI else IdVal(F.lit(t.id)), True)
     c = _Compiler(v.graph(), q.prefixes, q.base)
     q.where = _seeded(q.where, Preset(frame))
     if q.form == "ASK":
@@ -87,7 +87,7 @@ def _run(v, owner: Term, text: str, frame: Frame, s: Shape | None) -> Frame:
 
 
 def _focus_frame(focus: DataFrame, name: str = "this", column: str = "focus") -> Frame:
-    return Frame.make(focus, {name: Val("term", term_of_id(F.col(column)))})
+    return Frame.make(focus, {name: IdVal(F.col(column))})
 
 
 def select_nodes(v, target: Term) -> DataFrame:
@@ -139,13 +139,13 @@ def component_constraint(v, s: Shape, c: Constraint, focus: DataFrame, value: Da
 
     def with_arguments(f: Frame) -> Frame:
         for name, t in c.extra["arguments"].items():
-            f = f.extend(name, Val("term", term_of_id(F.lit(t.id))), True)
+            f = f.extend(name, IdVal(F.lit(t.id)), True)
         return f
 
     if select is not None:
         f = _run(v, validator, select.lex, with_arguments(_focus_frame(focus)), s)
         return [_rows(v, s, c, f, texts, spec["id"].id)]
-    base = Frame.make(value, {"this": Val("term", term_of_id(F.col("focus"))), "value": Val("term", term_of_id(F.col("value")))})
+    base = Frame.make(value, {"this": IdVal(F.col("focus")), "value": IdVal(F.col("value"))})
     f = _run(v, validator, ask.lex, with_arguments(base), s)
     good = f.df.select(f.val("this").id().alias("f2"), f.val("value").id().alias("v2"))
     bad = value.join(good, F.expr("focus = f2 AND value = v2"), "left_anti")

@@ -9,8 +9,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from quadloom.functions import library
-from quadloom.functions.terms import BNODE, IRI, LITERAL, Term, make_term, term_of_id
-from quadloom.functions.values import Val, constant, integer, string
+from quadloom.functions.terms import BNODE, IRI, LITERAL, Term, make_term
+from quadloom.functions.values import IdVal, Val, constant, integer, string, val_of
 from quadloom.functions.vocab import INTEGER_TYPES, NUMERIC_TYPES, XSD
 from quadloom.operators.closure import closure, reachable
 from quadloom.plans.frames import Frame, distinct, exists_join, join, key_columns, unite
@@ -129,7 +129,7 @@ class Compiler:
                 vals[n] = integer(F.col(f"c{i}"))
             else:
                 cols.append((f"c{i} string", [t and t.id for t in terms]))
-                vals[n] = Val("term", term_of_id(F.col(f"c{i}")))
+                vals[n] = IdVal(F.col(f"c{i}"))
         if not p.names:
             f = Frame.unit(self.spark)
             return Frame(f.df.select(F.explode(F.sequence(F.lit(1), F.lit(len(p.rows)))).alias("v")) if p.rows else f.df.limit(0), {})
@@ -237,7 +237,7 @@ class Compiler:
                 if node.name in vals:
                     df = df.where(F.col("a") == F.col("b"))
                 else:
-                    vals[node.name] = Val("term", term_of_id(F.col(c)))
+                    vals[node.name] = IdVal(F.col(c))
             else:
                 raise SparqlError("a path's ends are terms or variables")
         if grouped:
@@ -379,7 +379,7 @@ class Compiler:
         certain: dict[str, bool] = {}
         for i, n in enumerate(names):
             v, info = f.val(n), f.info[n]
-            vals[n] = Val("term", F.col(f"first_{n}")) if v.t in ("term", "num") else Val(v.t, F.col(f"k_{i}"), v.dt, v.prefix)
+            vals[n] = Val("term", F.col(f"first_{n}")) if v.t in ("term", "num") else val_of(v.t, F.col(f"k_{i}"), v.dt, v.prefix)
             certain[n] = info.certain
         for name, make in finish.items():
             vals[name] = make()
@@ -439,18 +439,18 @@ class Compiler:
                 finish[name] = lambda: Val(v.t, col(0), v.dt)
             else:
                 keys = [k.alias(f"o{i}") for i, k in enumerate(v.order())]
-                add(best(F.when(v.bound(), F.struct(*keys, v.term().alias("term")))))
-                finish[name] = lambda: Val("term", col(0)["term"])
+                add(best(F.when(v.bound(), F.struct(*keys, v.id().alias("id")))))
+                finish[name] = lambda: IdVal(col(0)["id"])
             return
         if c.name == "SAMPLE":
             if v.t in ("native", "iri"):
                 add(F.min(v.col if v.t == "native" else v.lex()))
                 finish[name] = lambda: Val(v.t, col(0), v.dt)
             else:
-                add(F.min(F.when(v.bound(), F.struct(v.id().alias("id"), v.term().alias("term")))))
-                finish[name] = lambda: Val("term", col(0)["term"])
+                add(F.min(v.id()))
+                finish[name] = lambda: IdVal(col(0))
             return
-        text = v.text() if v.t == "term" else v.lex()
+        text = v.text() if v.is_term else v.lex()
         add(F.sort_array((F.collect_set if c.distinct else F.collect_list)(text)))
         finish[name] = lambda: string(F.array_join(col(0), c.separator if c.separator is not None else " "))
 
