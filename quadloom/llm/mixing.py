@@ -99,7 +99,9 @@ def mix_sources(
     sizes = documents.select(F.col(key).alias("_key"), F.col(source).alias("_source"), F.col(tokens).cast("bigint").alias("_n"))
     sizes = staging.cut(sizes.where("_key IS NOT NULL AND _source IS NOT NULL AND _n > 0"))
     plan = staging.cut(plan_mix(sizes.select(F.col("_source").alias(source), F.col("_n").alias(tokens)), targets, source, tokens, share, most))
-    listed = plan.collect()  # as many rows as the list of targets
+    listed = plan.limit(MOST_SLOTS + 1).collect()  # as many rows as the list of targets
+    if len(listed) > MOST_SLOTS:
+        raise ValueError(f"a mix of {len(listed)} sources; the list of targets is bounded by {MOST_SLOTS}")
     usable = [r for r in listed if r["usable"]]
     parts = parts_of({r["source"]: r["target_share"] for r in usable})
     period = sum(parts.values())

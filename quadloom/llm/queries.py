@@ -61,4 +61,4 @@ SELECT node, min(g) AS group_id FROM r GROUP BY node
 """
 
 QUERIES = {"p3_found": p3_found, "p3_forms": p3_forms, "p4_found": p4_found, "p6_ids": p6_ids, "p7_mix": p7_mix, "p7_shares": p7_shares, "p8_found": p8_found, "p8_statistics": p8_statistics}
-SQL: dict[str, str] = {}
+SQL: dict[str, str] = {"p4_found": P4_SQL}
