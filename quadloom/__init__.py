@@ -4,7 +4,7 @@ import importlib
 
 #: Public names by module, loaded when they are first used.
 _PUBLIC = {
-    "quadloom.plans.dataset": ("Dataset", "Resource"),
+    "quadloom.plans.dataset": ("Collection", "Dataset", "Resource"),
     "quadloom.plans.graphs": ("ClassMap", "QuadGraph", "VirtualGraph", "frame_of_terms", "map_table"),
     "quadloom.functions.terms": ("Term", "bnode", "iri", "literal", "parse_id", "triple_term"),
     "quadloom.functions.vocab": ("DC", "DCAT", "DCTERMS", "FOAF", "OWL", "PROV", "Prefixes", "RDF", "RDFS", "SH", "SKOS", "SOSA", "SSN", "VOID", "XSD"),

@@ -95,7 +95,7 @@ def connected(q: DataFrame) -> DataFrame:
 
 
 def collections(q: DataFrame, staging: Staging | None = None) -> DataFrame:
-    """(list, items): every rdf:List head with the ids of its items in order.
+    """(list, items, cells): every rdf:List head with the ids of its items and of its cells in order.
 
     The cells' distances from their heads come from pointer doubling over rdf:rest; a list that runs in a ring or lacks
     an end ends where it first repeats or stops.
@@ -120,7 +120,8 @@ def collections(q: DataFrame, staging: Staging | None = None) -> DataFrame:
         jump = staging.cut(jump.join(j2, F.col("to") == F.col("f2")).select("from", F.col("t2").alias("to")))
         step *= 2
     items = reach.join(cells.select("cell", "item"), "cell")
-    return items.groupBy("list").agg(F.transform(F.sort_array(F.collect_list(F.struct("at", "item"))), lambda x: x["item"]).alias("items"))
+    whole = items.groupBy("list").agg(F.sort_array(F.collect_list(F.struct("at", "item", "cell"))).alias("x"))
+    return whole.select("list", F.transform("x", lambda x: x["item"]).alias("items"), F.transform("x", lambda x: x["cell"]).alias("cells"))
 
 
 def terms(df: DataFrame, *columns: str) -> DataFrame:

@@ -7,8 +7,8 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quadloom.functions.terms import Term
-from quadloom.functions.vocab import Prefixes
+from quadloom.functions.terms import IRI, Term, parse_id
+from quadloom.functions.vocab import RDF, Prefixes
 from quadloom.operators import graph_ops
 from quadloom.plans.graphs import QuadGraph, frame_of_terms
 from quadloom.sparql.compiler import Result, run_query
@@ -93,12 +93,14 @@ class Dataset:
         return self._next(add_quads(kept, frame_of_terms(self.spark, [quad])))
 
     def write(self, path: str) -> None:
-        """Parquet by predicate, so that a pattern with a constant predicate reads its part alone."""
-        self.quads.withColumn("predicate", F.col("p")).write.partitionBy("predicate").mode("errorifexists").parquet(path)
+        """Parquet by predicate, so that a pattern with a constant predicate reads its part alone; and the prefixes."""
+        self.quads.withColumn("predicate", F.col("p")).write.partitionBy("predicate").mode("errorifexists").parquet(f"{path}/quads")
+        self.spark.createDataFrame(sorted(self.prefixes.of.items()), "prefix string, namespace string").coalesce(1).write.parquet(f"{path}/prefixes")
 
     @classmethod
     def read(cls, spark: SparkSession, path: str) -> Dataset:
-        return cls(spark.read.parquet(path).drop("predicate"))
+        prefixes = {r["prefix"]: r["namespace"] for r in spark.read.parquet(f"{path}/prefixes").collect()}
+        return cls(spark.read.parquet(f"{path}/quads").drop("predicate"), Prefixes(prefixes))
 
 
 class Resource:
@@ -115,3 +117,49 @@ class Resource:
 
     def value(self, predicate: str) -> str | None:
         return graph_ops.value(self.dataset.quads, s=self.node.id, p=predicate)
+
+
+class Collection:
+    """An rdf:List of a dataset by its head: one list, read as arrays. Changes give a new dataset."""
+
+    def __init__(self, dataset: Dataset, head: Term):
+        self.dataset, self.head = dataset, head
+        self._arrays: tuple[list[str], list[str]] | None = None
+
+    def _read(self) -> tuple[list[str], list[str]]:
+        if self._arrays is None:
+            cells = self.dataset.quads.where(F.col("p").isin(RDF.first, RDF.rest))
+            row = graph_ops.collections(cells).where(F.col("list") == self.head.id).first()
+            self._arrays = ([], []) if row is None else (row["items"], row["cells"])
+        return self._arrays
+
+    def items(self) -> list[str]:
+        """The ids of the items in order."""
+        return self._read()[0]
+
+    def __len__(self) -> int:
+        return len(self.items())
+
+    def __getitem__(self, i: int) -> str:
+        return self.items()[i]
+
+    def __iter__(self):
+        return iter(self.items())
+
+    def index(self, item: Term) -> int:
+        return self.items().index(item.id)
+
+    def append(self, item: Term, cell: Term) -> Dataset:
+        """The dataset in which the list ends with a new cell that holds the item."""
+        cells = self._read()[1]
+        end = Term(IRI, RDF.nil)
+        if not cells:
+            raise ValueError(f"{self.head} is no list")
+        last = parse_id(cells[-1])
+        changed = self.dataset.remove(s=last.id, p=RDF.rest)
+        return changed.add(frame_of_terms(self.dataset.spark, [(None, last, Term(IRI, RDF.rest), cell), (None, cell, Term(IRI, RDF.first), item), (None, cell, Term(IRI, RDF.rest), end)]))
+
+    def clear(self) -> Dataset:
+        """The dataset without the cells of the list."""
+        gone = self.dataset.quads.where(F.col("p").isin(RDF.first, RDF.rest) & F.col("s.id").isin(self._read()[1]))
+        return self.dataset.remove_quads(gone)

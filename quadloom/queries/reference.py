@@ -218,7 +218,8 @@ def subject_predicates(spark, d):
     return graph_ops.parts(spark.read.parquet(f"{d}/quads.parquet"), "sp")
 
 
-@plan("graph_connected")
+@plan("graph_connected", """WITH RECURSIVE e AS (SELECT s.id AS a, o.id AS b FROM quads WHERE s.id IS NOT NULL AND o.id IS NOT NULL UNION SELECT o.id, s.id FROM quads WHERE s.id IS NOT NULL AND o.id IS NOT NULL),
+r AS (SELECT min(a) AS x FROM e UNION SELECT e.b FROM r JOIN e ON e.a = r.x) SELECT (SELECT count(*) FROM r) = (SELECT count(DISTINCT a) FROM e) AS connected""")
 def graph_connected(spark, d):
     return graph_ops.connected(spark.read.parquet(f"{d}/quads.parquet"))
 

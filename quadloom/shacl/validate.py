@@ -117,7 +117,7 @@ class Validator:
         """(list, items, ok): list heads with their items; ok if every cell has one first and one rest and the end is rdf:nil."""
         if self._lists is None:
             cells = self.quads.where(F.col("p").isin(RDF.first, RDF.rest)).select("s", "p", "o")
-            whole = collections(cells, self.staging)
+            whole = collections(cells, self.staging).select("list", "items")
             n = self.p(RDF.rest).groupBy(F.col("s").alias("cell")).agg(F.count(F.lit(1)).alias("rests"), F.min("o").alias("next"))
             m = self.p(RDF.first).groupBy(F.col("s").alias("cell2")).agg(F.count(F.lit(1)).alias("firsts"))
             good = n.join(m, F.col("cell") == F.col("cell2")).where("rests = 1 AND firsts = 1").select("cell", "next")

@@ -40,3 +40,15 @@ def test_path_builder(graph):
     assert ends(p.maybe) == ["a", "b"] and ends(p | q) == ["b", "c"] and ends(none_of(e + "p")) == ["c"] and ends(~p, s=iri(e + "b")) == ["a"]
     assert ends((~p).plus, s=iri(e + "d")) == ["a", "b", "c"] and ends(p / q) == []
     assert p.star.pairs(g).count() == 10
+
+
+def test_collection_of_a_dataset(graph, spark):
+    from quadloom.functions.terms import bnode, literal
+    from quadloom.plans.dataset import Collection, Dataset
+
+    ds = Dataset(graph("_:h rdf:first 1 ; rdf:rest _:t . _:t rdf:first ex:x ; rdf:rest () ."))
+    c = Collection(ds, bnode("h"))
+    assert len(c) == 2 and c[0] == "1" and c.index(iri("http://example.org/x")) == 1 and list(Collection(ds, bnode("none"))) == []
+    longer = c.append(literal(3), bnode("new"))
+    assert Collection(longer, bnode("h")).items() == ["1", "<http://example.org/x>", "3"] and len(c) == 2
+    assert c.clear().count() == 0 and longer.count() == 6

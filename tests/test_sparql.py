@@ -206,7 +206,7 @@ def test_dataset(spark, named, short, tmp_path):
     assert Resource(ds, iri("http://example.org/a")).objects(p).count() == 2
     ds.write(str(tmp_path / "store"))
     back = Dataset.read(spark, str(tmp_path / "store"))
-    assert rows(back, short) == rows(ds, short)
+    assert rows(back, short) == rows(ds, short) and back.prefixes.of == ds.prefixes.of
     with pytest.raises(ValueError):
         ds.remove_graph(None)
     assert Dataset.empty(spark).count() == 0 and Dataset.empty(spark).query("SELECT * { ?s ?p ?o }").df.count() == 0
