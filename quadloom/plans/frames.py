@@ -181,7 +181,7 @@ def join(a: Frame, b: Frame, how: str = "inner", condition: Callable[[Frame], Co
             both[n] = r.val(n)
             certain[n] = b.info[n].certain and how == "inner"
     if how == "left" and condition is not None:
-        c = F.coalesce(condition(_Both(a, r, both, certain)), F.lit(False))
+        c = condition(_Both(a, r, both, certain))
         on = c if on is None else on & c
     if on is None:
         df = a.df.crossJoin(r.df) if how == "inner" else a.df.join(r.df, F.lit(True), how)
@@ -235,7 +235,7 @@ def exists_join(a: Frame, b: Frame, negated: bool, condition: Callable[[Frame],
         on = on & F.coalesce(overlap, F.lit(False))
     if condition is not None:
         vals = {**{n: r.val(n) for n in b.info}, **a.vals()}
-        c = F.coalesce(condition(_Both(a, r, vals, dict.fromkeys(vals, False))), F.lit(False))
+        c = condition(_Both(a, r, vals, dict.fromkeys(vals, False)))
         on = c if on is None else on & c
     df = a.df.join(r.df, F.lit(True) if on is None else on, "left_anti" if negated else "left_semi")
     return Frame(df, a.info)

@@ -254,7 +254,7 @@ class Compiler:
         if isinstance(condition, Exists):
             return self.exists(f, condition, g)
         f, e = self.marked(f, condition, g)
-        return self.tidy(f.where(F.coalesce(self.expr(e, f).ebv(), F.lit(False))))
+        return self.tidy(f.where(self.expr(e, f).ebv()))
 
     def exists(self, f: Frame, e: Exists, g) -> Frame:
         inner, condition = e.pattern, None
