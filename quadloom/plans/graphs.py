@@ -149,6 +149,16 @@ class VirtualGraph:
     def graph_names(self) -> DataFrame:
         return self.spark.createDataFrame([], "g string")
 
+    def optional_star(self, s, triples: list, groups: list[list]) -> Frame | None:
+        """A star with optional groups of patterns of the same subject, whose objects are new variables, as one scan.
+
+        None unless a single class answers the star and has all the predicates.
+        """
+        options = [c for c in self.classes if self._star_of(c, s, triples) is not None]
+        if len(options) != 1 or any(t.p.lex not in options[0].columns for g in groups for t in g):
+            return None
+        return self._star_of(options[0], s, triples, groups)
+
     def star(self, s, triples: list) -> Frame:
         """The solutions of the patterns of one subject."""
         options = [f for c in self.classes if (f := self._star_of(c, s, triples)) is not None]
@@ -157,8 +167,8 @@ class VirtualGraph:
         names = {x.name for t in triples for x in (s, t.p, t.o) if isinstance(x, Var)}
         return Frame.make(self.spark.range(0), {n: string(F.lit("")) for n in names})
 
-    def _star_of(self, c: ClassMap, s, triples: list) -> Frame | None:
-        df, vals = c.table, {}
+    def _star_of(self, c: ClassMap, s, triples: list, groups: list[list] = ()) -> Frame | None:
+        df, vals, certain = c.table, {}, {}
         key = Val("iri", c.key_column(), prefix=c.template)
         conditions = []
 
@@ -224,7 +234,16 @@ class VirtualGraph:
                 return None
         for x in conditions:
             df = df.where(x)
-        return Frame.make(df, vals)
+        for g in groups:  # all of a group or none of it
+            whole = F.lit(True)
+            for t in g:
+                whole = whole & F.col(c.columns[t.p.lex].column).isNotNull()
+            for t in g:
+                m = c.columns[t.p.lex]
+                col = F.col(m.column).cast("bigint") if m.to is None and m.dt == XSD.integer else F.col(m.column)
+                vals[t.o.name] = Val("iri", F.when(whole, col), prefix=m.to) if m.to else Val("native", F.when(whole, col) if len(g) > 1 else col, m.dt)
+                certain[t.o.name] = False
+        return Frame.make(df, vals, certain)
 
     def triple(self, s, p, o, graph=None) -> Frame:
         from quadloom.sparql.ast import Triple

@@ -4,12 +4,12 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from quadloom.functions.terms import Term
 from quadloom.functions.vocab import OWL, RDF, RDFS, XSD
 from quadloom.operators import graph_ops
 from quadloom.plans.dataset import Dataset
-from quadloom.queries.reference import _Q, _QK, FILMS, S_, _added, ask, over_quads, plan
 from quadloom.queries import reference
-from quadloom.functions.terms import Term
+from quadloom.queries.reference import _Q, _QK, S_, _added, ask, over_quads, plan
 from quadloom.shacl.validate import validate
 from quadloom.sources.turtle import parse_turtle
 
@@ -22,6 +22,9 @@ ask("path_inverse_tables", "nation region",
 ask("fn_text", "documents",
     "SELECT ?d (STRLEN(?t) AS ?n) (CONTAINS(LCASE(?t), 'court') AS ?c) WHERE { ?x :doc_id ?d ; :text ?t }",
     "SELECT doc_id AS d, CAST(length(text) AS BIGINT) AS n, contains(lower(text), 'court') AS c FROM documents WHERE text IS NOT NULL")
+ask("optional_columns", "documents",
+    "SELECT ?d ?l ?k ?r WHERE { ?x :doc_id ?d OPTIONAL { ?x :lang ?l } OPTIONAL { ?x :docket ?k ; :ruling_id ?r } }",
+    "SELECT doc_id AS d, lang AS l, CASE WHEN ruling_id IS NOT NULL THEN docket END AS k, CASE WHEN docket IS NOT NULL THEN ruling_id END AS r FROM documents")
 ask("agg_events", "events",
     "SELECT ?t (COUNT(DISTINCT ?u) AS ?users) (MIN(?v) AS ?lo) (MAX(?ts) AS ?last) WHERE { ?e :event_type ?t ; :user_id ?u ; :value ?v ; :ts ?ts } GROUP BY ?t",
     "SELECT event_type AS t, count(DISTINCT user_id) AS users, min(value) AS lo, max(ts) AS last FROM events GROUP BY 1")

@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 from quadloom.functions import library
 from quadloom.functions.terms import BNODE, IRI, LITERAL, Term, make_term
 from quadloom.functions.values import IdVal, Val, constant, integer, string, val_of
-from quadloom.functions.vocab import INTEGER_TYPES, NUMERIC_TYPES, XSD
+from quadloom.functions.vocab import INTEGER_TYPES, NUMERIC_TYPES, RDF, XSD
 from quadloom.operators.closure import closure, reachable
 from quadloom.plans.frames import Frame, distinct, exists_join, join, key_columns, unite
 from quadloom.plans.graphs import VirtualGraph
@@ -69,6 +69,10 @@ class Compiler:
             return join(self.pattern(p.left, g), self.pattern(p.right, g))
         if isinstance(p, LeftJoin) and has_exists(p.condition):
             return self.optional_exists(self.pattern(p.left, g), self.pattern(p.right, g), p.condition, g)
+        if isinstance(p, LeftJoin) and isinstance(self.graph, VirtualGraph) and g is None:
+            f = self.optional_columns(p)
+            if f is not None:
+                return f
         if isinstance(p, LeftJoin):
             condition = None if p.condition is None else (lambda f: self.expr(p.condition, f).ebv())
             return join(self.pattern(p.left, g), self.pattern(p.right, g), "left", condition)
@@ -97,6 +101,27 @@ class Compiler:
             return self.select(p.query, g)
         raise SparqlError(f"unknown pattern {type(p).__name__}")
 
+    def optional_columns(self, p: LeftJoin) -> Frame | None:
+        """OPTIONALs of further columns of a star's own table: part of its scan instead of a join with itself."""
+        groups: list[list[Triple]] = []
+        while isinstance(p, LeftJoin) and isinstance(p.right, BGP) and p.right.triples and p.condition is None:
+            groups.insert(0, p.right.triples)
+            p = p.left
+        if not groups or not isinstance(p, BGP) or not p.triples:
+            return None
+        subject, taken = groups[0][0].s, pattern_vars(p)
+        for t in (t for group in groups for t in group):
+            plain = isinstance(t.p, Term) and t.p.lex != RDF.type and isinstance(t.o, Var)
+            if t.s != subject or not isinstance(t.s, Var) or not plain or t.o.name in taken:
+                return None
+            taken.add(t.o.name)
+        star = [t for t in p.triples if t.s == subject]
+        rest = [t for t in p.triples if t.s != subject]
+        if not star or any(not isinstance(t.p, (Term, Var)) for t in star):
+            return None
+        f = self.graph.optional_star(subject, star, groups)
+        return f if f is None or not rest else join(f, self.bgp(rest, None))
+
     def optional_exists(self, left: Frame, right: Frame, condition: object, g) -> Frame:
         """A left join whose condition has EXISTS: the filtered inner join, and the left solutions that it lacks."""
         names = list(left.info)

@@ -62,3 +62,16 @@ def test_quad_patterns_carry_ids_only(spark, graph, tmp_path):
     g = QuadGraph(spark.read.parquet(str(tmp_path / "q")))
     p = run_query(g, "PREFIX ex: <http://example.org/> SELECT (COUNT(*) AS ?n) { ?x ex:p ?y . ?y ex:p ?z }").df._jdf.queryExecution().executedPlan().toString()
     assert "lex" not in p and "EqualTo(p,http://example.org/p)" in p and "ReadSchema: struct<g:string,s:struct<id:string>,p:string,o:struct<id:string>>" in p
+
+
+def test_optional_columns_are_part_of_the_scan(spark):
+    rows = [(1, "a", 5, 0), (2, None, 6, 1), (3, "c", None, None)]
+    g = VirtualGraph([map_table(spark.createDataFrame(rows, "k long, b string, c long, f long"), "http://t#One", "http://x/one/", ["k"], "http://t#", {"to": ("f", "http://x/two/")})])
+    text = "SELECT * { ?s a :One ; :k ?k OPTIONAL { ?s :b ?b } OPTIONAL { ?s :c ?c ; :to ?t } }"
+    assert "Join" not in plan(g, text)
+    got = sorted(((r.k, r.b, r.c, r.t) for r in run_query(g, P + text).df.collect()), key=repr)
+    assert got == [(1, "a", 5, "http://x/two/0"), (2, None, 6, "http://x/two/1"), (3, "c", None, None)]
+    for other in ("OPTIONAL { ?s :b ?k2 . ?s :c 5 }", "OPTIONAL { ?s :b ?b FILTER(?k > 1) }", "OPTIONAL { ?z :b ?b }", "OPTIONAL { ?s :b ?s2 } OPTIONAL { ?s :b ?s2 }"):
+        assert "Join" in plan(g, "SELECT * { ?s a :One ; :k ?k " + other + " }"), other
+    assert run_query(g, P + "SELECT ?k ?b { ?s a :One ; :k ?k OPTIONAL { ?s :b ?b FILTER(?k > 1) } FILTER(BOUND(?b)) }").df.collect()[0].k == 3
+    assert run_query(g, P + "SELECT ?k { ?s :k ?k OPTIONAL { ?s :b ?b } OPTIONAL { ?r :b ?b ; :k ?m } }").df.count() == 4
