@@ -54,3 +54,10 @@ def test_found(spark):
     assert flag_tails(text_statistics(df.limit(0), "id", "t", "lang", WORDS)).count() == 0
     empty = df.where("id BETWEEN 2000 AND 2002")
     assert flag_tails(text_statistics(empty, "id", "t", "lang", WORDS)).count() == 3
+
+
+@pytest.mark.parametrize("n", [30, 150])
+def test_found_where_junk_prevails(spark, n):
+    rows = [(i, f"{SENTENCE} {SENTENCE} Case {i}." if i % 5 == 0 else f"{JUNK[i % len(JUNK)]}\n[{i}]", "en") for i in range(n)]
+    flagged = flag_tails(text_statistics(spark.createDataFrame(rows, "id long, t string, lang string"), "id", "t", "lang", WORDS)).cache()
+    assert {r.id for r in not_prose(flagged, "id").collect()} == {i for i in range(n) if i % 5}
