@@ -92,7 +92,7 @@ def _is_prose(body: str, listed: bool, words: list[str], n_common: int, n_symbol
     tail = (_MARKUP.sub("", body) if body.endswith("|>") else body).rstrip(_TAIL)
     if not (tail and tail[-1] in ".!?…") and not (n >= 12 and share >= 0.3 and _FULL_STOP.search(body)):
         return False
-    if len(set(words[:200])) < 0.25 * min(n, 200):
+    if any(len(set(words[max(0, min(i, n - 200)) :][:200])) < 0.25 * min(n, 200) for i in range(0, n, 200)):
         return False
     starts = _NEXT.findall(body)
     if sum(map(str.islower, starts)) > 0.3 * len(starts):

@@ -61,3 +61,9 @@ def test_found_where_junk_prevails(spark, n):
     rows = [(i, f"{SENTENCE} {SENTENCE} Case {i}." if i % 5 == 0 else f"{JUNK[i % len(JUNK)]}\n[{i}]", "en") for i in range(n)]
     flagged = flag_tails(text_statistics(spark.createDataFrame(rows, "id long, t string, lang string"), "id", "t", "lang", WORDS)).cache()
     assert {r.id for r in not_prose(flagged, "id").collect()} == {i for i in range(n) if i % 5}
+
+
+def test_repetition_after_a_fresh_start():
+    fresh = " ".join(f"The {w} was on the {w}{i}, which no one had of the {w}." for i, w in enumerate("mill barge kiln lease will fence deed bond shed ferry dock yard farm gate lock weir".split()))
+    assert share(fresh) > 0.5 and share(f"{fresh} {SENTENCE}") > 0.5
+    assert share(f"{fresh} {(SENTENCE + ' ') * 60}") < 0.5
