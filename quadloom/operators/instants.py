@@ -134,7 +134,7 @@ def readings(lex: str | None, zone_name: str | None) -> dict[str, int]:
     times and offsets that don't exist, and for wall times without a single instant.
     """
     s = (lex or "").strip(_BLANKS)
-    if not s or not s[-1].isascii() or len(s) > 100:
+    if not s or not s[-1].isascii():
         return {}
     nothing = dict.fromkeys(("hour", "minute", "second", "fraction", "half", "weekday", "zone", "region", "sign", "oh", "om"))
     if s.isascii() and s.lstrip("-").isdigit() and len(s) - len(s.lstrip("-")) <= 1:

@@ -114,6 +114,10 @@ def test_reading(lex, zone, want):
     assert got == (set() if want is None else {want})
 
 
+def test_long_fractions():
+    assert readings("2020-01-02T03:04:05." + "1234567" * 20 + "Z", None) == {"iso": us(2020, 1, 2, 3, 4, 5) + 123_456}
+
+
 def test_numeric_order():
     assert readings("02/03/2021", "UTC") == {"dmy": us(2021, 3, 2), "mdy": us(2021, 2, 3)}
     assert readings("13/12/2020 11:05", "UTC") == {"dmy": us(2020, 12, 13, 11, 5)}
