@@ -23,9 +23,15 @@ from quadloom.plans.staging import Staging
 MOST_SLOTS = 10_000
 
 
+def _fraction(w: float) -> Fraction:
+    """The weight as a fraction: the short one that it stands for, such as 1/50 for 0.02, or else its exact value."""
+    short = Fraction(w).limit_denominator(MOST_SLOTS)
+    return short if float(short) == w else Fraction(w)
+
+
 def parts_of(weights: dict[str, float]) -> dict[str, int]:
     """Whole parts in the ratio of the weights; their sum is the hyperperiod. Largest remainders where they don't fit."""
-    exact = {s: Fraction(w).limit_denominator(10_000) for s, w in weights.items() if w and w > 0}
+    exact = {s: _fraction(w) for s, w in weights.items() if w and w > 0}
     total = sum(exact.values())
     if not exact:
         return {}

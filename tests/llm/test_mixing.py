@@ -59,3 +59,16 @@ def test_degenerate(spark):
     assert mix.count() == 0 and report.count() == 1
     mix, report = mixed(spark, [(1, "a", 10), (1, "a", 10)], [("a", 1.0, 2)])
     assert mix.count() == 4 and report.first()["actual_share"] == 1.0
+
+
+@pytest.mark.parametrize("weights", [{"a": 1.0, "b": 1e-5}, {"a": 1e-6, "b": 3e-6}, {"a": 0.7, "b": 0.3, "c": 4e-5}])
+def test_small_shares_have_parts(weights):
+    parts = parts_of(weights)
+    assert set(parts) == set(weights) and all(n > 0 for n in parts.values())
+    assert all(abs(parts[s] / sum(parts.values()) - w / sum(weights.values())) <= 2e-4 for s, w in weights.items())
+
+
+def test_mix_with_a_small_share(spark):
+    docs = [(i, "a", 50) for i in range(40)] + [(100 + i, "b", 50) for i in range(40)]
+    mix, shares = mixed(spark, docs, [("a", 1.0, 1), ("b", 1e-5, 1)])
+    assert {r.source for r in shares.collect()} == {"a", "b"} and mix.where("source = 'a'").count() > 0
