@@ -183,6 +183,11 @@ over_quads("path_star", "SELECT ?x WHERE { <http://kb.example/film/0000050> s:li
     f"WITH RECURSIVE q AS (SELECT DISTINCT s.id AS s, o.id AS o FROM quads WHERE p = '{S_}links_to' AND s.id IS NOT NULL AND o.id IS NOT NULL), r AS (SELECT '<http://kb.example/film/0000050>' AS x UNION SELECT q.o FROM r JOIN q ON q.s = r.x) SELECT x FROM r")
 over_quads("path_opt", "SELECT ?x WHERE { <http://kb.example/film/0000050> s:links_to? ?x }",
     f"SELECT DISTINCT o.id AS x FROM quads WHERE p = '{S_}links_to' AND s.id = '<http://kb.example/film/0000050>' AND o.id IS NOT NULL UNION SELECT '<http://kb.example/film/0000050>'")
+_NODES = f"SELECT s AS a, s AS b FROM {_Q} n UNION SELECT o, o FROM {_Q} n"
+_CAST = f"e AS (SELECT DISTINCT s AS a, o AS b FROM {_Q} q WHERE p IN ('{S_}starring', '{S_}actor')), r AS (SELECT a, b FROM e UNION SELECT r.a, e.b FROM r JOIN e ON e.a = r.b)"
+over_quads("path_opt_all", "SELECT ?s ?x WHERE { ?s s:links_to? ?x }", f"SELECT a AS s, b AS x FROM ({_NODES} UNION SELECT s, o FROM {_Q} q WHERE p = '{S_}links_to') z")
+over_quads("path_plus_all", "SELECT ?s ?x WHERE { ?s (s:starring|s:actor)+ ?x }", f"WITH RECURSIVE {_CAST} SELECT a AS s, b AS x FROM r")
+over_quads("path_star_all", "SELECT ?s ?x WHERE { ?s (s:starring|s:actor)* ?x }", f"WITH RECURSIVE {_CAST} SELECT a AS s, b AS x FROM (SELECT a, b FROM r UNION {_NODES}) z")
 over_quads("quads_optional_minus", "SELECT ?f ?c WHERE { ?f rdf:type s:Film OPTIONAL { ?f s:in_colour ?c } MINUS { ?f s:votes ?v } }",
     f"WITH q AS {_Q} SELECT f.s AS f, c.o AS c FROM q f LEFT JOIN q c ON c.s = f.s AND c.p = '{S_}in_colour' WHERE f.p = '{RDF.type}' AND f.o = '<{S_}Film>' AND f.s NOT IN (SELECT s FROM q WHERE p = '{S_}votes')")
 over_quads("quads_filter_lang", "SELECT ?s ?l WHERE { ?s rdfs:label ?l FILTER(LANGMATCHES(LANG(?l), 'en')) }",

@@ -52,3 +52,13 @@ def test_reasoning_reads_every_quad(spark, folder, monkeypatch, name):
     with pytest.raises(StopIteration):
         __spark_entry__.queries()[name](spark, folder)
     assert triples(spark.read.parquet(f"{folder}/quads.parquet").selectExpr("s.id", "p", "o.id")) <= seen["n"]
+
+
+def test_paths_from_every_start(spark, folder):
+    run = lambda name: triples(__spark_entry__.queries()[name](spark, folder))
+    quads = [(r[0], r[1].split("#")[-1], r[2]) for r in triples(spark.read.parquet(f"{folder}/quads.parquet").selectExpr("s.id", "p", "o.id"))]
+    same = {(n, n) for s, _, o in quads for n in (s, o)}
+    assert run("path_opt_all") == same | {(s, o) for s, p, o in quads if p == "links_to"}
+    step = {(s, o) for s, p, o in quads if p in ("starring", "actor")}
+    reach = step | {(a, d) for a, b in step for c, d in step if b == c}
+    assert run("path_plus_all") == reach and run("path_star_all") == same | reach
