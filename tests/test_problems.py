@@ -3,13 +3,14 @@ import datetime as dt
 import random
 import zoneinfo
 
+import numpy as np
 import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
 from quadloom.functions.terms import TERM_DDL
 from quadloom.operators.frequency import compress, distinct_profile, modes, percentiles, top_values
-from quadloom.operators.instants import mixture_posteriors, normalise_instants, readings
+from quadloom.operators.instants import mixture_posteriors, normalise_instants, readings, year_likelihoods
 from quadloom.operators.wide import Attribute, attributes_to_wide, with_whole_number, xsd_boolean, xsd_calendar_date
 from quadloom.plans.prefix import running_sum
 from quadloom.plans.staging import Staging
@@ -100,8 +101,8 @@ TIMES = [
     ("2021-06-01T10:00:00", None, None), ("2021-06-01T10:00:00.1234567", BERLIN, us(2021, 6, 1, 8) + 123_456), ("2021-06-01 10:00 CEST", BERLIN, us(2021, 6, 1, 8)), ("2021-06-01 10:00 CET", BERLIN, us(2021, 6, 1, 9)), ("2021-06-01 10:00 EST", BERLIN, None),
     ("2021-06-01 10:00 GMT", None, us(2021, 6, 1, 10)), ("2021-03-28T02:30:00", BERLIN, None), ("2021-10-31T02:30:00", BERLIN, None), ("2021-10-31T02:30:00 CET", BERLIN, us(2021, 10, 31, 1, 30)), ("2021-10-31T02:30:00+02:00", BERLIN, us(2021, 10, 31, 0, 30)),
     ("2021-10-31T02:30:00[Europe/Berlin]", None, None), ("2021-06-01T10:00:00-04:00[America/New_York]", None, us(2021, 6, 1, 14)), ("2021-06-01T10:00 Asia/Tokyo", BERLIN, us(2021, 6, 1, 1)), ("2021-06-01", BERLIN, us(2021, 5, 31, 22)), ("2021-06-01Z", BERLIN, us(2021, 6, 1)),
-    ("2018-11-04", "America/Sao_Paulo", us(2018, 11, 4, 3)), ("20210601", "UTC", us(2021, 6, 1)), ("20210601100000", BERLIN, us(2021, 6, 1, 8)), ("20210601T1000Z", None, us(2021, 6, 1, 10)), ("1622541600", None, us(2021, 6, 1, 10)), ("1622541600123", None, us(2021, 6, 1, 10) + 123_000),
-    ("1622541600123456", None, us(2021, 6, 1, 10) + 123_456), ("2021", "UTC", None), ("2021-06", "UTC", None), ("Tue, 01 Jun 2021 10:00:00 GMT", None, us(2021, 6, 1, 10)), ("Wed, 01 Jun 2021 10:00:00 GMT", None, None), ("01-JUN-2021 10:00", "UTC", us(2021, 6, 1, 10)),
+    ("2018-11-04", "America/Sao_Paulo", us(2018, 11, 4, 3)), ("20210601", "UTC", us(2021, 6, 1)), ("20210601100000", BERLIN, us(2021, 6, 1, 8)), ("20210601T1000Z", None, us(2021, 6, 1, 10)), 
+    ("2021-06", "UTC", None), ("Tue, 01 Jun 2021 10:00:00 GMT", None, us(2021, 6, 1, 10)), ("Wed, 01 Jun 2021 10:00:00 GMT", None, None), ("01-JUN-2021 10:00", "UTC", us(2021, 6, 1, 10)),
     ("June 1, 2021 1:05:06 PM", "UTC", us(2021, 6, 1, 13, 5, 6)), ("1 June 2021 12:00 a.m.", "UTC", us(2021, 6, 1)), ("June 1, 2021 13:05 PM", "UTC", None), ("2021-02-30", "UTC", None), ("2021-06-01T25:00:00Z", None, None), ("2021-06-01T10:00:00+25:00", None, None),
     ("2021-06-01T10:00:00+14:00", None, us(2021, 5, 31, 20)), ("2021-06-01T10:00:00+14:30", None, None), ("T10:00:00Z", None, None), ("P1D", None, None), ("yesterday", BERLIN, None), ("", BERLIN, None), (None, BERLIN, None), ("2021-06-01 10:00 Mars/City", None, None),
     ("2021-03-14 02:30:00 EST", NY, us(2021, 3, 14, 7, 30)), ("x" * 100000, BERLIN, None), ("2021/6/1", "UTC", us(2021, 6, 1)),
@@ -110,17 +111,42 @@ TIMES = [
 
 @pytest.mark.parametrize("lex,zone,want", TIMES, ids=[str(t[0])[:40] + str(t[1]) for t in TIMES])
 def test_reading(lex, zone, want):
-    got = set(readings(lex, zone).values())
+    got = {at for at, _ in readings(lex, zone).values()}
     assert got == (set() if want is None else {want})
 
 
+@pytest.mark.parametrize("zone", ["America/New_York", "America/St_Johns", "Pacific/Auckland", "Pacific/Apia", "Asia/Tokyo", "Europe/Paris"])
+@pytest.mark.parametrize("date", ["2021-06-01", "2021/06/01", "20210601", "25.06.2021", "1 June 2021", "June 1, 2021", "Tue, 01 Jun 2021"])
+def test_zone_names_in_every_notation(zone, date):
+    day = 25 if date.startswith("25") else 1
+    at = lambda *clock: int(dt.datetime(2021, 6, day, *clock, tzinfo=zoneinfo.ZoneInfo(zone)).timestamp()) * 1_000_000
+    for clock, want in (("10:05", at(10, 5)), ("10:05:06", at(10, 5, 6)), ("10:05:06.7", at(10, 5, 6) + 700_000), ("1:05 PM", at(13, 5)), ("11:05:06 a.m.", at(11, 5, 6))):
+        if date == "20210601" and not clock.startswith("10"):
+            continue
+        for text in (f"{date} {clock} {zone}", f"{date} {clock}[{zone}]"):
+            assert {u for u, _ in readings(text, "UTC").values() if u is not None} == {want}, text
+
+
+def test_half_day_is_no_zone():
+    assert {u for u, _ in readings("June 1, 2021 1:05 PM EST", NY).values()} == {us(2021, 6, 1, 18, 5)}
+    assert {u for u, _ in readings("June 1, 2021 1:05am", "UTC").values()} == {us(2021, 6, 1, 1, 5)}
+
+
 def test_long_fractions():
-    assert readings("2020-01-02T03:04:05." + "1234567" * 20 + "Z", None) == {"iso": us(2020, 1, 2, 3, 4, 5) + 123_456}
+    assert readings("2020-01-02T03:04:05." + "1234567" * 20 + "Z", None) == {"iso": (us(2020, 1, 2, 3, 4, 5) + 123_456, 2020)}
 
 
 def test_numeric_order():
-    assert readings("02/03/2021", "UTC") == {"dmy": us(2021, 3, 2), "mdy": us(2021, 2, 3)}
-    assert readings("13/12/2020 11:05", "UTC") == {"dmy": us(2020, 12, 13, 11, 5)}
+    assert readings("02/03/2021", "UTC") == {"dmy": (us(2021, 3, 2), 2021), "mdy": (us(2021, 2, 3), 2021)}
+    assert readings("13/12/2020 11:05", "UTC") == {"dmy": (us(2020, 12, 13, 11, 5), 2020), "mdy": (None, 2020)}
+    assert readings("33/12/2020", "UTC") == readings("13/13/2020", "UTC") == {}
+
+
+def test_bare_numbers():
+    assert readings("1622541600", None) == {"seconds": (us(2021, 6, 1, 10), 2021), "milliseconds": (1622541600_000, 1970), "microseconds": (1622541600, 1970)}
+    assert readings("2021", None)["year digits"] == (None, 2021) and readings("202106", None)["month digits"] == (None, 2021) and "month digits" not in readings("202113", None)
+    assert readings("-86400", None)["seconds"] == (-86400_000_000, 1969) and readings("9" * 30, None) == readings("--5", None) == readings("-", None) == {}
+    assert set(readings("1622541600123456789", None)) == set() and set(readings("1622541600123456", None)) == {"microseconds"}
 
 
 def test_every_wall_time_of_a_year():
@@ -129,16 +155,41 @@ def test_every_wall_time_of_a_year():
     while t.year == 2021:
         instants = {u.timestamp() for f in (0, 1) if (u := t.replace(tzinfo=zone, fold=f).astimezone(dt.timezone.utc)).astimezone(zone).replace(tzinfo=None) == t}
         got = readings(t.isoformat(), "America/St_Johns")
-        assert set(got.values()) == ({int(i) * 1_000_000 for i in instants} if len(instants) == 1 else set())
+        assert {at for at, _ in got.values()} == ({int(i) * 1_000_000 for i in instants} if len(instants) == 1 else set())
         seen += len(instants) != 1
         t += dt.timedelta(minutes=45)
     assert seen > 0
 
 
 def test_em():
-    pdf = pd.DataFrame({"_g": ["g"] * 2, "_which": [["dmy"], ["dmy", "mdy"]], "n": [30, 10]})
-    p = mixture_posteriors(pdf)["_p"].tolist()
-    assert p[0] == [1.0] and p[1][0] > 0.9 and abs(sum(p[1]) - 1) < 1e-9
+    kinds = ["dmy,2021,0,;mdy,2021,1,slip", "dmy,2021,0,;mdy,2021,1,", "dmy,2020,0,;mdy,2020,0,"]
+    pdf = pd.DataFrame({"_g": ["g"] * 3, "_order": [None] * 3, "_kind": kinds, "n": [30, 10, 2]})
+    p = mixture_posteriors(pdf, year_likelihoods({2021: 5}))["_p"].tolist()
+    assert p[0][0] > 0.999 and p[1][0] > 0.9 and abs(sum(p[1]) - 1) < 1e-9 and p[2] == [1.0, 1.0]
+    p = mixture_posteriors(pdf.assign(_order="MDY"), year_likelihoods({2021: 5}))["_p"].tolist()
+    assert p[0][1] > 0.999 and p[1][1] > 0.999
+
+
+def test_years():
+    y = year_likelihoods({2015: 70, 2020: 30})
+    assert y[2015] > y[2020] > y[2017] > y[1990] > y[1970] > 0 and np.ptp(year_likelihoods({})) == 0
+
+
+def test_posteriors_turn_readings(spark):
+    """Rows that no rule of form decides: the same literals, read by how their source writes."""
+    sure = [(f"{d:02}/0{m}/2021 10:00Z", f"0{m}/{d:02}/2021 10:00Z") for d in range(13, 29) for m in range(1, 10)]
+    rows = [(i, "eu", a) for i, (a, _) in enumerate(sure)] + [(1000 + i, "us", b) for i, (_, b) in enumerate(sure)] + [(2000, "eu", "03/04/2021 10:00Z"), (2001, "us", "03/04/2021 10:00Z"), (2002, "new", "03/04/2021 10:00Z")]
+    rows += [(3000, "eu", "1622541600"), (3001, "eu", "1622541600123"), (3002, "us", "1622541600123456"), (3003, "us", "2021"), (3004, "us", "202106"), (3005, "us", "12345"), (3006, "eu", "978307200"), (3007, "eu", "1E9")]
+    df, zones = frame(spark, rows, "id long, g string, lex string"), frame(spark, [], "g string, tz_name string, date_order string")
+    got = {r.id: r for r in normalise_instants(df, zones, "id", "g", "lex").collect()}
+    assert got[2000].instant_us == us(2021, 4, 3, 10) and got[2001].instant_us == us(2021, 3, 4, 10) and got[2000].resolved and got[2001].resolved
+    assert not got[2002].resolved and got[2002].n_instants == 2 and len(got[2002].rivals) == 1 and not got[2000].rivals
+    assert all(got[i].resolved and got[i].instant_us == us(2021, 6, 1, 10) + extra for i, extra in ((3000, 0), (3001, 123_000), (3002, 123_456)))
+    assert not any(got[i].resolved for i in (3003, 3004, 3005, 3007)) and got[3003].instant_us is None and got[3003].notation == "year digits" and len(got[3005].rivals) == 2
+    assert got[3006].notation == "seconds" and not got[3006].resolved and got[3006].rivals[0].notation == "milliseconds"  # 20 years off the others
+    # without the other literals nothing tells the years of numbers
+    alone = normalise_instants(df.where("id = 3000"), zones, "id", "g", "lex").first()
+    assert not alone.resolved and alone.n_instants == 3
 
 
 def test_normalise(spark):
