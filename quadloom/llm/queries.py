@@ -44,14 +44,18 @@ def p7_shares(spark: SparkSession, d: str) -> DataFrame:
     return _mix(spark, d)[1]
 
 
+def _text_statistics(spark: SparkSession, d: str) -> DataFrame:
+    words = [r["word"] for r in spark.read.parquet(f"{d}/common_words.parquet").select("word").distinct().collect()]  # a fixed list of 204
+    return text_statistics(spark.read.parquet(f"{d}/documents.parquet"), "doc_id", "text", "lang", words)
+
+
 def p8_statistics(spark: SparkSession, d: str) -> DataFrame:
     """Every document's statistics, their percentiles and robust z-scores in its language, and its tails."""
-    words = [r["word"] for r in spark.read.parquet(f"{d}/common_words.parquet").select("word").distinct().collect()]  # a fixed list of 204
-    return flag_tails(text_statistics(spark.read.parquet(f"{d}/documents.parquet"), "doc_id", "text", "lang", words))
+    return flag_tails(_text_statistics(spark, d))
 
 
 def p8_found(spark: SparkSession, d: str) -> DataFrame:
-    return not_prose(p8_statistics(spark, d), "doc_id")
+    return not_prose(_text_statistics(spark, d), "doc_id")
 
 
 P4_SQL = """
