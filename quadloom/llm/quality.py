@@ -11,6 +11,7 @@ from __future__ import annotations
 
 import re
 from collections.abc import Iterator
+from itertools import accumulate, chain
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
@@ -86,8 +87,8 @@ def _blocks(lines: list[str]) -> Iterator[str]:
 
 
 def statistics_of(text: str | None, common: frozenset[str]) -> tuple:
-    """The statistics of a text but for its sentence share, and its blocks: dicts of words, characters (blanks aside),
-    form (0 like no sentence, 1 like a sentence) and the block statistics."""
+    """The statistics of a text but for its sentence share, and its blocks: words, characters (blanks aside), form (0
+    like no sentence, 1 like a sentence) and the block statistics."""
     if not text or not _VISIBLE.search(text):
         return (0.0, None, None, None, None, None, None, [])
     lines = _LINE.split(text)
@@ -110,16 +111,27 @@ def statistics_of(text: str | None, common: frozenset[str]) -> tuple:
         begins = first is not None and (first.group().isupper() or body[0] in "█[_*…")
         form = k >= 3 and begins and not (mark and mark["list"] and k < 8) and bool(_STOP.search(body) or _FULL_STOP.search(body))
         starts = _NEXT.findall(body)
-        windows = range(0, max(1, k - k % WINDOW if k % WINDOW < 10 else k), WINDOW)
-        blocks.append({
-            "words": k, "chars": size, "form": int(form), "common": known / k, "distinct": sum(len(set(words[i : i + WINDOW])) / len(words[i : i + WINDOW]) for i in windows) / len(windows),
-            "length": size / k, "symbols": symbols / size, "digits": digits / size, "gaps": len(_GAP.findall(body)) / k if _has_gap(body) else 0.0,
-            "low_starts": sum(map(str.islower, starts)) / len(starts) if starts else 0.0,
-        })
+        if k <= WINDOW:
+            different = len(set(words)) / k
+        else:
+            parts = [words[i : i + WINDOW] for i in range(0, k if k % WINDOW >= 10 else k - k % WINDOW, WINDOW)]
+            different = sum(len(set(x)) / len(x) for x in parts) / len(parts)
+        blocks.append((
+            k, size, int(form), known / k, different, size / k, symbols / size, digits / size, len(_GAP.findall(body)) / k if _has_gap(body) else 0.0,
+            sum(map(str.islower, starts)) / len(starts) if starts else 0.0,
+        ))
     return (float(n), letters / n, n_symbols / letters, n_digits / letters, sum(x[-1] in ".!?…:;\"”»" for x in kept) / len(kept), n_common / n, len(distinct) / n, blocks)
 
 
-_BLOCK_TYPE = pa.struct([("words", pa.int32()), ("chars", pa.int32()), ("form", pa.int8()), *((s, pa.float32()) for s in BLOCK_STATISTICS)])
+_BLOCK_FIELDS = [("words", pa.int32(), "int"), ("chars", pa.int32(), "int"), ("form", pa.int8(), "tinyint"), *((s, pa.float32(), "float") for s in BLOCK_STATISTICS)]
+
+
+def _block_lists(blocks: list[list[tuple]]) -> pa.Array:
+    """The blocks of many texts as an array of lists of structs."""
+    flat = list(zip(*chain.from_iterable(blocks))) or [[]] * len(_BLOCK_FIELDS)
+    fields = [pa.field(n, k) for n, k, _ in _BLOCK_FIELDS]
+    structs = pa.StructArray.from_arrays([pa.array(c, f.type) for c, f in zip(flat, fields)], fields=fields)
+    return pa.ListArray.from_arrays(pa.array([0, *accumulate(map(len, blocks))], pa.int32()), structs)
 
 
 def read_texts(df: DataFrame, key: str, text: str, lang: str, common_words: list[str]) -> DataFrame:
@@ -129,16 +141,16 @@ def read_texts(df: DataFrame, key: str, text: str, lang: str, common_words: list
     """
     words = frozenset(common_words)
     names = [s for s in STATISTICS if s != "sentence_share"]
-    kinds = [pa.float64()] * len(names) + [pa.list_(_BLOCK_TYPE)]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             rows = [statistics_of(t.as_py(), words) for t in b.column("_text")]
-            columns = [pa.array(c, k) for c, k in zip(zip(*rows), kinds)] if rows else [pa.array([], k) for k in kinds]
-            yield pa.RecordBatch.from_arrays([b.column("_key"), b.column("language"), *columns], names=[key, "language", *names, "blocks"])
+            columns = list(zip(*rows)) or [[]] * (len(names) + 1)
+            figures = [pa.array(c, pa.float64()) for c in columns[:-1]]
+            yield pa.RecordBatch.from_arrays([b.column("_key"), b.column("language"), *figures, _block_lists(columns[-1])], names=[key, "language", *names, "blocks"])
 
     rows = df.select(df[key].alias("_key"), F.coalesce(F.lower(F.trim(df[lang])), F.lit("")).alias("language"), df[text].alias("_text"))
-    block = ", ".join(["words: int", "chars: int", "form: tinyint", *(f"{s}: float" for s in BLOCK_STATISTICS)])
+    block = ", ".join(f"{n}: {k}" for n, _, k in _BLOCK_FIELDS)
     schema = f"`{key}` {dict(rows.dtypes)['_key']}, language string, {', '.join(f'{n} double' for n in names)}, blocks array<struct<{block}>>"
     return rows.mapInArrow(run, schema)
 
@@ -204,15 +216,18 @@ def judge_blocks(texts: DataFrame, staging: Staging) -> DataFrame:
                 inside = inside & (off <= reach)
         return F.coalesce(inside, F.lit(False))
 
-    judged = rows.withColumn("_in", F.transform("blocks", lambda b: F.struct(b["chars"].alias("chars"), sentence(b).alias("is"), ((b["words"] <= ENOUGH_WORDS) & (b["gaps"] == 0)).alias("short"))))
-    first = F.array_position(F.transform("_in", lambda b: b["is"]), F.lit(True)).cast("int")
-    judged = judged.withColumn("_lead", F.when(first > 1, F.slice("_in", F.lit(1), F.greatest(first - 1, F.lit(0)))).otherwise(F.slice("_in", 1, 0)))
-    total = lambda blocks, keep: F.aggregate(F.filter(blocks, keep), F.lit(0).cast("bigint"), lambda n, b: n + b["chars"])
-    judged = judged.withColumn("prose_chars", total("_in", lambda b: b["is"])).withColumn("_out", total("_in", lambda b: ~b["is"])).withColumn("_captions", total("_lead", lambda b: b["short"]))
-    judged = judged.withColumn("caption_chars", F.when(F.col("_captions") <= F.col("prose_chars"), F.col("_captions")).otherwise(F.lit(0).cast("bigint")))
-    judged = judged.withColumn("other_chars", F.col("_out") - F.col("caption_chars"))
+    seen = F.transform("blocks", lambda b: F.struct(b["chars"].cast("bigint").alias("chars"), sentence(b).alias("is"), ((b["words"] <= ENOUGH_WORDS) & (b["gaps"] == 0)).alias("short")))
+    none = F.lit(0).cast("bigint")
+    start = F.struct(none.alias("prose"), none.alias("out"), none.alias("captions"))
+    step = lambda t, b: F.struct(
+        (t["prose"] + F.when(b["is"], b["chars"]).otherwise(none)).alias("prose"), (t["out"] + F.when(b["is"], none).otherwise(b["chars"])).alias("out"),
+        (t["captions"] + F.when(~b["is"] & b["short"] & (t["prose"] == 0), b["chars"]).otherwise(none)).alias("captions"),
+    )
+    judged = rows.withColumn("_t", F.aggregate(seen, start, step))
+    captions = F.when(F.col("_t.captions") <= F.col("_t.prose"), F.col("_t.captions")).otherwise(none)
+    judged = judged.select(*[c for c in texts.columns if c != "blocks"], F.col("_t.prose").alias("prose_chars"), captions.alias("caption_chars"), (F.col("_t.out") - captions).alias("other_chars"))
     share = F.when(F.col("n_words") > 0, F.coalesce(F.try_divide("prose_chars", F.col("prose_chars") + F.col("other_chars")), F.lit(0.0)))
-    return judged.select(*[c for c in texts.columns if c != "blocks"], share.alias("sentence_share"), "prose_chars", "caption_chars", "other_chars")
+    return judged.withColumn("sentence_share", share)
 
 
 def text_statistics(df: DataFrame, key: str, text: str, lang: str, common_words: list[str], staging: Staging | None = None) -> DataFrame:

@@ -78,7 +78,7 @@ def test_figures():
     assert statistics_of("\u200b\ufeff\n", COMMON)[0] == 0.0 and statistics_of("the " * 200000 + ".", COMMON)[0] == 200001
     assert statistics_of("x\ud800y z.", COMMON)[0] == 2.0
     blocks = statistics_of("Court\nThe mill was not\n- a\n- b", COMMON)[7]
-    assert [b["words"] for b in blocks] == [1, 4, 2, 2] and sum(b["chars"] for b in blocks) == 22
+    assert [b[0] for b in blocks] == [1, 4, 2, 2] and sum(b[1] for b in blocks) == 22
 
 
 def test_captions(judged):
