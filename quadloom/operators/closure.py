@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from quadloom.plans.staging import Staging
+from quadloom.plans.staging import Grown, Staging
 
 
 def closure(edges: DataFrame, staging: Staging | None = None, keys: list[str] | None = None) -> DataFrame:
@@ -16,8 +16,10 @@ def closure(edges: DataFrame, staging: Staging | None = None, keys: list[str] |
     """
     staging = staging or Staging(edges.sparkSession, "closure")
     keys = keys or []
-    known = delta = staging.cut(edges.select(*keys, "a", "b").where("a IS NOT NULL AND b IS NOT NULL").distinct())
+    delta = staging.cut(edges.select(*keys, "a", "b").where("a IS NOT NULL AND b IS NOT NULL").distinct())
+    all = Grown(delta)
     while True:
+        known = all.df
         right = known.select(*[F.col(k).alias(f"r_{k}") for k in keys], F.col("a").alias("m"), F.col("b").alias("c"))
         left = known.select(*[F.col(k).alias(f"r_{k}") for k in keys], F.col("a").alias("c"), F.col("b").alias("m"))
         same = lambda x, on: x if not keys else on & _all([F.col(k).eqNullSafe(F.col(f"r_{k}")) for k in keys])
@@ -26,10 +28,10 @@ def closure(edges: DataFrame, staging: Staging | None = None, keys: list[str] |
         found = ahead.unionByName(behind).distinct()
         fresh = staging.cut(_minus(found, known, [*keys, "a", "b"]))
         if not fresh.head(1):
+            staging.drop(fresh)
             return known
-        new = staging.cut(known.unionByName(fresh))
-        staging.drop(known, delta if delta is not known else None)
-        known, delta = new, fresh
+        all.add(fresh)
+        delta = fresh
 
 
 def reachable(edges: DataFrame, seeds: DataFrame, forward: bool = True, staging: Staging | None = None) -> DataFrame:
@@ -41,15 +43,17 @@ def reachable(edges: DataFrame, seeds: DataFrame, forward: bool = True, staging:
     a, b = ("a", "b") if forward else ("b", "a")
     e = staging.cut(edges.select(F.col(a).alias("x"), F.col(b).alias("y")).where("x IS NOT NULL AND y IS NOT NULL").distinct())
     seeds = seeds.select(F.col("n").alias("s")).where("s IS NOT NULL").distinct()
-    known = delta = staging.cut(seeds.join(e, F.col("s") == F.col("x")).select("s", F.col("y").alias("t")).distinct())
+    delta = staging.cut(seeds.join(e, F.col("s") == F.col("x")).select("s", F.col("y").alias("t")).distinct())
+    all = Grown(delta)
     while True:
+        known = all.df
         found = delta.join(e, F.col("t") == F.col("x")).select("s", F.col("y").alias("t")).distinct()
         fresh = staging.cut(_minus(found, known, ["s", "t"]))
         if not fresh.head(1):
+            staging.drop(fresh)
             return known.select(F.col("s").alias(a), F.col("t").alias(b))
-        new = staging.cut(known.unionByName(fresh))
-        staging.drop(known, delta if delta is not known else None)
-        known, delta = new, fresh
+        all.add(fresh)
+        delta = fresh
 
 
 def _all(conditions: list):

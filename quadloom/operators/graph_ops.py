@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from quadloom.functions.terms import term_of_id
 from quadloom.functions.vocab import RDF
+from quadloom.operators.stars import contract
 from quadloom.plans.staging import Staging
 
 
@@ -66,27 +67,11 @@ def value(q: DataFrame, s: str | None = None, p: str | None = None, o: str | Non
 
 
 def node_labels(q: DataFrame, staging: Staging | None = None) -> DataFrame:
-    """(v, root): every node with the least id of its connected component, directions aside, by large and small stars."""
+    """(v, root): every node with the least id of its connected component, directions aside."""
     staging = staging or Staging(q.sparkSession, "labels")
-    ids = q.where("s.id IS NOT NULL AND o.id IS NOT NULL").select(F.col("s.id").alias("a"), F.col("o.id").alias("b"))
-    nodes = staging.cut(ids.select(F.explode(F.array("a", "b")).alias("v")).distinct())
-    edges = staging.cut(ids.where("a <> b").select(F.least("a", "b").alias("u"), F.greatest("a", "b").alias("v")).distinct())
-    last = None
-    while True:
-        both = edges.select(F.explode(F.array(F.struct("u", "v"), F.struct(F.col("v").alias("u"), F.col("u").alias("v")))).alias("x")).select("x.*")
-        least = both.groupBy("u").agg(F.min("v").alias("m")).select(F.col("u").alias("c"), F.least("m", "u").alias("m"))
-        large = both.where("v > u").join(least, F.col("u") == F.col("c")).where("v <> m").select(F.col("m").alias("u"), "v").distinct()
-        low = large.groupBy("v").agg(F.min("u").alias("m")).select(F.col("v").alias("c"), "m")
-        small = large.join(low, F.col("v") == F.col("c")).select(F.explode(F.array(F.struct(F.col("m").alias("u"), "v"), F.struct(F.col("m").alias("u"), F.col("u").alias("v")))).alias("x"))
-        new = staging.cut(small.select("x.*").where("u <> v").distinct())
-        now = tuple(new.agg(F.count(F.lit(1)), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first())
-        staging.drop(edges)
-        edges = new
-        if now == last:
-            break
-        last = now
-    roots = edges.select(F.col("v").alias("c"), F.col("u").alias("root"))
-    return nodes.join(roots, F.col("v") == F.col("c"), "left").select("v", F.coalesce("root", "v").alias("root"))
+    ids = q.where("s.id IS NOT NULL AND o.id IS NOT NULL").select(F.col("s.id").alias("u"), F.col("o.id").alias("v"))
+    alone = ids.where("u = v").select("v", F.col("v").alias("root"))
+    return contract(ids, staging).unionByName(alone).groupBy("v").agg(F.min("root").alias("root"))
 
 
 def connected(q: DataFrame) -> DataFrame:

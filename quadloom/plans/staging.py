@@ -2,18 +2,16 @@
 
 from __future__ import annotations
 
-import tempfile
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
 
 def shared_folder(spark: SparkSession) -> str:
-    """The cluster's ``spark.checkpoint.dir``; where it is unset, as in tests, a temporary folder set once per session."""
+    """The folder that the cluster names in ``spark.checkpoint.dir``; an error where it names none."""
     where = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
     if not where:
-        where = "file://" + tempfile.mkdtemp(prefix="quadloom-")
-        spark.conf.set("spark.checkpoint.dir", where)
+        raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
     return where.rstrip("/")
 
 
@@ -21,8 +19,7 @@ class Staging:
     """Writes intermediate results as parquet and reads them back.
 
     A staged table survives the loss of executors, ends the lineage of an iteration, and gives the next plan real
-    sizes. ``drop`` removes tables that no later plan needs; what a returned DataFrame still reads stays until the
-    owner of the shared folder clears it.
+    sizes. ``drop`` removes tables that no later plan needs, and ``close`` all of them, once nothing reads the results.
     """
 
     def __init__(self, spark: SparkSession, purpose: str):
@@ -40,9 +37,40 @@ class Staging:
         return back
 
     def drop(self, *tables: DataFrame | None) -> None:
-        jvm = self.spark._jvm
         for t in tables:
-            path = getattr(t, "_staged_at", None)
-            if path:
-                p = jvm.org.apache.hadoop.fs.Path(path)
-                p.getFileSystem(self.spark._jsparkSession.sessionState().newHadoopConf()).delete(p, True)
+            if getattr(t, "_staged_at", None):
+                self._delete(t._staged_at)
+
+    def close(self) -> None:
+        self._delete(self.root)
+
+    def _delete(self, path: str) -> None:
+        p = self.spark._jvm.org.apache.hadoop.fs.Path(path)
+        p.getFileSystem(self.spark._jsparkSession.sessionState().newHadoopConf()).delete(p, True)
+
+
+class Grown:
+    """A staged table to which rounds add: every addition is a part of its own, and no row is written twice."""
+
+    def __init__(self, first: DataFrame):
+        self.parts = [first]
+
+    def add(self, part: DataFrame) -> None:
+        """``part`` is staged and has the columns of the others."""
+        self.parts.append(part)
+
+    def _read(self, parts: list[DataFrame]) -> DataFrame:
+        first = self.parts[0]
+        return first.sparkSession.read.schema(first.schema).parquet(*[p._staged_at for p in parts])
+
+    @property
+    def df(self) -> DataFrame:
+        return self.parts[0] if len(self.parts) == 1 else self._read(self.parts)
+
+    @property
+    def added(self) -> DataFrame:
+        """What was added to the first part."""
+        return self._read(self.parts[1:]) if len(self.parts) > 1 else self.parts[0].limit(0)
+
+    def drop(self, staging: Staging) -> None:
+        staging.drop(*self.parts)
