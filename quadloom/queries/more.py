@@ -78,18 +78,11 @@ def graph_collections(spark, d):
 reference.SQL["graph_collections"] = f"SELECT CAST(m AS INTEGER) AS length, count(*) AS n FROM (SELECT s.id AS s, count(DISTINCT o.id) AS m FROM quads WHERE p = '{S_}genre' AND s.id IS NOT NULL AND o.id IS NOT NULL GROUP BY 1) x GROUP BY 1"
 
 
-@plan("owl_ifp_sameas", f"""WITH RECURSIVE q AS (SELECT DISTINCT s.id AS s, o.id AS o FROM quads WHERE p = '{S_}character' AND s.id IS NOT NULL AND o.id IS NOT NULL),
-  e AS (SELECT DISTINCT x.s AS a, y.s AS b FROM q x JOIN q y ON x.o = y.o AND x.s <> y.s), r AS (SELECT a, b FROM e UNION SELECT r.a, e.b FROM r JOIN e ON e.a = r.b)
-  SELECT a AS s, '{OWL.sameAs}' AS p, b AS o FROM r WHERE a <> b UNION (SELECT r.b, '{S_}character', q.o FROM q JOIN r ON r.a = q.s EXCEPT SELECT s, '{S_}character', o FROM q)""")
-def owl_ifp_sameas(spark, d):
-    return _added(spark, d, "s:character a owl:InverseFunctionalProperty .", {"owlrl"}, [S_ + "character"])
-
-
-@plan("owl_ifp_sameas_all", f"""WITH RECURSIVE t AS (SELECT DISTINCT s.id AS s, p, o.id AS o FROM quads WHERE s.id IS NOT NULL AND p IS NOT NULL AND o.id IS NOT NULL),
+@plan("owl_ifp_sameas", f"""WITH RECURSIVE t AS (SELECT DISTINCT s.id AS s, p, o.id AS o FROM quads WHERE s.id IS NOT NULL AND p IS NOT NULL AND o.id IS NOT NULL),
   q AS (SELECT s, o FROM t WHERE p = '{S_}character'), e AS (SELECT DISTINCT x.s AS a, y.s AS b FROM q x JOIN q y ON x.o = y.o AND x.s <> y.s), r AS (SELECT a, b FROM e UNION SELECT r.a, e.b FROM r JOIN e ON e.a = r.b),
   s1 AS (SELECT s, p, o FROM t UNION SELECT r.b, p, o FROM t JOIN r ON r.a = t.s), s2 AS (SELECT s, p, o FROM s1 UNION SELECT s, p, r.b FROM s1 JOIN r ON r.a = s1.o)
   (SELECT a AS s, '{OWL.sameAs}' AS p, b AS o FROM r WHERE a <> b UNION SELECT s, p, o FROM s2) EXCEPT SELECT s, p, o FROM t""")
-def owl_ifp_sameas_all(spark, d):
+def owl_ifp_sameas(spark, d):
     return _added(spark, d, "s:character a owl:InverseFunctionalProperty .", {"owlrl"})
 
 

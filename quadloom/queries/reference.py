@@ -267,20 +267,19 @@ def update_copy_move(spark, d):
 
 
 # reasoning -----------------------------------------------------------------------------------------------------------------------
-def _with_schema(spark, d, turtle: str, predicates: list[str] | None = None):
-    """All quads, or those of some predicates, and a schema."""
+def _with_schema(spark, d, turtle: str):
+    """All quads and a schema."""
     from quadloom.plans.graphs import frame_of_terms
 
     head = f"@prefix s: <{S_}> . @prefix rdfs: <{RDFS}> . @prefix owl: <{OWL}> .\n"
     q = spark.read.parquet(f"{d}/quads.parquet").where("s.id IS NOT NULL AND p IS NOT NULL AND o.id IS NOT NULL").select("g", "s", "p", "o")
-    q = q if predicates is None else q.where(F.col("p").isin(predicates))
     return q.unionByName(frame_of_terms(spark, parse_turtle(head + turtle)))
 
 
-def _added(spark, d, turtle, regimes, predicates=None):
+def _added(spark, d, turtle, regimes):
     from quadloom.reasoning.rules import expand
 
-    return _flat(expand(_with_schema(spark, d, turtle, predicates), regimes)[1])
+    return _flat(expand(_with_schema(spark, d, turtle), regimes)[1])
 
 
 _D = f"SELECT DISTINCT s.id AS s, p, o.id AS o, o.kind AS k FROM quads WHERE s.id IS NOT NULL AND o.id IS NOT NULL AND p IN ('{S_}directed_by', '{S_}actor')"
@@ -289,18 +288,11 @@ _D = f"SELECT DISTINCT s.id AS s, p, o.id AS o, o.kind AS k FROM quads WHERE s.i
 _WORKS = "s:directed_by rdfs:domain s:Work ; rdfs:range s:Person ; rdfs:subPropertyOf s:involves . s:actor rdfs:range s:Person ; rdfs:subPropertyOf s:involves . s:Work rdfs:subClassOf s:Thing . s:Person rdfs:subClassOf s:Thing ."
 
 
-@plan("rdfs_closure", f"""WITH q AS ({_D}), x AS (
-  SELECT s, '{RDF.type}' AS p, '<{S_}Work>' AS o FROM q WHERE p = '{S_}directed_by' UNION SELECT s, '{RDF.type}', '<{S_}Thing>' FROM q WHERE p = '{S_}directed_by'
-  UNION SELECT o, '{RDF.type}', '<{S_}Person>' FROM q WHERE k <> 2 UNION SELECT o, '{RDF.type}', '<{S_}Thing>' FROM q WHERE k <> 2 UNION SELECT s, '{S_}involves', o FROM q) SELECT s, p, o FROM x""")
-def rdfs_closure_query(spark, d):
-    return _added(spark, d, _WORKS, {"rdfs"}, [S_ + "directed_by", S_ + "actor"])
-
-
-@plan("rdfs_closure_all", f"""WITH t AS {_Q}, q AS ({_D}), x AS (
+@plan("rdfs_closure", f"""WITH t AS {_Q}, q AS ({_D}), x AS (
   SELECT s, '{RDF.type}' AS p, '<{S_}Work>' AS o FROM q WHERE p = '{S_}directed_by' UNION SELECT s, '{RDF.type}', '<{S_}Thing>' FROM q WHERE p = '{S_}directed_by'
   UNION SELECT o, '{RDF.type}', '<{S_}Person>' FROM q WHERE k <> 2 UNION SELECT o, '{RDF.type}', '<{S_}Thing>' FROM q WHERE k <> 2 UNION SELECT s, '{S_}involves', o FROM q
   UNION SELECT s, '{RDF.type}', '<{S_}Thing>' FROM t WHERE p = '{RDF.type}' AND o IN ('<{S_}Work>', '<{S_}Person>')) SELECT s, p, o FROM x EXCEPT SELECT s, p, o FROM t""")
-def rdfs_closure_all(spark, d):
+def rdfs_closure_query(spark, d):
     return _added(spark, d, _WORKS, {"rdfs"})
 
 
@@ -310,14 +302,6 @@ def owl_inverse_symmetric(spark, d):
     return _added(spark, d, "s:directed_by owl:inverseOf s:directs . s:film a owl:SymmetricProperty .", {"owlrl"})
 
 
-@plan("owl_inconsistency", f"""SELECT 'cax-dw' AS rule, x.s.id || ' <{S_}Film> <{S_}Actor>' AS message FROM quads x JOIN quads y ON x.s.id = y.s.id
-  WHERE x.p = '{RDF.type}' AND y.p = '{RDF.type}' AND x.o.id = '<{S_}Film>' AND y.o.id = '<{S_}Actor>' GROUP BY 1, 2""")
-def owl_inconsistency(spark, d):
-    from quadloom.reasoning.rules import expand
-
-    return expand(_with_schema(spark, d, "s:Film owl:disjointWith s:Actor ."), {"owlrl"})[2]
-
-
 # shapes ---------------------------------------------------------------------------------------------------------------------------
 _SHAPES = f"""@prefix sh: <http://www.w3.org/ns/shacl#> . @prefix xsd: <{XSD}> . @prefix s: <{S_}> . @prefix : <{S_}> . @prefix rdfs: <{RDFS}> .
 :FilmShape a sh:NodeShape ; sh:targetClass s:Film ;

@@ -1,15 +1,15 @@
-"""RDFS and OWL 2 RL by forward chaining to a fixpoint.
-
-Triples are (s, p, o) of ids. The schema is closed by the path operator before the instance rules run. Every round
-derives from what the last round added where a rule has a single instance atom, and from all triples where it joins
-several; the new triples are staged, and the loop ends when a round adds none. Schema tables come from the same triples;
-their joins are left to Spark, which broadcasts the small ones by their measured size.
+"""RDFS and OWL 2 RL by forward chaining.
+
+Triples are (s, p, o) of ids. RDFS is a single pass: the schema, closed by the path operator, says for each property what
+a triple of it gives. OWL runs in rounds over representatives: individuals that are the same are one node, the least of
+their group, and the results are written out for all members at the end. Only rules are planned whose vocabulary occurs
+in the triples. Rules of one atom derive from what the last round added; new triples are staged as a part of their own, and
+the loop ends when a round adds none. Joins with schema tables are left to Spark, which broadcasts the small ones by
+their measured size.
 """
 
 from __future__ import annotations
 
-from collections.abc import Callable
-
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -17,9 +17,21 @@ from quadloom.functions.terms import term_of_id
 from quadloom.functions.vocab import OWL, RDF, RDFS, XSD
 from quadloom.operators.closure import closure
 from quadloom.operators.graph_ops import collections
-from quadloom.plans.staging import Staging
+from quadloom.operators.stars import contract
+from quadloom.plans.staging import Grown, Staging
 
 SAME = OWL.sameAs
+SCHEMA_PREDICATES = (RDFS.subClassOf, RDFS.subPropertyOf, RDFS.domain, RDFS.range)
+# The vocabulary that the rules look for, as predicates and as types.
+OWL_PREDICATES = tuple(
+    OWL[x] for x in """inverseOf equivalentProperty equivalentClass sameAs onProperty hasValue someValuesFrom allValuesFrom maxCardinality maxQualifiedCardinality onClass
+    intersectionOf unionOf oneOf hasKey propertyChainAxiom propertyDisjointWith members disjointWith complementOf differentFrom sourceIndividual assertionProperty
+    targetIndividual targetValue""".split()
+)
+OWL_TYPES = tuple(
+    OWL[x] for x in """SymmetricProperty TransitiveProperty FunctionalProperty InverseFunctionalProperty Nothing IrreflexiveProperty AsymmetricProperty AllDisjointProperties
+    AllDisjointClasses""".split()
+)
 
 
 def _ids(quads: DataFrame) -> DataFrame:
@@ -40,13 +52,32 @@ def _is_resource(c: str):
 
 
 class Triples:
-    """All triples so far and the last round's."""
+    """All triples so far, the last round's, the vocabulary that occurs, and who else is the same as a representative."""
+
+    def __init__(self, all: DataFrame, delta: DataFrame, vocabulary: set[str], same: DataFrame | None = None):
+        self.all, self.delta, self.vocabulary, self.same = all, delta, vocabulary, same
+
+    def has(self, *names: str) -> bool:
+        return self.vocabulary.issuperset(names)
+
+    def p(self, iri: str) -> DataFrame:
+        return self.all.where(F.col("p") == iri).select("s", "o")
+
+    def named(self, df: DataFrame, *columns: str) -> DataFrame:
+        """The rows with IRIs in place of ids; a representative stands for all IRIs that are the same. Others are dropped."""
+        for c in columns:
+            if self.same is not None:
+                others = df.join(self.same.select(F.col("rep").alias("_rep"), F.col("member").alias("_member")), F.col(c) == F.col("_rep"))
+                df = df.unionByName(others.withColumn(c, F.col("_member")).select(*df.columns))
+            df = df.withColumn(c, _strip(c)).where(F.col(c).isNotNull())
+        return df.distinct()
 
-    def __init__(self, all: DataFrame, delta: DataFrame):
-        self.all, self.delta = all, delta
 
-    def p(self, iri: str, delta: bool = False) -> DataFrame:
-        return (self.delta if delta else self.all).where(F.col("p") == iri).select("s", "o")
+def vocabulary_of(triples: DataFrame) -> set[str]:
+    """The names of the rules' vocabulary that occur: at most as many as these lists have."""
+    types = [_iri(x) for x in OWL_TYPES]
+    used = triples.where(F.col("p").isin(*OWL_PREDICATES, *SCHEMA_PREDICATES, RDF.first) | ((F.col("p") == RDF.type) & F.col("o").isin(*types)))
+    return {r["v"] for r in used.select(F.when(F.col("p") == RDF.type, _strip("o")).otherwise(F.col("p")).alias("v")).distinct().collect()}
 
 
 def _named(df: DataFrame, a: str, b: str) -> DataFrame:
@@ -58,32 +89,45 @@ def _out(df: DataFrame, s, p, o) -> DataFrame:
     return df.select(as_col(s).alias("s"), as_col(p).alias("p"), as_col(o).alias("o"))
 
 
-def rdfs_rules(t: Triples, schema: dict[str, DataFrame]) -> list[DataFrame]:
+def rdfs_schema(t: Triples, staging: Staging) -> tuple[DataFrame, DataFrame]:
+    """(prop, kind, value), what a triple of a property gives: 0 the triple of property ``value``, 1 and 2 its subject's and
+    object's class ``value``; and (sub, sup), the classes above a class. Both closed, small as a schema is, and staged."""
+    pairs = lambda p: t.p(p).select(F.col("s").alias("a"), F.col("o").alias("b"))
+    empty = t.all.limit(0).select(F.col("s").alias("a"), F.col("o").alias("b"))
+    above = closure(pairs(RDFS.subClassOf), staging).where("a <> b") if t.has(RDFS.subClassOf) else empty
+    above = staging.cut(above.select(F.col("a").alias("sub"), F.col("b").alias("sup")))
+    props = t.named(closure(pairs(RDFS.subPropertyOf), staging).where("a <> b") if t.has(RDFS.subPropertyOf) else empty, "a", "b").where("a <> b")
+    props = staging.cut(props.select(F.col("a").alias("sub"), F.col("b").alias("sup")))
+    gives = props.select(F.col("sub").alias("prop"), F.lit(0).alias("kind"), F.col("sup").alias("value"))
+    for kind, p in ((1, RDFS.domain), (2, RDFS.range)):
+        if t.has(p):
+            own = t.named(t.p(p).select(F.col("s").alias("prop"), F.col("o").alias("value")), "prop")
+            own = own.unionByName(props.join(own, F.col("sup") == F.col("prop")).select(F.col("sub").alias("prop"), "value")).distinct()
+            own = own.unionByName(own.join(above, F.col("value") == F.col("sub")).select("prop", F.col("sup").alias("value")))
+            gives = gives.unionByName(own.select("prop", F.lit(kind).alias("kind"), "value"))
+    return staging.cut(gives.distinct()), above
+
+
+def rdfs_rules(d: DataFrame, schema: tuple[DataFrame, DataFrame]) -> list[DataFrame]:
     """rdfs2, rdfs3, rdfs7 and rdfs9 over the closed schema; transitive schema triples themselves aren't added."""
-    d = t.delta
+    gives, above = schema
     types = d.where(F.col("p") == RDF.type)
+    met = d.join(gives, d.p == F.col("prop")).where((F.col("kind") < 2) | _is_resource("o"))
     return [
-        _out(d.join(schema["domain"], d.p == F.col("prop")), "s", RDF.type, "cls"),
-        _out(d.where(_is_resource("o")).join(schema["range"], d.p == F.col("prop")), "o", RDF.type, "cls"),
-        _out(d.join(schema["subprop"], d.p == F.col("sub")), "s", "sup", "o"),
-        _out(types.join(schema["subclass"], types.o == F.col("sub")), "s", RDF.type, "sup"),
-    ]
+        met.select(
+            F.when(F.col("kind") == 2, F.col("o")).otherwise(F.col("s")).alias("s"), F.when(F.col("kind") == 0, F.col("value")).otherwise(F.lit(RDF.type)).alias("p"),
+            F.when(F.col("kind") == 0, F.col("o")).otherwise(F.col("value")).alias("o"),
+        ),
+        _out(types.join(above, types.o == F.col("sub")), "s", RDF.type, "sup"),
+    ]
 
 
-def rdfs_schema(all: DataFrame, staging: Staging) -> dict[str, DataFrame]:
-    sub = all.where(F.col("p") == RDFS.subClassOf).select(F.col("s").alias("a"), F.col("o").alias("b"))
-    prop = all.where(F.col("p") == RDFS.subPropertyOf).select(F.col("s").alias("a"), F.col("o").alias("b"))
-    named = lambda p: all.where(F.col("p") == p).select(_strip("s").alias("prop"), F.col("o").alias("cls")).where("prop IS NOT NULL").distinct()
-    return {
-        "subclass": closure(sub, staging).where("a <> b").select(F.col("a").alias("sub"), F.col("b").alias("sup")),
-        "subprop": closure(prop, staging).where("a <> b").select(_strip("a").alias("sub"), _strip("b").alias("sup")).where("sub IS NOT NULL AND sup IS NOT NULL"),
-        "domain": named(RDFS.domain),
-        "range": named(RDFS.range),
-    }
+def _props_of(t: Triples, kind: str) -> DataFrame:
+    return t.named(t.all.where((F.col("p") == RDF.type) & (F.col("o") == _iri(kind))).select(F.col("s").alias("prop")), "prop")
 
 
-def _props_of(all: DataFrame, kind: str) -> DataFrame:
-    return all.where((F.col("p") == RDF.type) & (F.col("o") == _iri(kind))).select(_strip("s").alias("prop")).where("prop IS NOT NULL").distinct()
+def _both_ways(df: DataFrame, a: str, b: str) -> DataFrame:
+    return df.unionByName(df.select(F.col(b).alias(a), F.col(a).alias(b))).distinct()
 
 
 def _members(lists: DataFrame, owners: DataFrame) -> DataFrame:
@@ -92,106 +136,119 @@ def _members(lists: DataFrame, owners: DataFrame) -> DataFrame:
     return joined.select(F.col("s").alias("owner"), F.size("items").alias("n"), F.posexplode("items").alias("i", "member"))
 
 
-def owl_rules(t: Triples, lists: DataFrame, staging: Staging) -> list[DataFrame]:
-    """The property, class and equality rules of OWL 2 RL that the engine supports."""
+def owl_rules(t: Triples, lists: DataFrame | None) -> list[DataFrame]:
+    """The property and class rules of OWL 2 RL that the engine supports, as far as the vocabulary occurs.
+
+    Equality has no rules here: triples are those of representatives.
+    """
     a, d = t.all, t.delta
     rules: list[DataFrame] = []
-    sym, trp, fun, inv = (_props_of(a, OWL[k]) for k in ("SymmetricProperty", "TransitiveProperty", "FunctionalProperty", "InverseFunctionalProperty"))
-    res = d.where(_is_resource("o"))
+    res, objects = d.where(_is_resource("o")), a.where(_is_resource("o"))
     types = t.p(RDF.type)
+    typed = types.select(F.col("s").alias("x"), F.col("o").alias("c"))
+    pairs = lambda p, x, y: t.p(p).select(F.col("s").alias(x), F.col("o").alias(y))
     # prp-symp, prp-inv1/2, prp-eqp1/2, cax-eqc1/2
-    rules.append(_out(res.join(sym, res.p == F.col("prop"), "left_semi"), "o", "p", "s"))
-    inverse = a.where(F.col("p") == OWL.inverseOf).select(_strip("s").alias("p1"), _strip("o").alias("p2")).where("p1 IS NOT NULL AND p2 IS NOT NULL")
-    inverse = inverse.unionByName(inverse.select(F.col("p2").alias("p1"), F.col("p1").alias("p2"))).distinct()
-    rules.append(_out(res.join(inverse, res.p == F.col("p1")), "o", "p2", "s"))
-    same_prop = a.where(F.col("p") == OWL.equivalentProperty).select(_strip("s").alias("p1"), _strip("o").alias("p2")).where("p1 IS NOT NULL AND p2 IS NOT NULL")
-    same_prop = same_prop.unionByName(same_prop.select(F.col("p2").alias("p1"), F.col("p1").alias("p2"))).distinct()
-    rules.append(_out(d.join(same_prop, d.p == F.col("p1")), "s", "p2", "o"))
-    eqc = a.where(F.col("p") == OWL.equivalentClass).select(F.col("s").alias("c1"), F.col("o").alias("c2"))
-    eqc = eqc.unionByName(eqc.select(F.col("c2").alias("c1"), F.col("c1").alias("c2"))).distinct()
-    rules.append(_out(types.join(eqc, types.o == F.col("c1")), "s", RDF.type, "c2"))
-    # prp-trp: one doubling step a round
-    left = a.join(trp, a.p == F.col("prop"), "left_semi").select(F.col("s").alias("x"), F.col("p").alias("tp"), F.col("o").alias("y"))
-    right = left.select(F.col("x").alias("y2"), F.col("tp").alias("tp2"), F.col("y").alias("z"))
-    rules.append(_out(left.join(right, (F.col("y") == F.col("y2")) & (F.col("tp") == F.col("tp2"))).where("x <> z"), "x", "tp", "z"))
+    if t.has(OWL.SymmetricProperty):
+        rules.append(_out(res.join(_props_of(t, OWL.SymmetricProperty), res.p == F.col("prop"), "left_semi"), "o", "p", "s"))
+    if t.has(OWL.inverseOf):
+        inverse = _both_ways(t.named(pairs(OWL.inverseOf, "p1", "p2"), "p1", "p2"), "p1", "p2")
+        rules.append(_out(res.join(inverse, res.p == F.col("p1")), "o", "p2", "s"))
+    if t.has(OWL.equivalentProperty):
+        same_prop = _both_ways(t.named(pairs(OWL.equivalentProperty, "p1", "p2"), "p1", "p2"), "p1", "p2")
+        rules.append(_out(d.join(same_prop, d.p == F.col("p1")), "s", "p2", "o"))
+    if t.has(OWL.equivalentClass):
+        rules.append(_out(types.join(_both_ways(pairs(OWL.equivalentClass, "c1", "c2"), "c1", "c2"), types.o == F.col("c1")), "s", RDF.type, "c2"))
+    # prp-trp: paths that have a new step, one doubling a round
+    if t.has(OWL.TransitiveProperty):
+        trp = _props_of(t, OWL.TransitiveProperty)
+        step = lambda df, x, p, y: df.join(trp, df.p == F.col("prop"), "left_semi").select(F.col("s").alias(x), F.col("p").alias(p), F.col("o").alias(y))
+        for left, right in ((d, a), (a, d)):
+            two = step(left, "x", "tp", "y").join(step(right, "y2", "tp2", "z"), (F.col("y") == F.col("y2")) & (F.col("tp") == F.col("tp2")))
+            rules.append(_out(two.where("x <> z"), "x", "tp", "z"))
     # prp-fp, prp-ifp: a star around the least
-    objects = a.where(_is_resource("o"))
-    of_fun = objects.join(fun, objects.p == F.col("prop"), "left_semi")
-    first = of_fun.groupBy("s", "p").agg(F.min("o").alias("m")).select(F.col("s").alias("s2"), F.col("p").alias("p2"), "m")
-    rules.append(_out(of_fun.join(first, (F.col("s") == F.col("s2")) & (F.col("p") == F.col("p2"))).where("o <> m"), "m", SAME, "o"))
-    of_inv = a.join(inv, a.p == F.col("prop"), "left_semi")
-    first = of_inv.groupBy("p", "o").agg(F.min("s").alias("m")).select(F.col("o").alias("o2"), F.col("p").alias("p2"), "m")
-    rules.append(_out(of_inv.join(first, (F.col("o") == F.col("o2")) & (F.col("p") == F.col("p2"))).where("s <> m"), "m", SAME, "s"))
-    # eq-sym, eq-trans, eq-rep-s, eq-rep-o
-    same = t.p(SAME).where("s <> o")
-    rules.append(_out(same, "o", SAME, "s"))
-    again = same.select(F.col("s").alias("y2"), F.col("o").alias("z"))
-    rules.append(_out(same.join(again, F.col("o") == F.col("y2")).where("s <> z"), "s", SAME, "z"))
-    pairs = same.select(F.col("s").alias("x"), F.col("o").alias("x2"))
-    other = a.where(F.col("p") != SAME)
-    rules.append(_out(other.join(pairs, other.s == F.col("x")), "x2", "p", "o"))
-    rules.append(_out(other.join(pairs, other.o == F.col("x")), "s", "p", "x2"))
+    if t.has(OWL.FunctionalProperty):
+        rules += _stars(objects.join(_props_of(t, OWL.FunctionalProperty), objects.p == F.col("prop"), "left_semi"))
+    if t.has(OWL.InverseFunctionalProperty):
+        of_inv = a.join(_props_of(t, OWL.InverseFunctionalProperty), a.p == F.col("prop"), "left_semi")
+        rules += _stars(of_inv.select(F.col("o").alias("s"), "p", F.col("s").alias("o")))
     # restrictions
-    on = t.p(OWL.onProperty).select(F.col("s").alias("r"), _strip("o").alias("rp")).where("rp IS NOT NULL")
-    of = lambda p, name: t.p(p).select(F.col("s").alias("r"), F.col("o").alias(name))
-    typed = types.select(F.col("s").alias("x"), F.col("o").alias("c"))
-    hv = on.join(of(OWL.hasValue, "v"), "r")
-    rules.append(_out(hv.join(typed, F.col("r") == F.col("c")), "x", "rp", "v"))
-    rules.append(_out(a.join(hv, (a.p == F.col("rp")) & (a.o == F.col("v"))), "s", RDF.type, "r"))
-    svf = on.join(of(OWL.someValuesFrom, "v"), "r")
-    uses = a.join(svf, a.p == F.col("rp"))
-    rules.append(_out(uses.where(F.col("v") == _iri(OWL.Thing)), "s", RDF.type, "r"))
-    rules.append(_out(uses.join(typed, (F.col("o") == F.col("x")) & (F.col("v") == F.col("c"))), "s", RDF.type, "r"))
-    avf = on.join(of(OWL.allValuesFrom, "v"), "r").join(typed.select(F.col("x"), F.col("c")), F.col("r") == F.col("c"))
-    rules.append(_out(objects.join(avf, (objects.s == F.col("x")) & (objects.p == F.col("rp"))), "o", RDF.type, "v"))
-    one = lambda c: F.col(c).rlike('^("0*1"|[+]?0*1$)')
-    maxc = on.join(of(OWL.maxCardinality, "n").where(one("n")), "r").join(typed, F.col("r") == F.col("c"))
-    held = objects.join(maxc, (objects.s == F.col("x")) & (objects.p == F.col("rp"))).select("s", "p", "o")
-    rules += _stars(held)
-    maxq = on.join(of(OWL.maxQualifiedCardinality, "n").where(one("n")), "r").join(of(OWL.onClass, "q"), "r").join(typed, F.col("r") == F.col("c"))
-    held = objects.join(maxq, (objects.s == F.col("x")) & (objects.p == F.col("rp")))
-    inst = typed.select(F.col("x").alias("ox"), F.col("c").alias("oc"))
-    of_class = held.join(inst, (F.col("o") == F.col("ox")) & (F.col("q") == F.col("oc")), "left_semi")
-    rules += _stars(of_class.select("s", F.concat("p", F.lit(" "), "q").alias("p"), "o"))
-    rules += _stars(held.where(F.col("q") == _iri(OWL.Thing)).select("s", "p", "o"))
+    if t.has(OWL.onProperty):
+        on = t.named(pairs(OWL.onProperty, "r", "rp"), "rp")
+        if t.has(OWL.hasValue):
+            hv = on.join(pairs(OWL.hasValue, "r", "v"), "r")
+            rules.append(_out(hv.join(typed, F.col("r") == F.col("c")), "x", "rp", "v"))
+            rules.append(_out(d.join(hv, (d.p == F.col("rp")) & (d.o == F.col("v"))), "s", RDF.type, "r"))
+        if t.has(OWL.someValuesFrom):
+            svf = on.join(pairs(OWL.someValuesFrom, "r", "v"), "r")
+            rules.append(_out(d.join(svf.where(F.col("v") == _iri(OWL.Thing)), d.p == F.col("rp")), "s", RDF.type, "r"))
+            rules.append(_out(a.join(svf, a.p == F.col("rp")).join(typed, (F.col("o") == F.col("x")) & (F.col("v") == F.col("c"))), "s", RDF.type, "r"))
+        if t.has(OWL.allValuesFrom):
+            avf = on.join(pairs(OWL.allValuesFrom, "r", "v"), "r").join(typed, F.col("r") == F.col("c"))
+            rules.append(_out(objects.join(avf, (objects.s == F.col("x")) & (objects.p == F.col("rp"))), "o", RDF.type, "v"))
+        one = lambda c: F.col(c).rlike('^("0*1"|[+]?0*1$)')
+        if t.has(OWL.maxCardinality):
+            maxc = on.join(pairs(OWL.maxCardinality, "r", "n").where(one("n")), "r").join(typed, F.col("r") == F.col("c"))
+            rules += _stars(objects.join(maxc, (objects.s == F.col("x")) & (objects.p == F.col("rp"))).select("s", "p", "o"))
+        if t.has(OWL.maxQualifiedCardinality, OWL.onClass):
+            maxq = on.join(pairs(OWL.maxQualifiedCardinality, "r", "n").where(one("n")), "r").join(pairs(OWL.onClass, "r", "q"), "r").join(typed, F.col("r") == F.col("c"))
+            held = objects.join(maxq, (objects.s == F.col("x")) & (objects.p == F.col("rp")))
+            inst = typed.select(F.col("x").alias("ox"), F.col("c").alias("oc"))
+            of_class = held.join(inst, (F.col("o") == F.col("ox")) & (F.col("q") == F.col("oc")), "left_semi")
+            rules += _stars(of_class.select("s", F.concat("p", F.lit(" "), "q").alias("p"), "o"))
+            rules += _stars(held.where(F.col("q") == _iri(OWL.Thing)).select("s", "p", "o"))
     # lists of classes
-    inter = _members(lists, t.p(OWL.intersectionOf))
-    whole = inter.join(typed, F.col("member") == F.col("c")).groupBy("owner", "n", "x").agg(F.count_distinct("i").alias("k")).where("k = n")
-    rules.append(_out(whole, "x", RDF.type, "owner"))
-    rules.append(_out(inter.join(typed, F.col("owner") == F.col("c")), "x", RDF.type, "member"))
-    rules.append(_out(_members(lists, t.p(OWL.unionOf)).join(typed, F.col("member") == F.col("c")), "x", RDF.type, "owner"))
-    rules.append(_out(_members(lists, t.p(OWL.oneOf)), "member", RDF.type, "owner"))
-    rules.append(_keys(t, lists, typed))
-    rules += _chains(t, lists)
+    if lists is not None:
+        if t.has(OWL.intersectionOf):
+            inter = _members(lists, t.p(OWL.intersectionOf))
+            whole = inter.join(typed, F.col("member") == F.col("c")).groupBy("owner", "n", "x").agg(F.count_distinct("i").alias("k")).where("k = n")
+            rules.append(_out(whole, "x", RDF.type, "owner"))
+            rules.append(_out(inter.join(typed, F.col("owner") == F.col("c")), "x", RDF.type, "member"))
+        if t.has(OWL.unionOf):
+            rules.append(_out(_members(lists, t.p(OWL.unionOf)).join(typed, F.col("member") == F.col("c")), "x", RDF.type, "owner"))
+        if t.has(OWL.oneOf):
+            rules.append(_out(_members(lists, t.p(OWL.oneOf)), "member", RDF.type, "owner"))
+        if t.has(OWL.hasKey):
+            rules.append(_keys(t, lists, typed))
+        if t.has(OWL.propertyChainAxiom):
+            rules += _chains(t, lists)
     return rules
 
 
 def _stars(held: DataFrame) -> list[DataFrame]:
-    least = held.groupBy("s", "p").agg(F.min("o").alias("m")).select(F.col("s").alias("s2"), F.col("p").alias("p2"), "m")
+    """The objects of each (s, p) are the same as the least of them."""
+    least = held.groupBy("s", "p").agg(F.min("o").alias("m"), F.max("o").alias("_x")).where("m <> _x").select(F.col("s").alias("s2"), F.col("p").alias("p2"), "m")
     return [_out(held.join(least, (F.col("s") == F.col("s2")) & (F.col("p") == F.col("p2"))).where("o <> m"), "m", SAME, "o")]
 
 
 def _keys(t: Triples, lists: DataFrame, typed: DataFrame) -> DataFrame:
     """prp-key: instances that share a value of every key property are linked to the least of them.
 
-    An instance has a tuple for every choice of one value per key; equal tuples meet in an aggregate, not in pairs.
+    Keys are joined one position after the other, so that only instances that share the values so far go on: a tuple of
+    values that no other instance has is dropped at the first position at which it is alone.
     """
-    keys = _members(lists, t.p(OWL.hasKey)).select("owner", "n", "i", _strip("member").alias("kp"))
-    a = t.all
-    have = a.join(keys, a.p == F.col("kp")).join(typed, (F.col("s") == F.col("x")) & (F.col("owner") == F.col("c"))).select("owner", "n", "i", "o", "s")
-    values = have.groupBy("owner", "n", "s", "i").agg(F.sort_array(F.collect_set("o")).alias("vs"))
-    whole = values.groupBy("owner", "n", "s").agg(F.sort_array(F.collect_list(F.struct("i", "vs"))).alias("ks")).where("size(ks) = n")
-    grow = lambda done, xs: F.flatten(F.transform(done, lambda d: F.transform(xs, lambda x: F.concat(d, F.lit(" "), x))))
-    tuples = F.aggregate(F.transform("ks", lambda k: k["vs"]), F.array(F.lit("")), grow)
-    rows = whole.select("owner", "s", F.explode(tuples).alias("key"))
-    least = rows.groupBy("owner", "key").agg(F.min("s").alias("m")).select(F.col("owner").alias("owner2"), F.col("key").alias("key2"), "m")
-    return _out(rows.join(least, (F.col("owner") == F.col("owner2")) & (F.col("key") == F.col("key2"))).where("s <> m"), "m", SAME, "s")
+    keys = t.named(_members(lists, t.p(OWL.hasKey)).select("owner", "n", "i", F.col("member").alias("kp")), "kp")
+    have = t.all.join(keys, F.col("p") == F.col("kp")).join(typed, (F.col("s") == F.col("x")) & (F.col("owner") == F.col("c"))).select("owner", "n", "i", "o", "s").distinct()
+    longest = keys.agg(F.max("n")).first()[0] or 0  # the length of the longest key of the schema
+    tuples, done = None, []
+    for i in range(longest):
+        at = have.where(F.col("i") == i).select("owner", "n", "s", F.col("o").alias("v"))
+        new = at.withColumn("key", F.col("v")) if tuples is None else tuples.join(at, ["owner", "n", "s"]).withColumn("key", F.concat("key", F.lit(" "), "v"))
+        new = new.select("owner", "n", "s", "key")
+        shared = new.groupBy("owner", "key").agg(F.min("s").alias("_a"), F.max("s").alias("_b")).where("_a <> _b").select("owner", "key")
+        tuples = new.join(shared, ["owner", "key"], "left_semi")
+        done.append(tuples.where(F.col("n") == i + 1))
+    if not done:
+        return _out(t.all.limit(0), "s", "p", "o")
+    rows = done[0]
+    for x in done[1:]:
+        rows = rows.unionByName(x)
+    return _stars(rows.select(F.col("owner").alias("p"), F.col("key").alias("s"), F.col("s").alias("o")))[0]
 
 
 def _chains(t: Triples, lists: DataFrame) -> list[DataFrame]:
     """prp-spo2. The chains are schema: their number and lengths, which shape the plan, are read on the driver."""
     owners = t.p(OWL.propertyChainAxiom)
-    rows = owners.join(lists, F.col("o") == F.col("list")).select(_strip("s").alias("sup"), "items").where("sup IS NOT NULL").collect() if owners.head(1) else []
+    rows = t.named(owners.join(lists, F.col("o") == F.col("list")).select(F.col("s").alias("sup"), "items"), "sup").collect()
     out = []
     for r in rows:
         props = [x[1:-1] for x in r["items"] if x.startswith("<")]
@@ -204,107 +261,177 @@ def _chains(t: Triples, lists: DataFrame) -> list[DataFrame]:
     return out
 
 
-SCHEMA_PREDICATES = (RDFS.subClassOf, RDFS.subPropertyOf, RDFS.domain, RDFS.range)
+def _new(rules: list[DataFrame], known: DataFrame) -> DataFrame:
+    found = rules[0]
+    for r in rules[1:]:
+        found = found.unionByName(r)
+    found = found.where("s IS NOT NULL AND p IS NOT NULL AND o IS NOT NULL").where(_is_resource("s")).distinct()
+    old = known.select(F.col("s").alias("x_s"), F.col("p").alias("x_p"), F.col("o").alias("x_o"))
+    return found.join(old, F.expr("s = x_s AND p = x_p AND o = x_o"), "left_anti")
 
 
-def _fixpoint(start: DataFrame, rules: Callable[[Triples], list[DataFrame]], staging: Staging) -> DataFrame:
-    known = delta = staging.cut(start.distinct())
-    while True:
-        found = None
-        for r in rules(Triples(known, delta)):
-            found = r if found is None else found.unionByName(r)
-        found = found.where("s IS NOT NULL AND p IS NOT NULL AND o IS NOT NULL").where(_is_resource("s")).distinct()
-        old = known.select(F.col("s").alias("x_s"), F.col("p").alias("x_p"), F.col("o").alias("x_o"))
-        fresh = staging.cut(found.join(old, F.expr("s = x_s AND p = x_p AND o = x_o"), "left_anti"))
-        if not fresh.head(1):
-            return known
-        new = staging.cut(known.unionByName(fresh))
-        staging.drop(known, delta if delta is not known else None)
-        known, delta = new, fresh
+def rdfs_closure(ids: DataFrame, staging: Staging, materialize_schema: bool = False) -> Grown:
+    """The triples, staged and distinct, with all that RDFS derives as further parts.
 
-
-def rdfs_closure(ids: DataFrame, staging: Staging, materialize_schema: bool = False) -> DataFrame:
-    """The triples with all that RDFS derives. The schema is rebuilt if schema triples were derived."""
-    known = staging.cut(ids.distinct())
-    while True:
-        schema = rdfs_schema(known, staging)
-        n = known.where(F.col("p").isin(*SCHEMA_PREDICATES)).count()
-        known = _fixpoint(known, lambda t: rdfs_rules(t, schema), staging)
-        if known.where(F.col("p").isin(*SCHEMA_PREDICATES)).count() == n:
+    One pass, as the schema is closed; others follow only where the schema speaks about rdf:type or about itself.
+    """
+    known, delta, gives, above = Grown(ids), ids, None, None
+    vocabulary = vocabulary_of(ids)
+    while vocabulary.intersection(SCHEMA_PREDICATES):
+        if gives is None:
+            gives, above = rdfs_schema(Triples(known.df, delta, vocabulary), staging)
+            reflexive = gives.where((F.col("prop") == RDF.type) | ((F.col("kind") == 0) & F.col("value").isin(RDF.type, *SCHEMA_PREDICATES)))
+            again = bool(reflexive.head(1))
+        delta = staging.cut(_new(rdfs_rules(delta, (gives, above)), known.df))
+        if not again:
+            known.add(delta)
+            break
+        if not delta.head(1):
             break
-    if materialize_schema:
-        sub = schema["subclass"].select(F.col("sub").alias("s"), F.lit(RDFS.subClassOf).alias("p"), F.col("sup").alias("o"))
-        prop = schema["subprop"].select(F.concat(F.lit("<"), "sub", F.lit(">")).alias("s"), F.lit(RDFS.subPropertyOf).alias("p"), F.concat(F.lit("<"), "sup", F.lit(">")).alias("o"))
-        known = known.unionByName(sub).unionByName(prop).distinct()
+        known.add(delta)
+        if vocabulary_of(delta).intersection(SCHEMA_PREDICATES):
+            vocabulary, gives, delta = vocabulary | vocabulary_of(delta), None, known.df
+    if materialize_schema and above is not None:
+        sub = above.select(F.col("sub").alias("s"), F.lit(RDFS.subClassOf).alias("p"), F.col("sup").alias("o"))
+        prop = gives.where("kind = 0").select(F.concat(F.lit("<"), "prop", F.lit(">")).alias("s"), F.lit(RDFS.subPropertyOf).alias("p"), F.concat(F.lit("<"), "value", F.lit(">")).alias("o"))
+        known.add(staging.cut(_new([sub, prop], known.df)))
     return known
 
 
-def owl_closure(ids: DataFrame, staging: Staging) -> DataFrame:
-    """The triples with all that RDFS and the supported OWL 2 RL rules derive."""
-    known = rdfs_closure(ids, staging)
+def _merge(triples: DataFrame, edges: DataFrame, same: DataFrame | None, staging: Staging) -> tuple[DataFrame, DataFrame]:
+    """The triples over new representatives, and (member, rep) of all nodes that aren't their own.
+
+    The representative is the least node of a group, but one of the W3C's vocabulary if there is any.
+    """
+    labels = contract(edges.select(F.col("s").alias("u"), F.col("o").alias("v")), staging)
+    best = labels.groupBy("root").agg(F.min(F.struct((~F.col("v").startswith("<http://www.w3.org/")).alias("f"), "v")).alias("b")).select("root", F.col("b.v").alias("rep"))
+    step = staging.cut(labels.join(best, "root").select(F.col("v").alias("member"), "rep").where("member <> rep"))
+    if same is None:
+        whole = step
+    else:
+        to = step.select(F.col("member").alias("old"), F.col("rep").alias("new"))
+        whole = staging.cut(same.join(to, F.col("rep") == F.col("old"), "left").select("member", F.coalesce("new", "rep").alias("rep")).unionByName(step))
+    for c in ("s", "o"):
+        to = step.select(F.col("member").alias("old"), F.col("rep").alias("new"))
+        triples = triples.join(to, F.col(c) == F.col("old"), "left").withColumn(c, F.coalesce("new", c)).select("s", "p", "o")
+    return staging.cut(triples.distinct()), whole
+
+
+def _written_out(triples: DataFrame, same: DataFrame) -> DataFrame:
+    """The triples of representatives for all members, and that members are the same."""
+    group = same.select("rep", "member").unionByName(same.select("rep", F.col("rep").alias("member")).distinct())
+    out = triples.where(f"NOT (p = '{SAME}' AND s = o)")
+    for c in ("s", "o"):
+        g = group.select(F.col("rep").alias("_r"), F.col("member").alias("_m"))
+        out = out.join(g, F.col(c) == F.col("_r"), "left").withColumn(c, F.coalesce("_m", c)).select("s", "p", "o")
+    other = group.select("rep", F.col("member").alias("o"))
+    pairs = group.join(other, "rep").where("member <> o").select(F.col("member").alias("s"), F.lit(SAME).alias("p"), "o")
+    return out.unionByName(pairs)
+
+
+def owl_closure(ids: DataFrame, staging: Staging) -> tuple[DataFrame, DataFrame]:
+    """The triples, staged and distinct, with all that RDFS and the supported OWL 2 RL rules derive; and the derived ones."""
+    known, same = Grown(ids), None
+    delta, vocabulary, schema, lists = ids, vocabulary_of(ids), None, None
     while True:
-        n = known.count()
-        as_quads = known.where(F.col("p").isin(RDF.first, RDF.rest)).select(F.struct(F.col("s").alias("id")).alias("s"), "p", F.struct(F.col("o").alias("id")).alias("o"))
-        lists = collections(as_quads, staging)
-        known = _fixpoint(known, lambda t: owl_rules(t, lists, staging), staging)
-        known = staging.cut(rdfs_closure(known, staging))
-        if known.count() == n:
-            return known
+        edges = delta.where((F.col("p") == SAME) & (F.col("s") != F.col("o")) & _is_resource("o")) if SAME in vocabulary else None
+        if edges is not None and edges.head(1):
+            merged, same = _merge(known.df, edges, same, staging)
+            known, delta, schema, lists = Grown(merged), merged, None, None
+        t = Triples(known.df, delta, vocabulary, same)
+        rules = []
+        if vocabulary.intersection(SCHEMA_PREDICATES):
+            if schema is None:
+                schema = rdfs_schema(t, staging)
+            rules += rdfs_rules(delta, schema)
+        if lists is None and RDF.first in vocabulary and vocabulary.intersection((OWL.intersectionOf, OWL.unionOf, OWL.oneOf, OWL.hasKey, OWL.propertyChainAxiom)):
+            cells = known.df.where(F.col("p").isin(RDF.first, RDF.rest)).select(F.struct(F.col("s").alias("id")).alias("s"), "p", F.struct(F.col("o").alias("id")).alias("o"))
+            lists = staging.cut(collections(cells, staging))
+        rules += owl_rules(t, lists)
+        if not rules:
+            break
+        fresh = staging.cut(_new(rules, known.df))
+        if not fresh.head(1):
+            break
+        known.add(fresh)
+        delta, seen = fresh, vocabulary_of(fresh)
+        if seen - {SAME}:  # the schema has grown: all triples meet it anew
+            schema, lists, delta = None, None, known.df
+        vocabulary = vocabulary | seen
+    if same is None:
+        return known.df, known.added
+    out = staging.cut(_written_out(known.df, same).unionByName(ids).distinct())
+    old = ids.select(F.col("s").alias("x_s"), F.col("p").alias("x_p"), F.col("o").alias("x_o"))
+    return out, out.join(old, F.expr("s = x_s AND p = x_p AND o = x_o"), "left_anti")
 
 
 def inconsistencies(ids: DataFrame, staging: Staging) -> DataFrame:
     """(rule, message) of every contradiction in a closed set of triples."""
-    t = Triples(ids, ids)
+    t = Triples(ids, ids, vocabulary_of(ids))
     types = _named(t.p(RDF.type), "x", "c")
-    as_quads = ids.where(F.col("p").isin(RDF.first, RDF.rest)).select(F.struct(F.col("s").alias("id")).alias("s"), "p", F.struct(F.col("o").alias("id")).alias("o"))
-    lists = collections(as_quads, staging)
+    lists = None
+    if t.has(OWL.members, RDF.first):
+        cells = ids.where(F.col("p").isin(RDF.first, RDF.rest)).select(F.struct(F.col("s").alias("id")).alias("s"), "p", F.struct(F.col("o").alias("id")).alias("o"))
+        lists = staging.cut(collections(cells, staging))
     found: list[DataFrame] = []
 
     def report(rule: str, df: DataFrame, *cols: str) -> None:
         found.append(df.select(F.lit(rule).alias("rule"), F.concat_ws(" ", *cols).alias("message")))
 
-    report("cls-nothing2", types.where(F.col("c") == _iri(OWL.Nothing)), "x")
-    a = ids
-    report("prp-irp", a.where("s = o").join(_props_of(a, OWL.IrreflexiveProperty), a.p == F.col("prop"), "left_semi"), "s", "p")
-    asym = a.join(_props_of(a, OWL.AsymmetricProperty), a.p == F.col("prop"), "left_semi")
-    back = asym.select(F.col("s").alias("s2"), F.col("p").alias("p2"), F.col("o").alias("o2"))
-    report("prp-asyp", asym.join(back, F.expr("s = o2 AND o = s2 AND p = p2")).where("s <= o"), "s", "p", "o")
-    pdw = a.where(F.col("p") == OWL.propertyDisjointWith).select(_strip("s").alias("p1"), _strip("o").alias("q1")).where("p1 IS NOT NULL AND q1 IS NOT NULL")
-    all_of = lambda kind: a.where((F.col("p") == RDF.type) & (F.col("o") == _iri(kind))).select("s")
-
-    def pairs(kind: str) -> DataFrame:
-        owners = t.p(OWL.members).join(all_of(kind).select(F.col("s").alias("k")), F.col("s") == F.col("k"), "left_semi")
-        m = _members(lists, owners)
+    a, two = ids, types.select(F.col("x").alias("x2"), F.col("c").alias("c2"))
+    b = a.select(F.col("s").alias("s2"), F.col("p").alias("q2"), F.col("o").alias("o2"))
+    disjoint_props = lambda rule, dis: report(rule, a.join(dis, a.p == F.col("p1")).join(b, F.expr("s = s2 AND o = o2 AND q1 = q2")), "s", "p", "q1", "o")
+    disjoint = lambda rule, dis: report(rule, types.join(dis, F.col("c") == F.col("d1")).join(two, F.expr("x = x2 AND d2 = c2")), "x", "d1", "d2")
+    pairs = lambda p, x, y: t.p(p).select(F.col("s").alias(x), F.col("o").alias(y))
+
+    def listed(kind: str) -> DataFrame:
+        """All pairs of members of the lists of a kind, which are schema."""
+        of = types.where(F.col("c") == _iri(kind)).select(F.col("x").alias("k"))
+        m = _members(lists, t.p(OWL.members).join(of, F.col("s") == F.col("k"), "left_semi"))
         n = m.select(F.col("owner").alias("owner2"), F.col("i").alias("i2"), F.col("member").alias("member2"))
         return m.join(n, F.expr("owner = owner2 AND i < i2")).select("member", "member2")
 
-    adp = pairs(OWL.AllDisjointProperties).select(_strip("member").alias("p1"), _strip("member2").alias("q1"))
-    b = a.select(F.col("s").alias("s2"), F.col("p").alias("q2"), F.col("o").alias("o2"))
-    for rule, dis in (("prp-pdw", pdw), ("prp-adp", adp)):
-        report(rule, a.join(dis, a.p == F.col("p1")).join(b, F.expr("s = s2 AND o = o2 AND q1 = q2")), "s", "p", "q1", "o")
-    two = types.select(F.col("x").alias("x2"), F.col("c").alias("c2"))
-    dw = t.p(OWL.disjointWith).select(F.col("s").alias("d1"), F.col("o").alias("d2"))
-    adc = pairs(OWL.AllDisjointClasses).select(F.col("member").alias("d1"), F.col("member2").alias("d2"))
-    com = t.p(OWL.complementOf).select(F.col("s").alias("d1"), F.col("o").alias("d2"))
-    for rule, dis in (("cax-dw", dw), ("cax-adc", adc), ("cls-com", com)):
-        report(rule, types.join(dis, F.col("c") == F.col("d1")).join(two, F.expr("x = x2 AND d2 = c2")), "x", "d1", "d2")
-    same = _named(t.p(SAME), "x", "y")
-    diff = t.p(OWL.differentFrom).select(F.col("s").alias("x2"), F.col("o").alias("y2"))
-    diff = diff.unionByName(diff.select(F.col("y2").alias("x2"), F.col("x2").alias("y2"))).distinct()
-    report("eq-diff1", same.join(diff, F.expr("x = x2 AND y = y2")).where("x <= y"), "x", "y")
-    on = t.p(OWL.onProperty).select(F.col("s").alias("r"), _strip("o").alias("rp")).where("rp IS NOT NULL")
-    zero = lambda p: t.p(p).where(F.col("o").rlike('^("0+"|[+-]?0+$)')).select(F.col("s").alias("r"))
-    none = on.join(zero(OWL.maxCardinality), "r").join(types, F.col("r") == F.col("c"))
-    report("cls-maxc1", a.join(none, F.expr("s = x AND p = rp")), "s", "p", "o")
-    noneq = on.join(zero(OWL.maxQualifiedCardinality), "r").join(t.p(OWL.onClass).select(F.col("s").alias("r"), F.col("o").alias("q")), "r").join(types, F.col("r") == F.col("c"))
-    held = a.join(noneq, F.expr("s = x AND p = rp")).select("s", "p", "o", "q")
-    report("cls-maxqc1", held.join(two, F.expr("o = x2 AND q = c2"), "left_semi"), "s", "p", "o")
-    report("cls-maxqc2", held.where(F.col("q") == _iri(OWL.Thing)), "s", "p", "o")
-    src = t.p(OWL.sourceIndividual).select(F.col("s").alias("n"), F.col("o").alias("ns"))
-    prop = t.p(OWL.assertionProperty).select(F.col("s").alias("n"), _strip("o").alias("np"))
-    for rule, target in (("prp-npa1", OWL.targetIndividual), ("prp-npa2", OWL.targetValue)):
-        npa = src.join(prop, "n").join(t.p(target).select(F.col("s").alias("n"), F.col("o").alias("no")), "n")
-        report(rule, a.join(npa, F.expr("s = ns AND p = np AND o = no"), "left_semi"), "s", "p", "o")
+    if t.has(OWL.Nothing):
+        report("cls-nothing2", types.where(F.col("c") == _iri(OWL.Nothing)), "x")
+    if t.has(OWL.IrreflexiveProperty):
+        report("prp-irp", a.where("s = o").join(_props_of(t, OWL.IrreflexiveProperty), a.p == F.col("prop"), "left_semi"), "s", "p")
+    if t.has(OWL.AsymmetricProperty):
+        asym = a.join(_props_of(t, OWL.AsymmetricProperty), a.p == F.col("prop"), "left_semi")
+        back = asym.select(F.col("s").alias("s2"), F.col("p").alias("p2"), F.col("o").alias("o2"))
+        report("prp-asyp", asym.join(back, F.expr("s = o2 AND o = s2 AND p = p2")).where("s <= o"), "s", "p", "o")
+    if t.has(OWL.propertyDisjointWith):
+        disjoint_props("prp-pdw", t.named(pairs(OWL.propertyDisjointWith, "p1", "q1"), "p1", "q1"))
+    if t.has(OWL.AllDisjointProperties) and lists is not None:
+        disjoint_props("prp-adp", t.named(listed(OWL.AllDisjointProperties).toDF("p1", "q1"), "p1", "q1"))
+    if t.has(OWL.disjointWith):
+        disjoint("cax-dw", pairs(OWL.disjointWith, "d1", "d2"))
+    if t.has(OWL.AllDisjointClasses) and lists is not None:
+        disjoint("cax-adc", listed(OWL.AllDisjointClasses).toDF("d1", "d2"))
+    if t.has(OWL.complementOf):
+        disjoint("cls-com", pairs(OWL.complementOf, "d1", "d2"))
+    if t.has(OWL.sameAs, OWL.differentFrom):
+        diff = _both_ways(pairs(OWL.differentFrom, "x2", "y2"), "x2", "y2")
+        report("eq-diff1", pairs(SAME, "x", "y").join(diff, F.expr("x = x2 AND y = y2")).where("x <= y"), "x", "y")
+    if t.has(OWL.onProperty):
+        on = t.named(pairs(OWL.onProperty, "r", "rp"), "rp")
+        zero = lambda p: t.p(p).where(F.col("o").rlike('^("0+"|[+-]?0+$)')).select(F.col("s").alias("r"))
+        if t.has(OWL.maxCardinality):
+            none = on.join(zero(OWL.maxCardinality), "r").join(types, F.col("r") == F.col("c"))
+            report("cls-maxc1", a.join(none, F.expr("s = x AND p = rp")), "s", "p", "o")
+        if t.has(OWL.maxQualifiedCardinality, OWL.onClass):
+            noneq = on.join(zero(OWL.maxQualifiedCardinality), "r").join(pairs(OWL.onClass, "r", "q"), "r").join(types, F.col("r") == F.col("c"))
+            held = a.join(noneq, F.expr("s = x AND p = rp")).select("s", "p", "o", "q")
+            report("cls-maxqc1", held.join(two, F.expr("o = x2 AND q = c2"), "left_semi"), "s", "p", "o")
+            report("cls-maxqc2", held.where(F.col("q") == _iri(OWL.Thing)), "s", "p", "o")
+    if t.has(OWL.sourceIndividual, OWL.assertionProperty):
+        src = t.p(OWL.sourceIndividual).select(F.col("s").alias("n"), F.col("o").alias("ns"))
+        prop = t.named(t.p(OWL.assertionProperty).select(F.col("s").alias("n"), F.col("o").alias("np")), "np")
+        for rule, target in (("prp-npa1", OWL.targetIndividual), ("prp-npa2", OWL.targetValue)):
+            if t.has(target):
+                npa = src.join(prop, "n").join(t.p(target).select(F.col("s").alias("n"), F.col("o").alias("no")), "n")
+                report(rule, a.join(npa, F.expr("s = ns AND p = np AND o = no"), "left_semi"), "s", "p", "o")
+    if not found:
+        return ids.sparkSession.createDataFrame([], "rule string, message string")
     out = found[0]
     for f in found[1:]:
         out = out.unionByName(f)
@@ -319,10 +446,12 @@ def expand(quads: DataFrame, regimes: set[str] | frozenset[str] = frozenset({"rd
     """
     staging = staging or Staging(quads.sparkSession, "reasoning")
     ids = staging.cut(_ids(quads).distinct())
-    closed = owl_closure(ids, staging) if "owlrl" in regimes else rdfs_closure(ids, staging, materialize_schema)
-    old = ids.select(F.col("s").alias("x_s"), F.col("p").alias("x_p"), F.col("o").alias("x_o"))
-    added = closed.join(old, F.expr("s = x_s AND p = x_p AND o = x_o"), "left_anti")
-    bad = inconsistencies(closed, staging) if "owlrl" in regimes else quads.sparkSession.createDataFrame([], "rule string, message string")
+    if "owlrl" in regimes:
+        closed, added = owl_closure(ids, staging)
+        bad = inconsistencies(closed, staging)
+    else:
+        known = rdfs_closure(ids, staging, materialize_schema)
+        closed, added, bad = known.df, known.added, quads.sparkSession.createDataFrame([], "rule string, message string")
     as_terms = lambda df: df.select(term_of_id(F.col("s")).alias("s"), "p", term_of_id(F.col("o")).alias("o"))
     return as_terms(closed), as_terms(added), bad
 

@@ -2,6 +2,8 @@ from pyspark.sql import functions as F
 
 from quadloom.reasoning.rules import expand
 
+SYMMETRIC = "<http://www.w3.org/2002/07/owl#SymmetricProperty>"
+
 
 def added(graph, short, text, regimes=frozenset({"rdfs"}), **kw):
     closed, new, bad = expand(graph(text), regimes, **kw)
@@ -54,3 +56,39 @@ def test_inconsistencies(graph, short):
         [] owl:sourceIndividual ex:a ; owl:assertionProperty ex:p ; owl:targetIndividual ex:c . [] owl:sourceIndividual ex:w ; owl:assertionProperty ex:m ; owl:targetValue 1 .
         [] a owl:AllDisjointProperties ; owl:members (ex:r1 ex:r2) . ex:a ex:r1 ex:c ; ex:r2 ex:c .""", {"owlrl"})
     assert bad == {"cax-dw", "cls-nothing2", "prp-irp", "prp-asyp", "prp-pdw", "cax-adc", "eq-diff1", "cls-com", "cls-maxc1", "prp-npa1", "prp-npa2", "prp-adp"}
+
+
+def test_members_of_a_group_have_each_other_s_triples(graph, short):
+    got, _, closed = added(graph, short, """ex:a owl:sameAs ex:b . ex:c owl:sameAs ex:b . ex:d owl:sameAs ex:c . ex:a ex:p ex:x . ex:y ex:p ex:d . ex:x owl:sameAs ex:x .""", {"owlrl"})
+    group = "abcd"
+    want = {(x, "sameAs", y) for x in group for y in group if x != y} | {(x, "p", "x") for x in group} | {("y", "p", x) for x in group}
+    assert got == want - {("a", "sameAs", "b"), ("c", "sameAs", "b"), ("d", "sameAs", "c"), ("a", "p", "x"), ("y", "p", "d")}
+    assert expand(closed.select(F.lit(None).cast("string").alias("g"), "s", "p", "o"), {"owlrl"})[1].count() == 0
+
+
+def test_equality_of_properties_and_classes(graph, short):
+    got, _, _ = added(graph, short, "ex:p a owl:SymmetricProperty . ex:p owl:sameAs ex:q . ex:x ex:q ex:y . ex:C owl:sameAs ex:D . ex:E owl:equivalentClass ex:D . ex:i a ex:C .", {"owlrl"})
+    assert {("y", "q", "x"), ("q", "type", SYMMETRIC), ("i", "type", "D"), ("i", "type", "E"), ("E", "equivalentClass", "C")} <= got and ("x", "p", "y") not in got
+
+
+def test_equality_found_on_the_way(graph, short):
+    """A merge that only a derived triple gives, and one that only the first merge gives."""
+    got, _, _ = added(graph, short, "ex:f a owl:FunctionalProperty . ex:e owl:equivalentProperty ex:f . ex:a ex:f ex:b ; ex:e ex:c . ex:b ex:f ex:m . ex:c ex:f ex:n . ex:n ex:k ex:z .", {"owlrl"})
+    assert {("b", "sameAs", "c"), ("m", "sameAs", "n"), ("m", "k", "z"), ("c", "f", "m")} <= got
+
+
+def test_schema_derived_on_the_way(graph, short):
+    got, _, _ = added(graph, short, "ex:K rdfs:subClassOf owl:SymmetricProperty . ex:s a ex:K . ex:x ex:s ex:y .", {"owlrl"})
+    assert ("y", "s", "x") in got and ("s", "type", SYMMETRIC) in got
+    got, _, _ = added(graph, short, "ex:isa rdfs:subPropertyOf rdf:type . rdf:type rdfs:domain ex:Typed . ex:x ex:isa ex:A . ex:A rdfs:subClassOf ex:B . ex:under rdfs:subPropertyOf rdfs:subClassOf . ex:B ex:under ex:C .")
+    assert {("x", "type", "A"), ("x", "type", "B"), ("x", "type", "C"), ("x", "type", "Typed"), ("B", "subClassOf", "C")} <= got
+
+
+def test_nothing_to_derive(graph, short):
+    assert added(graph, short, "", {"owlrl"})[0] == added(graph, short, "ex:a ex:p ex:b .", {"owlrl"})[0] == added(graph, short, "ex:a ex:p ex:b .")[0] == set()
+
+
+def test_keys_of_several_values(graph, short):
+    got, _, _ = added(graph, short, """ex:K owl:hasKey (ex:a ex:b ex:c) . ex:i a ex:K ; ex:a 1, 2 ; ex:b 3, 4 ; ex:c 5 . ex:j a ex:K ; ex:a 2 ; ex:b 4, 9 ; ex:c 5, 6 . ex:k a ex:K ; ex:a 1 ; ex:b 3 . ex:l a ex:K ; ex:a 1 ; ex:b 10 ; ex:c 5 .
+        ex:One owl:hasKey (ex:a) . ex:m a ex:One ; ex:a 7 . ex:n a ex:One ; ex:a 7 .""", {"owlrl"})
+    assert {t for t in got if t[1] == "sameAs"} == {("i", "sameAs", "j"), ("j", "sameAs", "i"), ("m", "sameAs", "n"), ("n", "sameAs", "m")}
