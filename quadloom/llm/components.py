@@ -14,8 +14,9 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from quadloom.operators.stars import contract
 from quadloom.plans.prefix import running_sum
-from quadloom.plans.staging import Staging
+from quadloom.plans.staging import Grown, Staging
 
 #: A round of stripping and compressing must remove this share of the edges, else the core is solved as it is.
 WORTH = 0.1
@@ -35,8 +36,10 @@ def _rank_chains(chain: DataFrame, staging: Staging) -> DataFrame:
     """For each vertex of degree two (v, n1, n2): the ends of its chain, t1 <= t2, or, in a closed ring, its least vertex.
 
     An arc (v, w) leaves the chain vertex v for its neighbour w. Each arc points to the next one, and the pointers
-    double in length until they leave the chain. Rings never end; they are what remains when a round ends no arc, and
-    they go on doubling until every pointer has seen the whole ring.
+    double in length until they leave the chain. A step reads the arcs that haven't left, and of those that have only the
+    ones that were pointed to in the step before: an arc that no pointer meets now is met by no longer one. So short
+    chains drop out of the steps that long ones still take. Rings never end; they are what remains when a step ends no
+    arc, and they go on doubling until every pointer has seen the whole ring.
     """
     arcs = chain.select("v", F.explode(F.array(F.struct(F.col("n1").alias("w"), F.col("n2").alias("back")), F.struct(F.col("n2").alias("w"), F.col("n1").alias("back")))).alias("x"))
     arcs = arcs.select("v", "x.w")
@@ -44,47 +47,23 @@ def _rank_chains(chain: DataFrame, staging: Staging) -> DataFrame:
     start = arcs.join(nxt, F.col("w") == F.col("c"), "left").select(
         "v", "w", F.when(F.col("c").isNull(), F.col("w")).alias("t"), F.col("c").alias("jv"),
         F.when(F.col("n1") == F.col("v"), F.col("n2")).otherwise(F.col("n1")).alias("jw"),
-        F.least("v", "w").alias("m"),
+        F.least("v", "w").alias("m"), F.lit(True).alias("new"),
     )
     state = staging.cut(start)
-    left, reach, done = state.where("t IS NULL").count(), 1, [state.where("t IS NOT NULL")]
-    open_arcs, before = state, None
+    steps, left, reach, before = Grown(state), state.where("t IS NULL").count(), 1, None
     while left and not (left == before and reach >= left):
-        target = open_arcs.select(F.col("v").alias("ov"), F.col("w").alias("ow"), F.col("t").alias("ot"), F.col("jv").alias("oj"), F.col("jw").alias("ok"), F.col("m").alias("om"))
-        stepped = open_arcs.where("t IS NULL").join(target, (F.col("jv") == F.col("ov")) & (F.col("jw") == F.col("ow"))).select(
-            "v", "w", F.col("ot").alias("t"), F.col("oj").alias("jv"), F.col("ok").alias("jw"), F.least("m", "om").alias("m")
-        )
-        # arcs that have ended stay as targets
-        nxt_state = staging.cut(stepped.unionByName(open_arcs.where("t IS NOT NULL")))
-        before, left = left, nxt_state.where("t IS NULL").count()
-        staging.drop(open_arcs)
-        open_arcs, reach = nxt_state, reach * 2
-    del done
-    both = open_arcs.groupBy("v").agg(F.min("t").alias("t1"), F.max("t").alias("t2"), F.min("m").alias("ring"), F.count("t").alias("ended"))
+        target = state.select(*[F.col(c).alias(f"o_{c}") for c in ("v", "w", "t", "jv", "jw", "m")])
+        met = state.where("t IS NULL").join(target, (F.col("jv") == F.col("o_v")) & (F.col("jw") == F.col("o_w")))
+        stepped = F.struct("v", "w", F.col("o_t").alias("t"), F.col("o_jv").alias("jv"), F.col("o_jw").alias("jw"), F.least("m", "o_m").alias("m"), F.lit(True).alias("new"))
+        kept = F.when(F.col("o_t").isNotNull(), F.struct(*[F.col(f"o_{c}").alias(c) for c in ("v", "w", "t", "jv", "jw", "m")], F.lit(False).alias("new")))
+        state = staging.cut(met.select(F.explode(F.array_compact(F.array(stepped, kept))).alias("x")).select("x.*"))
+        before, left, reach = left, state.where("t IS NULL").count(), reach * 2
+        steps.add(state)
+    ended = steps.df.where("t IS NOT NULL AND new").unionByName(state.where("t IS NULL"))
+    both = ended.groupBy("v").agg(F.min("t").alias("t1"), F.max("t").alias("t2"), F.min("m").alias("ring"), F.count("t").alias("ended"))
     return both.select("v", "t1", "t2", F.when(F.col("ended") == 0, F.col("ring")).alias("ring"))
 
 
-def _stars(edges: DataFrame, staging: Staging) -> DataFrame:
-    """Connects every vertex of the edges directly to the least one of its group: (v, root), roots included."""
-    edges, last = staging.cut(edges.select("u", "v")), None
-    while True:
-        both = edges.select(F.explode(F.array(F.struct("u", "v"), F.struct(F.col("v").alias("u"), F.col("u").alias("v")))).alias("x")).select("x.*")
-        least = both.groupBy("u").agg(F.min("v").alias("m")).select(F.col("u").alias("c"), F.least("m", "u").alias("m"))
-        large = both.where("v > u").join(least, F.col("u") == F.col("c")).where("v <> m").select(F.col("m").alias("u"), "v").distinct()
-        # small star: each vertex's lesser neighbours, and itself, to the least of them
-        low = large.groupBy("v").agg(F.min("u").alias("m")).select(F.col("v").alias("c"), "m")
-        small = large.join(low, F.col("v") == F.col("c"))
-        small = small.select(F.explode(F.array(F.struct(F.col("m").alias("u"), "v"), F.struct(F.col("m").alias("u"), F.col("u").alias("v")))).alias("x")).select("x.*")
-        new = staging.cut(small.where("u <> v").distinct())
-        now = new.agg(F.count(F.lit(1)), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first()
-        staging.drop(edges)
-        edges = new
-        if tuple(now) == last:
-            break
-        last = tuple(now)
-    return edges.select("v", F.col("u").alias("root")).unionByName(edges.select(F.col("u").alias("v"), F.col("u").alias("root")).distinct())
-
-
 def number_nodes(nodes: DataFrame, staging: Staging) -> DataFrame:
     """node, n: dense numbers from 1 in code point order."""
     return staging.cut(running_sum(nodes.withColumn("_one", F.lit(1).cast("bigint")), [], ["node"], "_one", "n", staging).select("node", "n"))
@@ -130,7 +109,7 @@ def group_pairs(pairs: DataFrame, a: str, b: str, node: str = "node", group: str
         if n_edges > (1 - WORTH) * at_start:
             break
     # the core, then the removed vertices, last removed first: a parent has its label when its children ask for it
-    labels = _stars(edges, staging) if n_edges else None
+    labels = contract(edges, staging) if n_edges else None
     for gone in reversed(removed):
         if labels is None:
             found = gone.select("v", F.col("parent").alias("root"))
