@@ -88,7 +88,8 @@ class Validator:
         self.shapes = shapes if isinstance(shapes, Shapes) else Shapes(shapes)
         self.staging = staging or Staging(self.spark, "shacl")
         self.quads = data
-        self.ids = data.where("s.id IS NOT NULL AND p IS NOT NULL AND o.id IS NOT NULL").select(F.col("s.id").alias("s"), "p", F.col("o.id").alias("o")).distinct()
+        ids = data.where("s.id IS NOT NULL AND p IS NOT NULL AND o.id IS NOT NULL").select(F.col("s.id").alias("s"), "p", F.col("o.id").alias("o"))
+        self.ids = self.staging.cut(ids.distinct())  # read by every constraint, each with its filter on p
         self._super: DataFrame | None = None
         self._lists: DataFrame | None = None
         self.linked: bool | None = None
