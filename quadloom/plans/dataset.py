@@ -7,10 +7,11 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quadloom.functions.terms import IRI, Term, parse_id
+from quadloom.functions.terms import IRI, TERM_DDL, Term, parse_id
 from quadloom.functions.vocab import RDF, Prefixes
 from quadloom.operators import graph_ops
-from quadloom.plans.graphs import QuadGraph, frame_of_terms
+from quadloom.plans.graphs import Layout, QuadGraph, frame_of_terms
+from quadloom.plans.graphs import folder_of as _folder
 from quadloom.sparql.compiler import Result, run_query
 from quadloom.sparql.update import add_quads, apply_update, remove_quads
 
@@ -18,8 +19,9 @@ from quadloom.sparql.update import add_quads, apply_update, remove_quads
 class Dataset:
     """A snapshot of quads; changes give a new one. ``union_default`` makes all graphs together the default graph."""
 
-    def __init__(self, quads: DataFrame, prefixes: Prefixes | None = None, is_set: bool = True, union_default: bool = False, names: set[str] | None = None):
-        self.quads, self.prefixes, self.is_set, self.union_default, self.names = quads, prefixes or Prefixes(), is_set, union_default, set(names or ())
+    def __init__(self, quads: DataFrame, prefixes: Prefixes | None = None, is_set: bool = True, union_default: bool = False, names: set[str] | None = None, layout: Layout | None = None):
+        self.stored, self.quads = quads, quads.drop("_part") if layout else quads
+        self.prefixes, self.is_set, self.union_default, self.names, self.layout = prefixes or Prefixes(), is_set, union_default, set(names or ()), layout
         self.spark = quads.sparkSession
 
     @classmethod
@@ -36,7 +38,7 @@ class Dataset:
 
     def query(self, text: str, bindings: dict[str, Term] | None = None) -> Result:
         head = "".join(f"PREFIX {p}: <{n}>\n" for p, n in self.prefixes.of.items())
-        return run_query(QuadGraph(self.quads, self.is_set, self.union_default), head + text, bindings)
+        return run_query(QuadGraph(self.stored, self.is_set, self.union_default, layout=self.layout), head + text, bindings)
 
     def update(self, text: str, loader: Callable[[str], DataFrame] | None = None) -> Dataset:
         head = "".join(f"PREFIX {p}: <{n}>\n" for p, n in self.prefixes.of.items())
@@ -56,19 +58,25 @@ class Dataset:
 
     def contexts(self, s: str | None = None, p: str | None = None, o: str | None = None) -> DataFrame:
         """The names of the graphs that have a triple of these ids."""
-        return graph_ops.match(self.quads, s, p, o).select("g").distinct()
+        return self._match(s, p, o, None).select("g").distinct()
 
     # triples
+    def _match(self, s: str | None, p: str | None, o: str | None, g: str | None) -> DataFrame:
+        q = self.stored
+        if self.layout:
+            q = self.layout.prune(q, p=p, g=g).drop("_part")
+        return graph_ops.match(q, s, p, o, g)
+
     def triples(self, s: str | None = None, p: str | None = None, o: str | None = None, g: str | None = None, limit: int | None = None, offset: int = 0) -> DataFrame:
-        q = graph_ops.match(self.quads, s, p, o, g)
+        q = self._match(s, p, o, g)
         q = q.offset(offset) if offset else q
         return q if limit is None else q.limit(limit)
 
     def count(self, s: str | None = None, p: str | None = None, o: str | None = None, g: str | None = None) -> int:
-        return graph_ops.match(self.quads, s, p, o, g).count()
+        return self._match(s, p, o, g).count()
 
     def exists(self, s: str | None = None, p: str | None = None, o: str | None = None, g: str | None = None) -> bool:
-        return bool(graph_ops.match(self.quads, s, p, o, g).head(1))
+        return bool(self._match(s, p, o, g).head(1))
 
     def add(self, quads: DataFrame) -> Dataset:
         return self._next(add_quads(self.quads, quads))
@@ -92,15 +100,26 @@ class Dataset:
         kept = self.quads.where(~(F.col("g").eqNullSafe(F.lit(name).cast("string")) & (F.col("s.id") == s.id) & (F.col("p") == pred)))
         return self._next(add_quads(kept, frame_of_terms(self.spark, [quad])))
 
-    def write(self, path: str) -> None:
-        """Parquet by predicate, so that a pattern with a constant predicate reads its part alone; and the prefixes."""
-        self.quads.withColumn("predicate", F.col("p")).write.partitionBy("predicate").mode("errorifexists").parquet(f"{path}/quads")
+    def write(self, path: str, by: str = "predicate", folders: int = 64) -> None:
+        """Parquet by predicate or by graph, and the prefixes.
+
+        Predicates (or graphs) are spread over ``folders`` by their hash, so that the many rare ones don't get a folder each,
+        and lie sorted in the files of a folder: a pattern with a constant reads one folder, and in it the row groups of
+        that constant. A hot one is split over several files by range.
+        """
+        column, n = {"predicate": "p", "graph": "g"}[by], F.lit(folders)
+        rows = self.quads.withColumn("_part", _folder(F.col(column), n))
+        rows = rows.repartitionByRange("_part", column, "s.id", "p", "o.id").sortWithinPartitions("_part", column, "s.id", "p", "o.id")
+        rows.write.partitionBy("_part").mode("errorifexists").parquet(f"{path}/quads")
         self.spark.createDataFrame(sorted(self.prefixes.of.items()), "prefix string, namespace string").coalesce(1).write.parquet(f"{path}/prefixes")
+        self.spark.createDataFrame([(column, folders)], "part_of string, folders int").coalesce(1).write.parquet(f"{path}/layout")
 
     @classmethod
     def read(cls, spark: SparkSession, path: str) -> Dataset:
         prefixes = {r["prefix"]: r["namespace"] for r in spark.read.parquet(f"{path}/prefixes").collect()}
-        return cls(spark.read.parquet(f"{path}/quads").drop("predicate"), Prefixes(prefixes))
+        layout = spark.read.parquet(f"{path}/layout").first()
+        quads = spark.read.schema(f"g string, s {TERM_DDL}, p string, o {TERM_DDL}, _part int").parquet(f"{path}/quads")
+        return cls(quads, Prefixes(prefixes), layout=Layout(layout["part_of"], layout["folders"]))
 
 
 class Resource:

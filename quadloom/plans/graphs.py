@@ -23,6 +23,24 @@ def frame_of_terms(spark: SparkSession, quads: Iterable[tuple[Term | str | None,
     return spark.createDataFrame(rows, QUADS)
 
 
+def folder_of(value, folders):
+    """The number of the folder of a predicate or graph, which a constant one folds to when the plan is made."""
+    return F.pmod(F.xxhash64(F.coalesce(value, F.lit(""))), folders).cast("int")
+
+
+@dataclass
+class Layout:
+    """Quads stored in folders (column ``_part``) by the hash of a column, p or g."""
+
+    column: str
+    folders: int
+
+    def prune(self, df: DataFrame, **known: str | None) -> DataFrame:
+        """The folder of a constant predicate or graph alone, if the quads lie by that."""
+        value = known.get(self.column)
+        return df if value is None else df.where(F.col("_part") == folder_of(F.lit(value), F.lit(self.folders)))
+
+
 class QuadGraph:
     """Quads with an active part: the default graph (g is NULL), all graphs merged, or a chosen few.
 
@@ -30,7 +48,8 @@ class QuadGraph:
     pattern removes repetitions. Rows that lack s, p or o are no triples.
     """
 
-    def __init__(self, quads: DataFrame, is_set: bool = False, union_default: bool = False, default: list[str] | None = None, named: list[str] | None = None):
+    def __init__(self, quads: DataFrame, is_set: bool = False, union_default: bool = False, default: list[str] | None = None, named: list[str] | None = None, layout: Layout | None = None):
+        self.layout = layout
         self.quads, self.is_set, self.union_default, self.default, self.named = quads, is_set, union_default, default, named
         self.spark = quads.sparkSession
 
@@ -53,6 +72,8 @@ class QuadGraph:
     def triple(self, s, p, o, graph=None) -> Frame:
         """The solutions of a triple pattern."""
         df, vals, extra = self.active(graph), {}, []
+        if self.layout:
+            df = self.layout.prune(df, p=p.lex if isinstance(p, Term) else None, g=graph if isinstance(graph, str) else "" if graph is None and not self.merges(None) and self.default is None else None)
 
         def place(node, val: Val) -> None:
             nonlocal df

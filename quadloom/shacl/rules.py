@@ -1,7 +1,8 @@
 """Rule sets: DATA blocks and RULE { head } WHERE { body }, with stratified negation.
 
 A body is a list of triple patterns, FILTER, BIND and NOT { }, compiled as a query pattern. Strata are evaluated one
-after another; within a stratum, rounds of all its rules run until they derive nothing new.
+after another. A stratum whose rules don't feed each other is a single pass; in another, rounds follow in which a rule runs
+once for each of its patterns that the last round may have fed, with that pattern over what this round added.
 """
 
 from __future__ import annotations
@@ -10,16 +11,19 @@ from dataclasses import dataclass, field
 from functools import reduce
 
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 
 from quadloom.functions.terms import IRI, Term
 from quadloom.plans.graphs import QuadGraph, frame_of_terms
-from quadloom.plans.staging import Staging
-from quadloom.sparql.ast import BGP, Call, Exists, Extend, Filter, SparqlError, Triple, TripleTermPattern, Var, expr_vars, node_vars
+from quadloom.plans.staging import Grown, Staging
+from quadloom.sparql.ast import BGP, Call, Exists, Extend, Filter, GraphPattern, SparqlError, Triple, TripleTermPattern, Var, expr_vars, node_vars
 from quadloom.sparql.compiler import Compiler
 from quadloom.sparql.parser import Parser, join
 from quadloom.sparql.update import add_quads, remove_quads
 
 MOST_ROUNDS = 1000
+#: The graph in which the triples of the last round lie besides the default graph, where all lie.
+LAST = "urn:x-quadloom:last"
 
 
 class RuleError(ValueError):
@@ -77,9 +81,23 @@ def _vars(t: Triple) -> set[str]:
     return node_vars(t.s) | node_vars(t.p) | node_vars(t.o)
 
 
-def _pattern(body: list):
-    g, triples = BGP([]), []
+def _atoms(body: list, negative: bool = False):
+    """The triple patterns of a body, and whether they stand in a NOT."""
     for x in body:
+        if isinstance(x, Triple):
+            yield x, negative
+        elif x[0] == "not":
+            yield from _atoms(x[1], True)
+
+
+def _pattern(body: list, last: int | None = None):
+    """The query pattern of a body; its item ``last``, a triple pattern, matches the triples of the last round only."""
+    g, triples = BGP([]), []
+    for i, x in enumerate(body):
+        if i == last:
+            g = join(join(g, BGP(triples)) if triples else g, GraphPattern(Term(IRI, LAST), BGP([x])))
+            triples = []
+            continue
         if isinstance(x, Triple):
             triples.append(x)
             continue
@@ -146,15 +164,8 @@ class RuleSet:
     def strata(self) -> list[list[Rule]]:
         """The rules by stratum; RuleError if a rule depends on its own negation."""
 
-        def atoms(body: list, negative: bool = False):
-            for x in body:
-                if isinstance(x, Triple):
-                    yield x, negative
-                elif x[0] == "not":
-                    yield from atoms(x[1], True)
-
         n = len(self.rules)
-        edges = [(i, j, neg) for i, r in enumerate(self.rules) for a, neg in atoms(r.body) for j, other in enumerate(self.rules) if any(_may_make(h, a) for h in other.head)]
+        edges = [(i, j, neg) for i, r in enumerate(self.rules) for a, neg in _atoms(r.body) for j, other in enumerate(self.rules) if any(_may_make(h, a) for h in other.head)]
         level = [0] * n
         for _ in range(n * n + 1):
             changed = False
@@ -175,27 +186,32 @@ class RuleSet:
         self.check()
         spark = quads.sparkSession
         staging = staging or Staging(spark, "rules")
-        start = staging.cut(add_quads(quads.where("s.id IS NOT NULL AND p IS NOT NULL AND o.id IS NOT NULL").selectExpr("CAST(NULL AS STRING) AS g", "s", "p", "o"), frame_of_terms(spark, [])))
-        known = start
+        as_default = "CAST(NULL AS STRING) AS g", "s", "p", "o"
+        known = Grown(staging.cut(add_quads(quads.where("s.id IS NOT NULL AND p IS NOT NULL AND o.id IS NOT NULL").selectExpr(*as_default), frame_of_terms(spark, []))))
         if self.data:
-            known = staging.cut(add_quads(known, frame_of_terms(spark, [(None, t.s, t.p, t.o) for t in self.data])))
+            given = add_quads(frame_of_terms(spark, []), frame_of_terms(spark, [(None, t.s, t.p, t.o) for t in self.data]))
+            known.add(staging.cut(remove_quads(given, known.df)))
         for rules in self.strata():
+            # (rule, place of the pattern that takes the last round's triples)
+            fed = [(r, i) for r in rules for i, x in enumerate(r.body) if isinstance(x, Triple) and any(_may_make(h, x) for other in rules for h in other.head)]
+            runs: list[tuple[Rule, int | None]] = [(r, None) for r in rules]
+            last = None
             for _ in range(MOST_ROUNDS):
-                if not rules:
+                if not runs:
                     break
+                data = known.df if last is None else known.df.unionByName(last.withColumn("g", F.lit(LAST)))
                 found = []
-                for r in rules:
-                    c = Compiler(QuadGraph(known, is_set=True))
-                    found.append(c.construct(c.pattern(_pattern(r.body)), [(None, t) for t in r.head]))
-                fresh = staging.cut(add_quads(remove_quads(reduce(DataFrame.unionByName, found), known), frame_of_terms(spark, [])))
-                if not fresh.head(1):
+                for r, at in runs:
+                    c = Compiler(QuadGraph(data, is_set=True))
+                    found.append(c.construct(c.pattern(_pattern(r.body, at)), [(None, t) for t in r.head]))
+                last = staging.cut(remove_quads(add_quads(reduce(DataFrame.unionByName, found), frame_of_terms(spark, [])), known.df))
+                runs = fed
+                if runs and not last.head(1):
                     break
-                new = staging.cut(known.unionByName(fresh))
-                staging.drop(fresh)
-                known = new
+                known.add(last)
             else:
                 raise RuleError(f"no end after {MOST_ROUNDS} rounds")
-        return remove_quads(known, start)
+        return known.added
 
 
 __all__ = ["Call", "IRI", "Rule", "RuleError", "RuleSet", "Var"]

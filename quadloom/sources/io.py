@@ -13,11 +13,12 @@ from quadloom.functions.terms import IRI, QUADS, TERM_DDL, Term, parse_id
 from quadloom.functions.vocab import Prefixes
 from quadloom.sources.jsonld import parse_jsonld, to_jsonld
 from quadloom.sources.lines import line_column, parse_line, read_lines, write_lines
-from quadloom.sources.rdfxml import parse_rdfxml, to_rdfxml
+from quadloom.sources.rdfxml import RDFXML_HEAD, RDFXML_TAIL, parse_rdfxml, rdfxml_descriptions, to_rdfxml
 from quadloom.sources.turtle import parse_trig, parse_turtle
 from quadloom.sources.writers import to_trig, to_turtle
 from quadloom.sparql.update import add_quads
 
+WHOLE = "s.id IS NOT NULL AND p IS NOT NULL AND o.id IS NOT NULL"
 # File extensions and media types of the formats.
 EXTENSIONS = {".ttl": "turtle", ".turtle": "turtle", ".trig": "trig", ".nt": "ntriples", ".ntriples": "ntriples", ".nq": "nquads", ".nquads": "nquads", ".rdf": "rdfxml", ".rdfs": "rdfxml", ".owl": "rdfxml", ".xml": "rdfxml", ".jsonld": "jsonld", ".json": "jsonld"}
 MEDIA_TYPES = {"text/turtle": "turtle", "application/x-turtle": "turtle", "application/trig": "trig", "application/n-triples": "ntriples", "text/plain": "ntriples", "application/n-quads": "nquads", "application/rdf+xml": "rdfxml", "application/ld+json": "jsonld", "application/json": "jsonld"}
@@ -77,11 +78,12 @@ def parse_text(spark: SparkSession, text: str, format: str, base: str | None = N
     return add_quads(spark.createDataFrame([], QUADS), frame_of_terms(spark, [(g if g is None or g.kind == IRI else None, s, p, o) for g, s, p, o in PARSERS[format](text, base, "")]))
 
 
-def read(spark: SparkSession, path: str, format: str | None = None, base: str | None = None) -> DataFrame:
+def read(spark: SparkSession, path: str, format: str | None = None, base: str | None = None, parts: bool = False) -> DataFrame:
     """The set of quads in the files of a path.
 
     N-Triples and N-Quads are parsed line by line wherever Spark reads them. Files of the other formats are each parsed
-    whole, many at once; blank node labels are kept apart by file. Graphs named by blank nodes count as the default.
+    whole, many at once; blank node labels are kept apart by file, or, with ``parts``, mean the same in all files, as in
+    what ``write`` makes. Graphs named by blank nodes count as the default.
     """
     format = format or detect(path)
     if format is None:
@@ -98,25 +100,70 @@ def read(spark: SparkSession, path: str, format: str | None = None, base: str |
 
         for b in batches:
             for name, content in zip(b["path"], b["content"]):
-                scope = "f" + hashlib.sha256(name.encode()).hexdigest()[:12]
-                quads = parser(bytes(content).decode("utf-8-sig"), base or name, scope)
+                scope = "" if parts else "f" + hashlib.sha256(name.encode()).hexdigest()[:12]
+                text = bytes(content).decode("utf-8-sig")
+                quads = parser(text, base or name, scope) if text.strip() else []
                 yield pd.DataFrame([(g.lex if g is not None and g.kind == IRI else None, s.row(), p.lex, o.row()) for g, s, p, o in quads], columns=["g", "s", "p", "o"])
 
     files = spark.read.format("binaryFile").load(path).select("path", "content")
     return add_quads(spark.createDataFrame([], QUADS), files.mapInPandas(run, f"g string, s {TERM_DDL}, p string, o {TERM_DDL}"))
 
 
+#: Quads that a writer holds at once.
+CHUNK = 10_000
+
+
+def _documents(format: str, prefixes: Prefixes | None) -> Callable:
+    """Batches of (g, s, p, o) ids to the pieces of one document; pieces break between subjects if these have no more than CHUNK quads."""
+    most = CHUNK
+    opening, between, closing = {"jsonld": ("[", ",", "]"), "rdfxml": (RDFXML_HEAD, "", RDFXML_TAIL)}.get(format, ("", "", ""))
+
+    def piece(rows: list[tuple]) -> str:
+        terms: dict[str, Term] = {}
+        of = lambda x: terms[x] if x in terms else terms.setdefault(x, parse_id(x))
+        quads = [(Term(IRI, g) if g else None, of(s), Term(IRI, p), of(o)) for g, s, p, o in rows]
+        if format == "turtle":
+            return to_turtle([q[1:] for q in quads], prefixes, inline=False)
+        if format == "trig":
+            return to_trig(quads, prefixes, inline=False)
+        if format == "rdfxml":
+            return rdfxml_descriptions([q[1:] for q in quads])
+        if format == "jsonld":
+            return to_jsonld(quads).strip()[1:-1].strip()
+        return SERIALIZERS[format](quads, prefixes)
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        rows: list[tuple] = []
+        first = True
+        for b in batches:
+            for r in zip(b["g"], b["s"], b["p"], b["o"]):
+                if len(rows) >= most and (r[:2] != rows[-1][:2] or len(rows) >= 2 * most):
+                    yield pd.DataFrame({"value": [(opening if first else between) + piece(rows)]})
+                    rows, first = [], False
+                rows.append(r)
+        if rows:
+            yield pd.DataFrame({"value": [(opening if first else between) + piece(rows)]})
+            first = False
+        if closing and not first:
+            yield pd.DataFrame({"value": [closing]})
+
+    return run
+
+
 def write(quads: DataFrame, path: str, format: str, prefixes: Prefixes | None = None) -> None:
-    """Write a graph: N-Triples and N-Quads as sorted text files by Spark, other formats as one text by the driver.
+    """Write a graph as a folder of text files; formats without graphs drop them.
 
-    The texts of the other formats show each subject once with all it has, so they are made for graphs that fit the driver.
+    N-Triples and N-Quads are sorted lines. Of the other formats every file is a document, which a task writes piece by
+    piece from its range of the sorted quads: a subject stands together unless it has very many, and blank nodes keep
+    their labels, which mean the same in all files (``read`` with ``parts``). ``serialize`` makes a single text.
     """
     if format in ("ntriples", "nquads"):
         write_lines(quads, path, format == "nquads")
         return
-    text = serialize(quads, format, prefixes)
-    with open(path, "w", encoding="utf-8") as f:
-        f.write(text)
+    graph = F.col("g") if format in ("trig", "jsonld") or format not in PARSERS else F.lit(None).cast("string").alias("g")
+    rows = quads.where(WHOLE).select(graph, F.col("s.id").alias("s"), "p", F.col("o.id").alias("o")).distinct()
+    ranges = rows.repartitionByRange("g", "s", "p", "o").sortWithinPartitions("g", "s", "p", "o")
+    ranges.mapInPandas(_documents(format, prefixes), "value string").write.text(path)
 
 
 def serialize(quads: DataFrame, format: str, prefixes: Prefixes | None = None) -> str:

@@ -219,4 +219,16 @@ def to_rdfxml(triples: list[tuple[Term, Term, Term]], prefixes: Prefixes | None
     return f'<?xml version="1.0" encoding="UTF-8"?>\n<rdf:RDF{spaces}>\n' + "\n".join(body) + "\n</rdf:RDF>\n"
 
 
+#: What stands around the descriptions of a document.
+RDFXML_HEAD, RDFXML_TAIL = f'<?xml version="1.0" encoding="UTF-8"?>\n<rdf:RDF xmlns:rdf="{RDF}">\n', "</rdf:RDF>"
+
+
+def rdfxml_descriptions(triples: list[tuple[Term, Term, Term]]) -> str:
+    """The descriptions of an RDF/XML document, each with the namespaces it needs."""
+    whole = to_rdfxml(triples)
+    head, _, body = whole.partition("\n<rdf:RDF")
+    names, _, body = body.partition(">\n")
+    return body.removesuffix("\n</rdf:RDF>\n").replace("  <rdf:Description ", f"  <rdf:Description{names} ")
+
+
 __all__ = ["LITERAL", "RdfXmlError", "parse_rdfxml", "to_rdfxml"]

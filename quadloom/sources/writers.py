@@ -1,4 +1,4 @@
-"""Turtle and TriG texts of graphs that fit the driver."""
+"""Turtle and TriG texts of lists of triples: whole graphs that fit the driver, or pieces of larger ones."""
 
 from __future__ import annotations
 
@@ -7,8 +7,9 @@ from quadloom.functions.vocab import RDF, RDFS, XSD, Prefixes
 
 
 class _Writer:
-    def __init__(self, triples: list, prefixes: Prefixes):
-        self.prefixes, self.used = prefixes, set()
+    def __init__(self, triples: list, prefixes: Prefixes, inline: bool = True):
+        self.prefixes, self.used, self.inline = prefixes, set(), inline
+        self.parent: dict[str, Term] = {}
         self.of: dict[str, list] = {}
         self.refs: dict[str, int] = {}
         self.term: dict[str, Term] = {}
@@ -16,6 +17,7 @@ class _Writer:
             self.of.setdefault(s.id, []).append((p, o))
             self.term[s.id] = s
             self.refs[o.id] = self.refs.get(o.id, 0) + 1
+            self.parent[o.id] = s
         self.inlined: set[str] = set()
 
     def iri(self, t: Term) -> str:
@@ -31,12 +33,12 @@ class _Writer:
         if t.kind == TRIPLE:
             return "<<( " + " ".join(self.show(x, depth) for x in t.parts) + " )>>"
         if t.kind == LITERAL:
-            if t.dt in (XSD.integer, XSD.boolean) and (t.lex.lstrip("-").isdigit() or t.lex in ("true", "false")):
+            if t.dt == XSD.integer and t.lex.isascii() and t.lex.removeprefix("-").isdigit() or t.dt == XSD.boolean and t.lex in ("true", "false"):
                 return t.lex
             if t.lang or t.dt in (None, XSD.string):
                 return t.id
             return f'"{escape(t.lex)}"^^{self.iri(Term(IRI, t.dt))}'
-        if self.refs.get(t.id, 0) == 1 and t.id not in path and self.anchored(t):
+        if self.inline and self.refs.get(t.id, 0) == 1 and t.id not in path and self.anchored(t):
             items = self.items(t)
             if items is not None:
                 return "( " + " ".join(self.show(x, depth, (*path, t.id)) for x in items) + " )" if items else "()"
@@ -52,7 +54,7 @@ class _Writer:
             if t.id in seen:
                 return False
             seen.add(t.id)
-            t = next(self.term[s] for s, rows in self.of.items() if any(o.id == t.id for _, o in rows))
+            t = self.parent[t.id]
         return True
 
     def items(self, t: Term) -> list | None:
@@ -85,9 +87,9 @@ class _Writer:
         blocks = []
         for s in sorted(self.of, key=rank):
             t = self.term[s]
-            if s in self.inlined or t.kind == BNODE and self.refs.get(s, 0) == 1 and self.anchored(t):
+            if self.inline and (s in self.inlined or t.kind == BNODE and self.refs.get(s, 0) == 1 and self.anchored(t)):
                 continue
-            blocks.append(("[]" if t.kind == BNODE and not self.refs.get(s) else self.show_subject(t)) + " " + self.properties(self.of[s], 1, (s,)) + " .")
+            blocks.append(("[]" if self.inline and t.kind == BNODE and not self.refs.get(s) else self.show_subject(t)) + " " + self.properties(self.of[s], 1, (s,)) + " .")
         return "\n\n".join(blocks)
 
     def show_subject(self, t: Term) -> str:
@@ -98,15 +100,17 @@ def _head(prefixes: Prefixes, used: set[str]) -> str:
     return "".join(f"@prefix {p}: <{prefixes.of[p]}> .\n" for p in sorted(used))
 
 
-def to_turtle(triples: list, prefixes: Prefixes | None = None) -> str:
-    """Turtle of (s, p, o): used prefixes only; classes first, then IRIs, then blank nodes; lists and blank nodes in place."""
-    w = _Writer(triples, prefixes or Prefixes())
+def to_turtle(triples: list, prefixes: Prefixes | None = None, inline: bool = True) -> str:
+    """Turtle of (s, p, o): used prefixes only; classes first, then IRIs, then blank nodes; lists and blank nodes in place.
+
+    Without ``inline`` blank nodes and lists have labels, so that other texts can refer to them."""
+    w = _Writer(triples, prefixes or Prefixes(), inline)
     body = w.body()
     head = _head(w.prefixes, w.used)
     return head + ("\n" if head and body else "") + body + ("\n" if body else "")
 
 
-def to_trig(quads: list, prefixes: Prefixes | None = None) -> str:
+def to_trig(quads: list, prefixes: Prefixes | None = None, inline: bool = True) -> str:
     """TriG of (g, s, p, o): the default graph first, then graphs by name."""
     prefixes = prefixes or Prefixes()
     graphs: dict[str | None, list] = {}
@@ -117,7 +121,7 @@ def to_trig(quads: list, prefixes: Prefixes | None = None) -> str:
             names[g.id] = g
     used, parts = set(), []
     for g in sorted(graphs, key=lambda x: (x is not None, x or "")):
-        w = _Writer(graphs[g], prefixes)
+        w = _Writer(graphs[g], prefixes, inline)
         body = w.body()
         if g is None:
             parts.append(body)

@@ -180,3 +180,18 @@ def test_stream(spark, tmp_path):
     go()
     assert read_stream_table(spark, str(tmp_path / "out")).count() == 2
     assert parse_lines(spark.createDataFrame([], "value string")).count() == 0
+
+
+@pytest.mark.parametrize("format", ["turtle", "trig", "rdfxml", "jsonld"])
+def test_parts_share_their_blank_nodes(spark, graph, tmp_path, monkeypatch, format):
+    """Documents of many parts and pieces, with blank nodes and lists that reach from one into another."""
+    from quadloom.sources import io
+
+    monkeypatch.setattr(io, "CHUNK", 3)
+    text = " ".join(f"_:b{i} ex:next _:b{i + 1} ; ex:n {i} ; ex:l ( {i} _:b{i} ) ." for i in range(40)) + ' ex:a ex:t "x & <y>"@en , "1"^^xsd:boolean , true , "007"^^xsd:integer , "a\\tb\\n\\"c\\"" .'
+    q = graph(text)
+    key = lambda df: sorted((r.s.id, r.p, r.o.id) for r in df.collect())
+    io.write(q, str(tmp_path / "out"), format)
+    assert key(io.read(spark, str(tmp_path / "out"), format, parts=True)) == key(q)
+    io.write(q.limit(0), str(tmp_path / "none"), format)
+    assert io.read(spark, str(tmp_path / "none"), format, parts=True).count() == 0

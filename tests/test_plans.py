@@ -75,3 +75,24 @@ def test_optional_columns_are_part_of_the_scan(spark):
         assert "Join" in plan(g, "SELECT * { ?s a :One ; :k ?k " + other + " }"), other
     assert run_query(g, P + "SELECT ?k ?b { ?s a :One ; :k ?k OPTIONAL { ?s :b ?b FILTER(?k > 1) } FILTER(BOUND(?b)) }").df.collect()[0].k == 3
     assert run_query(g, P + "SELECT ?k { ?s :k ?k OPTIONAL { ?s :b ?b } OPTIONAL { ?r :b ?b ; :k ?m } }").df.count() == 4
+
+
+def test_a_constant_predicate_or_graph_reads_one_folder(spark, graph, tmp_path):
+    from quadloom.plans.dataset import Dataset
+
+    q = graph("ex:a ex:p ex:b ; ex:q 1 . ex:b ex:p ex:c ; ex:r 2 .")
+    named = q.unionByName(q.selectExpr("'http://example.org/g' AS g", "s", "p", "o"))
+    for by in ("predicate", "graph"):
+        Dataset(named).write(str(tmp_path / by), by)
+    by_p, by_g = (Dataset.read(spark, str(tmp_path / by)) for by in ("predicate", "graph"))
+    folders = lambda df: re.findall(r"PartitionFilters: \[([^\]]*)\]", df._jdf.queryExecution().executedPlan().toString())
+    x = "PREFIX ex: <http://example.org/> "
+    found = by_p.query(x + "SELECT ?s ?o { ?s ex:p ?o }").df
+    assert all("_part" in f for f in folders(found)) and found.count() == 2 and "_part" in folders(by_p.triples(p="http://example.org/p"))[0]
+    assert not any("_part" in f for f in folders(by_p.query(x + "SELECT ?s { ?s ?p ?o }").df))
+    inside = by_g.query(x + "SELECT ?s ?o { GRAPH ex:g { ?s ?p ?o } }").df
+    assert all("_part" in f for f in folders(inside)) and inside.count() == 4
+    assert by_g.query(x + "SELECT ?s { ?s ex:p ?o }").df.count() == 2 and by_g.query(x + "SELECT ?g { GRAPH ?g { ?s ex:p ?o } }").df.count() == 2
+    assert by_p.count() == by_g.count() == 8 and by_p.quads.columns == ["g", "s", "p", "o"]
+    after = by_p.update(x + "DELETE WHERE { ?s ex:p ?o }")
+    assert after.count() == 6 and by_p.query(x + "ASK { ex:a ex:q 1 }").df.first()[0]
