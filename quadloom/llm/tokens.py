@@ -1,15 +1,19 @@
 """Byte-level BPE over a corpus by merge replay.
 
-The texts of a batch are split into words, and only the different words that no earlier batch of the worker had are
-encoded, all together: an inverted index leads from each pair of neighbouring tokens to the words and positions where
-it occurs; the merges are applied in rank order, and each one touches only the neighbours of its positions. Words go
-back to their texts as ids by vectorised gathering.
+Every text is split into words once, and kept as numbers of the words of its block of texts. The different words of the
+corpus are encoded once each: an inverted index leads from each pair of neighbouring tokens to the words and positions
+where it occurs; the merges are applied in rank order, and each one touches only the neighbours of its positions. As merges
+never cross words, the index is split by words over the cluster. The ids go back to the blocks, and by vectorised gathering to
+the texts: what is shuffled are the different words of a block and numbers, never the occurrences of words as text.
+
+Counts alone, which other operators need, come from batches: a worker replays the words that it hasn't seen.
 """
 
 from __future__ import annotations
 
 import base64
 import heapq
+import uuid
 from collections import defaultdict
 from collections.abc import Iterable, Iterator
 from itertools import chain
@@ -18,6 +22,9 @@ import numpy as np
 import pyarrow as pa
 import regex
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
+
+from quadloom.plans.staging import Staging
 
 #: Where the vocabulary files of public tokenizers are found unless a path is given.
 TOKENIZERS = "/opt/tokenizers"
@@ -180,23 +187,88 @@ def _slices(batch: pa.RecordBatch, column: str, most: int = 4_000_000) -> Iterat
         yield batch.slice(start)
 
 
-def encode_corpus(df: DataFrame, key: str, text: str, path: str = f"{TOKENIZERS}/byte_bpe_50k.tiktoken", ids: str = "ids") -> DataFrame:
-    """``key`` and the list of token ids of each text, without special tokens; their strings in a text are plain text.
-
-    NULL and empty texts have the empty list. Texts of any length are encoded whole. Rows aren't shuffled; repeated
-    rows stay. ``path`` must be readable on every executor.
-    """
+def _split(key: str, characters: int):
+    """Texts to the numbers of their words in their block, whose different words stand at its first text."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        e = encoder(path)
+        find, task, n = regex.compile(PATTERN).findall, uuid.uuid4().hex, 0
         for whole in batches:
-            for b in _slices(whole, "_text"):
-                flat, offsets = e.ids(b.column("_text").to_pylist())
-                lists = pa.ListArray.from_arrays(pa.array(offsets, pa.int32()), pa.array(flat, pa.int32()))
-                yield pa.RecordBatch.from_arrays([b.column("_key"), lists], names=[key, ids])
+            for b in _slices(whole, "_text", characters):
+                place = _Places()
+                found = [find(t) if t else () for t in b.column("_text").to_pylist()]
+                counts = np.fromiter(map(len, found), np.int64, len(found))
+                at = np.fromiter(map(place.__getitem__, chain.from_iterable(found)), np.int32, int(counts.sum()))
+                numbers = pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum(counts)]), pa.int32()), pa.array(at, pa.int32()))
+                words = pa.array([[w.encode("utf-8", "surrogatepass") for w in place.new], *[None] * (len(found) - 1)], pa.list_(pa.binary()))
+                yield pa.RecordBatch.from_arrays([pa.array([f"{task}-{n}"] * len(found)), b.column("_key"), numbers, words], names=["_block", key, "_at", "_words"])
+                n += 1
+
+    return run
+
+
+def _replay(path: str):
+    """Different words to their ids: all words of a partition in one index, or, where they are very many, in several."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        vocabulary, words, size = encoder(path).vocabulary, [], 0
+
+        def encoded() -> pa.RecordBatch:
+            ids = vocabulary.encode_words([w.decode("utf-8", "surrogatepass") for w in words])
+            return pa.RecordBatch.from_arrays([pa.array(words, pa.binary()), pa.array(ids, pa.list_(pa.int32()))], names=["_word", "_ids"])
 
+        for b in batches:
+            for w in b.column("_word").to_pylist():
+                words.append(w)
+                size += len(w)
+                if size > REMEMBERED:
+                    yield encoded()
+                    words, size = [], 0
+        if words:
+            yield encoded()
+
+    return run
+
+
+def _whole(column: pa.ChunkedArray) -> pa.Array:
+    return pa.concat_arrays(column.chunks) if column.num_chunks else pa.array([], column.type)
+
+
+def _gather(key: str, ids: str):
+    """A block's texts and the ids of its words to the ids of the texts."""
+
+    def run(texts: pa.Table, words: pa.Table) -> pa.Table:
+        lists = _whole(words.column("_ids")).take(pa.array(np.argsort(words.column("_n").to_numpy())))
+        size = np.diff(lists.offsets.to_numpy()).astype(np.int64)
+        start, flat = np.cumsum(size) - size, lists.flatten().to_numpy()
+        at = _whole(texts.column("_at"))
+        place, ends = at.flatten().to_numpy(), np.cumsum(np.diff(at.offsets.to_numpy()))
+        sizes = size[place]
+        upto = np.concatenate([[0], np.cumsum(sizes)])
+        found = flat[np.repeat(start[place] - upto[:-1], sizes) + np.arange(upto[-1])]
+        out = pa.ListArray.from_arrays(pa.array(upto[np.concatenate([[0], ends])], pa.int32()), pa.array(found, pa.int32()))
+        return pa.Table.from_arrays([texts.column(key), pa.chunked_array([out])], names=[key, ids])
+
+    return run
+
+
+def encode_corpus(
+    df: DataFrame, key: str, text: str, path: str = f"{TOKENIZERS}/byte_bpe_50k.tiktoken", ids: str = "ids", block_characters: int = 4_000_000, staging: Staging | None = None
+) -> DataFrame:
+    """``key`` and the list of token ids of each text, without special tokens; their strings in a text are plain text.
+
+    NULL and empty texts have the empty list. Texts of any length are encoded whole; repeated rows stay. A block has
+    about ``block_characters``, or one text. Its texts and words meet in one task, which is what bounds a task's memory; a
+    word that stands in every block has a row per block, and no more. ``path`` must be readable on every executor.
+    """
+    staging = staging or Staging(df.sparkSession, "tokens")
     rows = df.select(df[key].alias("_key"), df[text].alias("_text"))
-    return rows.mapInArrow(run, f"`{key}` {dict(rows.dtypes)['_key']}, `{ids}` array<int>")
+    kind = dict(rows.dtypes)["_key"]
+    split = staging.cut(rows.mapInArrow(_split(key, block_characters), f"_block string, `{key}` {kind}, _at array<int>, _words array<binary>"))
+    words = split.where("_words IS NOT NULL").select("_block", F.posexplode("_words").alias("_n", "_word"))
+    encoded = words.select("_word").distinct().mapInArrow(_replay(path), "_word binary, _ids array<int>")
+    tables = words.join(encoded, "_word").select(F.col("_block").alias("_of"), "_n", "_ids")
+    texts = split.select("_block", key, "_at")
+    return texts.groupBy("_block").cogroup(tables.groupBy("_of")).applyInArrow(_gather(key, ids), f"`{key}` {kind}, `{ids}` array<int>")
 
 
 def count_tokens(df: DataFrame, text: str, path: str = f"{TOKENIZERS}/byte_bpe_50k.tiktoken", out: str = "n_tokens", keep: list[str] | None = None) -> DataFrame:
