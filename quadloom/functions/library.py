@@ -204,22 +204,25 @@ def call(name: str, args: list[Val], context) -> Val:
         text, cut = _text(a), _text(b)
         at = F.position(cut, text)
         found = F.left(text, at - 1) if name == "STRBEFORE" else F.substr(text, at + F.char_length(cut))
-        hit = keep(a, F.when(at > 0, found))
+        # a tagged second argument needs a first one of the same tag
+        fits = F.lit(True) if not b.is_term else b.lang().isNull() | F.coalesce(F.lower(a.lang()) == F.lower(b.lang()), F.lit(False))
+        hit = keep(a, F.when(fits & (at > 0), found))
+        missed = F.when(fits & (at == 0), F.lit(""))
         if hit.t == "native":
-            return string(F.when(at > 0, found).when(at == 0, F.lit("")))
-        return Val("term", F.coalesce(hit.col, F.when(at == 0, string(F.lit("")).term())))
+            return string(F.coalesce(hit.col, missed))
+        return Val("term", F.coalesce(hit.col, F.when(missed.isNotNull(), string(missed).term())))
     if name == "CONCAT":
         parts = [_text(x) for x in args]
         text = F.concat(*parts) if parts else F.lit("")
         if not any(x.is_term for x in args):
             return string(text)
-        lang = args[0].lang()
+        lang, way = args[0].lang(), args[0].dir()
         alike = F.lit(True)
         for x in args[1:]:
-            alike = alike & x.lang().eqNullSafe(lang)
-        tag = F.when(alike, lang)
-        dt = F.when(tag.isNull(), F.lit(XSD.string)).otherwise(F.lit(RDF.langString))
-        return Val("term", make_term(literal_id(text, dt, tag), LITERAL, text, dt, tag))
+            alike = alike & x.lang().eqNullSafe(lang) & x.dir().eqNullSafe(way)
+        tag, way = F.when(alike, lang), F.when(alike, way)
+        dt = F.when(tag.isNull(), F.lit(XSD.string)).when(way.isNull(), F.lit(RDF.langString)).otherwise(F.lit(RDF.dirLangString))
+        return Val("term", make_term(literal_id(text, dt, tag, way), LITERAL, text, dt, tag, way))
     if name == "REGEX":
         return boolean(F.rlike(_text(a), _pattern(b, args[2] if len(args) > 2 else None)))
     if name == "REPLACE":

@@ -210,3 +210,16 @@ def test_dataset(spark, named, short, tmp_path):
     with pytest.raises(ValueError):
         ds.remove_graph(None)
     assert Dataset.empty(spark).count() == 0 and Dataset.empty(spark).query("SELECT * { ?s ?p ?o }").df.count() == 0
+
+
+def test_tags_and_directions_of_string_functions(graph):
+    from quadloom.plans.graphs import QuadGraph
+    from quadloom.sparql.compiler import run_query
+
+    g = QuadGraph(graph("ex:a ex:p 1 ."))
+    cases = {
+        'CONCAT("a"@en, "b"@en)': '"ab"@en', 'CONCAT("a"@en, "b"@de)': '"ab"', 'CONCAT("a"@ar--rtl, "b"@ar--rtl)': '"ab"@ar--rtl', 'CONCAT("a"@ar--rtl, "b"@ar)': '"ab"', 'CONCAT("a"@ar--rtl, "b"@ar--ltl)'.replace("ltl", "ltr"): '"ab"',
+        'STRBEFORE("abc"@en, "b"@en)': '"a"@en', 'STRBEFORE("abc"@en, "b"@de)': None, 'STRBEFORE("abc", "b"@en)': None, 'STRAFTER("abc"@en, "b")': '"c"@en', 'STRAFTER("abc"@en, "z"@de)': None, 'STRAFTER("abc", "z")': '""', 'STRAFTER("abc"@en, "z"@en)': '""',
+    }
+    row = run_query(g, "SELECT " + " ".join(f"({e} AS ?v{i})" for i, e in enumerate(cases)) + " { ?s ?p ?o }").ids().first()
+    assert [(e, row[f"v{i}"]) for i, e in enumerate(cases)] == list(cases.items())
