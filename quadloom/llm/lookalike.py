@@ -60,6 +60,28 @@ def canonical_text(df: DataFrame, columns: dict[str, str]) -> DataFrame:
     return df.withColumns({new: form(F.col(old)) for old, new in columns.items()})
 
 
+def _looks(df: DataFrame, key: str, text: str, tag: str, staging: Staging) -> DataFrame:
+    """(k, t, form, tag) of the rows with a text, staged; ``tag`` is '' for NULL, else begins with =."""
+    rows = df.select(F.col(key).alias("k"), F.col(text).alias("t"), F.col(tag).alias("l")).where("t IS NOT NULL AND t <> ''")
+    rows = canonical_text(rows, {"t": "form", "l": "tag"})
+    rows = rows.select("k", "t", F.struct("form", F.lower("tag").alias("tag")).alias("look"))
+    return staging.cut(rows.select("k", "t", F.col("look.form").alias("form"), F.coalesce(F.concat(F.lit("="), "look.tag"), F.lit("")).alias("tag")))
+
+
+def lookalike_classes(df: DataFrame, key: str, text: str, tag: str, group: str = "look_id", links: str = "n_links", staging: Staging | None = None) -> DataFrame:
+    """One row per row with a text: ``key``, the least key of all rows that look the same, and the number of those that are
+    spelt differently. All pairs of ``lookalike_pairs`` follow from it, and it grows with the rows whatever a look holds.
+
+    Rows are counted by look and spelling first, so that a repeated text is one row of what is shuffled further. NULL and
+    empty texts have no row; repeated rows stay.
+    """
+    rows = _looks(df, key, text, tag, staging or Staging(df.sparkSession, "lookalike"))
+    spelt = rows.groupBy("form", "tag", "t").agg(F.count(F.lit(1)).alias("own"), F.min("k").alias("k0"))
+    whole = spelt.groupBy("form", "tag").agg(F.sum("own").alias("all"), F.min("k0").alias("least"))
+    known = spelt.join(whole, ["form", "tag"]).select("form", "tag", "t", "least", (F.col("all") - F.col("own")).alias("other"))
+    return rows.join(known, ["form", "tag", "t"]).select(F.col("k").alias(key), F.col("least").alias(group), F.col("other").alias(links))
+
+
 def lookalike_pairs(df: DataFrame, key: str, text: str, tag: str, a: str, b: str, staging: Staging | None = None) -> DataFrame:
     """Pairs of rows (a < b by ``key``) whose texts differ in characters but look the same, and whose tags read the same.
 
@@ -70,11 +92,7 @@ def lookalike_pairs(df: DataFrame, key: str, text: str, tag: str, a: str, b: str
     staged, as three joins read them. ``key`` should be unique: a row
     repeated with its key makes its pairs repeatedly.
     """
-    rows = df.select(F.col(key).alias("k"), F.col(text).alias("t"), F.col(tag).alias("l")).where("t IS NOT NULL AND t <> ''")
-    rows = canonical_text(rows, {"t": "form", "l": "tag"})
-    rows = rows.select("k", "t", F.struct("form", F.lower("tag").alias("tag")).alias("look"))
-    rows = rows.select("k", "t", F.col("look.form").alias("form"), F.coalesce(F.concat(F.lit("="), "look.tag"), F.lit("")).alias("tag"))
-    rows = (staging or Staging(df.sparkSession, "lookalike")).cut(rows)
+    rows = _looks(df, key, text, tag, staging or Staging(df.sparkSession, "lookalike"))
     spellings = rows.select("form", "tag", "t").distinct()
     several = spellings.groupBy("form", "tag").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("form", "tag")
     spellings = spellings.join(several, ["form", "tag"], "left_semi")

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 
 from quadloom.llm.components import group_pairs
-from quadloom.llm.lookalike import canonical_text, lookalike_pairs
+from quadloom.llm.lookalike import canonical_text, lookalike_classes, lookalike_pairs
 from quadloom.llm.mixing import mix_sources
 from quadloom.llm.quality import flag_tails, not_prose, text_statistics
 from quadloom.llm.tokens import count_tokens, encode_corpus
@@ -21,6 +21,11 @@ def p3_forms(spark: SparkSession, d: str) -> DataFrame:
     return canonical_text(t, {"lex": "lex_form", "lang": "lang_form"}).select("lit_id", "lex_form", "lang_form")
 
 
+def p3_classes(spark: SparkSession, d: str) -> DataFrame:
+    """Every label's look, by its least label, and how many labels look the same but are spelt differently."""
+    return lookalike_classes(spark.read.parquet(f"{d}/label_literals.parquet"), "lit_id", "lex", "lang")
+
+
 def p4_found(spark: SparkSession, d: str) -> DataFrame:
     return group_pairs(spark.read.parquet(f"{d}/same_links.parquet"), "s", "o")
 
@@ -64,5 +69,5 @@ r AS (SELECT a AS node, a AS g FROM e UNION SELECT e.b, r.g FROM r JOIN e ON e.a
 SELECT node, min(g) AS group_id FROM r GROUP BY node
 """
 
-QUERIES = {"p3_found": p3_found, "p3_forms": p3_forms, "p4_found": p4_found, "p6_ids": p6_ids, "p7_mix": p7_mix, "p7_shares": p7_shares, "p8_found": p8_found, "p8_statistics": p8_statistics}
+QUERIES = {"p3_found": p3_found, "p3_forms": p3_forms, "p3_classes": p3_classes, "p4_found": p4_found, "p6_ids": p6_ids, "p7_mix": p7_mix, "p7_shares": p7_shares, "p8_found": p8_found, "p8_statistics": p8_statistics}
 SQL: dict[str, str] = {"p4_found": P4_SQL}

@@ -2,7 +2,7 @@ import unicodedata
 
 import pytest
 
-from quadloom.llm.lookalike import lookalike_pairs, same_form
+from quadloom.llm.lookalike import lookalike_classes, lookalike_pairs, same_form
 
 SAME = [
     ("ａｂｃ１", "abc1"), ("ﬁn oﬃce", "fin office"), ("café", "café"), ("a​b﻿", "ab"), ("a b　c", "a b c"), ("mаsk", "mask"), ("Ⅰ", "I"), ("ｶﾞ", "ガ"), ("가", "가"), ("K", "K"), ("e‍́", "é"),
@@ -48,3 +48,18 @@ def test_hot_text(spark):
     """A text that fills a third of the table meets its rarer spelling only."""
     df = spark.range(3000).selectExpr("id", "CASE WHEN id % 3 = 0 THEN 'hot text' WHEN id = 1 THEN 'hot text' ELSE concat('t', id) END AS lex", "'en' AS lang")
     assert lookalike_pairs(df, "id", "lex", "lang", "a", "b").count() == 1000
+
+
+def test_classes_say_what_pairs_say(spark):
+    import collections
+    import random
+
+    r = random.Random(12)
+    rows = [(i, r.choice(["caf\u00e9", "cafe\u0301", "caf\u00e9\u200b", "x", "\uff58", "same", "", None]), r.choice(["en", "EN", None])) for i in range(300)]
+    df = spark.createDataFrame([(*x, "clash", 1) for x in rows], "id long, lex string, lang string, form string, own int")
+    pairs = [(x.a, x.b) for x in lookalike_pairs(df, "id", "lex", "lang", "a", "b").collect()]
+    links = collections.Counter(k for p in pairs for k in p)
+    got = {x.id: x for x in lookalike_classes(df, "id", "lex", "lang").collect()}
+    assert set(got) == {i for i, t, _ in rows if t} and all(got[i].n_links == links[i] for i in got) and sum(links.values()) > 1000
+    assert all(got[a].look_id == got[b].look_id for a, b in pairs) and all(got[i].look_id == min(j for j in got if got[j].look_id == got[i].look_id) for i in got)
+    assert lookalike_classes(df.limit(0), "id", "lex", "lang").count() == 0
