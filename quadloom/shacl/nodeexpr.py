@@ -69,6 +69,12 @@ class NodeExpressions:
                 reach = self.v.values(path, froms.select(F.col("start").alias("focus")).distinct())
                 pairs = froms.join(reach, F.col("start") == F.col("focus")).select(F.col("f0").alias("focus"), "value")
             return self._bag(focus, pairs.select("focus", F.lit(0).alias("at"), "value"))
+        for name in ("count", "exists"):
+            same = self._set_of(one(name)) if one(name) is not None else None
+            if same is not None:  # of a set that is the same for all focus nodes: a number, no array
+                n = same.agg(F.count(F.lit(1)).alias("n"))
+                shown = literal_id(F.col("n").cast("string"), F.lit(XSD.integer)) if name == "count" else _boolean(F.col("n") > 0)
+                return focus.join(F.broadcast(n.select(F.array(shown).alias("values"))))  # one row
         if one("count") is not None:
             return self._each(one("count"), focus, lambda a: F.array(literal_id(F.size(a).cast("string"), F.lit(XSD.integer))))
         if one("sum") is not None:
@@ -101,14 +107,11 @@ class NodeExpressions:
                     return kept.select("focus", F.slice("values", 1, 1).alias("values"))
                 every = self.evaluate(nodes or Term(IRI, RDF.nil), focus)
                 return self._zip(every, kept, lambda x, y: F.array(_boolean(F.size(x) == F.size(y))))
-        if one("nodesMatching") is not None:
-            everyone = self.v.ids.select(F.explode(F.array("s", "o")).alias("focus")).distinct()
-            good = self.v.conforming(self.v.shapes.shape(one("nodesMatching")), everyone)
-            return self._same_for_all(focus, good.select(F.col("focus").alias("value")))
+        same = self._set_of(e)
+        if same is not None:
+            return self._same_for_all(focus, same)
         if one("instancesOf") is not None:
             c = one("instancesOf")
-            if c.kind == IRI:
-                return self._same_for_all(focus, self.v.instances(c.id).select(F.col("node").alias("value")))
             classes = self.pairs(c, focus).select("focus", F.col("value").alias("cls"))
             types = self.v.p(RDF.type).select(F.col("s").alias("node"), F.col("o").alias("sub"))
             wide = types.unionByName(types.join(self.v.superclasses(), "sub").select("node", F.col("sup").alias("sub"))).distinct()
@@ -140,6 +143,14 @@ class NodeExpressions:
             return self.evaluate(nodes, focus)
         return focus.select("focus", F.array().cast("array<string>").alias("values"))
 
+    def _set_of(self, e: Term) -> DataFrame | None:
+        """(value) of an expression whose nodes are the same for every focus node and come from the data; None of any other."""
+        matching, c = self.g.one(e, SHNEX.nodesMatching), self.g.one(e, SHNEX.instancesOf)
+        if matching is not None:
+            everyone = self.v.ids.select(F.explode(F.array("s", "o")).alias("focus")).distinct()
+            return self.v.conforming(self.v.shapes.shape(matching), everyone).select(F.col("focus").alias("value"))
+        return self.v.instances(c.id).select(F.col("node").alias("value")) if c is not None and c.kind == IRI else None
+
     def _concat(self, parts: list[Term], focus: DataFrame) -> DataFrame:
         if not parts:
             return focus.select("focus", F.array().cast("array<string>").alias("values"))

@@ -168,6 +168,54 @@ def test_endpoint(spark):
         server.shutdown()
 
 
+def test_endpoint_pages_and_bound_ends(spark):
+    import re
+
+    from quadloom.sources.endpoint import SparqlEndpoint
+
+    asked = []
+
+    class Handler(BaseHTTPRequestHandler):
+        def do_POST(self):
+            import urllib.parse
+
+            query = urllib.parse.parse_qs(self.rfile.read(int(self.headers["Content-Length"])).decode())["query"][0]
+            asked.append(query)
+            rows = [{"s": iri(f"http://s{i}"), "p": iri("http://p"), "o": literal(i)} for i in range(25)]
+            if "<http://s3>" in query:
+                rows = [{k: v for k, v in rows[3].items() if k == "o"}]
+            page = re.search(r"LIMIT (\d+) OFFSET (\d+)", query)
+            if page:
+                rows = rows[int(page[2]) :][: int(page[1])]
+            body = write_json_results(["n"], [{"n": literal(len(rows))}]) if "COUNT" in query else write_json_results(["s", "p", "o"], rows)
+            self.send_response(200)
+            self.send_header("Content-Type", "application/sparql-results+json")
+            self.end_headers()
+            self.wfile.write(body.encode())
+
+        def log_message(self, *a):
+            pass
+
+    server = HTTPServer(("127.0.0.1", 0), Handler)
+    threading.Thread(target=server.serve_forever, daemon=True).start()
+    spark.dataSource.register(SparqlEndpoint)
+    load = lambda **o: spark.read.format("sparql").options(url=f"http://127.0.0.1:{server.server_port}/", **o).load()
+    name = "spark.sql.python.filterPushdown.enabled"
+    try:
+        df = load(page_size="10")
+        assert sorted(int(r.o.id) for r in df.collect()) == list(range(25)) and df.rdd.getNumPartitions() == 3
+        bound = load(subject="<http://s3>", predicates="http://p").collect()
+        assert [(r.s.id, r.p, r.o.id) for r in bound] == [("<http://s3>", "http://p", "3")] and "<http://s3> <http://p> ?o" in asked[-1]
+        spark.conf.set(name, "true")
+        pushed = load(pushdown="true").where("p = 'http://p' AND g = 'http://g'").collect()
+        assert len(pushed) == 25 and "GRAPH <http://g> { ?s <http://p> ?o }" in asked[-1]
+        assert load(predicates="http://p http://q", pushdown="true").where("p = 'http://other'").count() == 0
+        assert load(pushdown="true").where("s.id = '_:b'").count() == 0
+    finally:
+        spark.conf.set(name, "false")
+        server.shutdown()
+
+
 def test_stream(spark, tmp_path):
     from quadloom.streaming.quads import append_stream, read_stream_table, stream_lines
 

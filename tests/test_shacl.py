@@ -117,7 +117,7 @@ EXPRESSIONS = [
     ("[ shnex:concat ( 1 [ shnex:pathValues ex:p ] ) ]", ["1", "1", "3"]), ("[ shnex:intersection ( (1 2 3) (3 1) ) ]", ["1", "3"]), ("[ shnex:nodes (1 2 3) ; shnex:remove (2) ]", ["1", "3"]), ("[ shnex:nodes (1 2 3) ; shnex:limit 2 ]", ["1", "2"]),
     ("[ shnex:nodes (1 2 3) ; shnex:offset 1 ]", ["2", "3"]), ("[ shnex:if [ shnex:exists (1) ] ; shnex:then 7 ; shnex:else 8 ]", ["7"]), ("[ shnex:nodes (ex:a ex:b) ; shnex:flatMap [ shnex:pathValues ex:p ] ]", ["1", "3", "9"]),
     ("[ shnex:nodes (1 ex:b) ; shnex:filterShape [ sh:nodeKind sh:IRI ] ]", ["b"]), ("[ shnex:nodes (1 ex:b ex:a) ; shnex:findFirst [ sh:nodeKind sh:IRI ] ]", ["b"]), ("[ shnex:nodes (1 ex:b) ; shnex:matchAll [ sh:nodeKind sh:IRI ] ]", ["false"]),
-    ("[ shnex:instancesOf ex:C ]", ["b"]), ("[ shnex:nodes (3 1 2) ; shnex:orderBy [ shnex:var \"focusNode\" ] ; shnex:desc true ]", ["3", "2", "1"]), ("[ shnex:nodesMatching [ sh:property [ sh:path ex:p ; sh:hasValue 9 ] ] ]", ["b"]),
+    ("[ shnex:instancesOf ex:C ]", ["b"]), ("[ shnex:count [ shnex:instancesOf ex:C ] ]", ["1"]), ("[ shnex:exists [ shnex:instancesOf ex:None ] ]", ["false"]), ("[ shnex:exists [ shnex:nodesMatching [ sh:nodeKind sh:IRI ] ] ]", ["true"]), ("[ shnex:nodes (3 1 2) ; shnex:orderBy [ shnex:var \"focusNode\" ] ; shnex:desc true ]", ["3", "2", "1"]), ("[ shnex:nodesMatching [ sh:property [ sh:path ex:p ; sh:hasValue 9 ] ] ]", ["b"]),
 ]
 
 
