@@ -233,7 +233,7 @@ def _through(format: str):
         path = Staging(spark, f"through-{format}").root
         q = whole(spark, d).where(~F.col("o.id").startswith("<<("))
         io.write(q, path, format)
-        return flat(io.read(spark, path, format, parts=True), "graph", "s", "p", "o").distinct()
+        return flat(io.read(spark, path, format, parts=True), "graph", "s", "p", "o")  # a set already
 
     return run
 

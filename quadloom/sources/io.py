@@ -6,12 +6,13 @@ import re
 from collections.abc import Callable, Iterator
 
 import pandas as pd
-from pyspark.sql import DataFrame, SparkSession
+import pyarrow as pa
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quadloom.functions.terms import IRI, QUADS, TERM_DDL, Term, parse_id
+from quadloom.functions.terms import IRI, LITERAL, QUADS, TERM, Term, id_kind, parse_id
 from quadloom.functions.vocab import Prefixes
-from quadloom.sources.jsonld import parse_jsonld, to_jsonld
+from quadloom.sources.jsonld import iter_jsonld, jsonld_nodes, parse_jsonld, to_jsonld
 from quadloom.sources.lines import line_column, parse_line, read_lines, write_lines
 from quadloom.sources.rdfxml import RDFXML_HEAD, RDFXML_TAIL, parse_rdfxml, rdfxml_descriptions, to_rdfxml
 from quadloom.sources.turtle import parse_trig, parse_turtle
@@ -93,32 +94,68 @@ def read(spark: SparkSession, path: str, format: str | None = None, base: str |
         raise ValueError(f"the format of {path} isn't known")
     if format in ("ntriples", "nquads"):
         return read_lines(spark, path, format == "nquads")
-    parser = PARSERS[format]
+    parser, most = PARSERS[format], CHUNK
+    pieces = iter_jsonld if parser is parse_jsonld else lambda *a: iter([parser(*a)])
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         import hashlib
 
         for b in batches:
-            for name, content in zip(b["path"], b["content"]):
+            for name, content in zip(b.column("path").to_pylist(), b.column("content")):
                 scope = "" if parts else "f" + hashlib.sha256(name.encode()).hexdigest()[:12]
-                text = bytes(content).decode("utf-8-sig")
-                quads = parser(text, base or name, scope) if text.strip() else []
-                yield pd.DataFrame([(g.lex if g is not None and g.kind == IRI else None, s.row(), p.lex, o.row()) for g, s, p, o in quads], columns=["g", "s", "p", "o"])
+                text = str(content.as_buffer(), "utf-8-sig")
+                for quads in pieces(text, base or name, scope) if text.strip() else ():
+                    for at in range(0, len(quads), most):
+                        yield _record_batch(quads[at : at + most])
 
     files = spark.read.format("binaryFile").load(path).select("path", "content")
-    return add_quads(spark.createDataFrame([], QUADS), files.mapInPandas(run, f"g string, s {TERM_DDL}, p string, o {TERM_DDL}"))
+    found = files.mapInArrow(run, "g string, s string, p string, o string, " + ", ".join(f"{x}_{c} string" for x in "so" for c in _LITERAL)).dropDuplicates(["g", "s", "p", "o"])
+    return found.select("g", _term_column("s").alias("s"), "p", _term_column("o").alias("o"))
+
+
+#: What the ids of literals don't show at once; of other terms, the ids tell all.
+_LITERAL = ("lex", "dt", "lang", "dir")
+
+
+def _record_batch(quads: list) -> pa.RecordBatch:
+    g, s, p, o = zip(*quads)
+    columns = {"g": [x.lex or None if x is not None and x.kind == IRI else None for x in g], "s": _ids(s), "p": [x.lex for x in p], "o": _ids(o)}
+    for name, terms in (("s", s), ("o", o)):
+        is_literal = [x.kind == LITERAL for x in terms]
+        for c in _LITERAL:
+            columns[f"{name}_{c}"] = [getattr(x, c) if is_one else None for x, is_one in zip(terms, is_literal)] if any(is_literal) else pa.nulls(len(terms), pa.string())
+    return pa.RecordBatch.from_arrays([pa.array(c, pa.string()) for c in columns.values()], list(columns))
+
+
+def _ids(terms: tuple[Term, ...]) -> list[str]:
+    out, last, id = [], None, None
+    for t in terms:
+        if t is not last:  # the quads of a node share its term
+            last, id = t, t.id
+        out.append(id)
+    return out
 
 
-#: Quads that a writer holds at once.
-CHUNK = 10_000
+def _term_column(name: str) -> Column:
+    """The term of an id and its literal's columns, each field by itself: what isn't used isn't made."""
+    id, part = F.col(name), {c: F.col(f"{name}_{c}") for c in _LITERAL}
+    lex = F.coalesce(part["lex"], F.when(id.startswith("<<("), id).when(id.startswith("<"), F.substring(id, 2, F.length(id) - 2)).otherwise(F.substr(id, F.lit(3))))
+    fields = {"id": id, "kind": id_kind(id)} | part | {"lex": lex, "num": F.lit(None), "ts": F.lit(None)}
+    return F.struct(*[fields[f.name].cast(f.dataType).alias(f.name) for f in TERM.fields])
+
+
+#: Quads that a writer or reader holds at once, as terms, and pieces of so many quads in a file, which is read by one task.
+CHUNK, PIECES = 10_000, 10
 
 
 def _documents(format: str, prefixes: Prefixes | None) -> Callable:
-    """Batches of (g, s, p, o) ids to the pieces of one document; pieces break between subjects if these have no more than CHUNK quads."""
-    most = CHUNK
+    """Batches of sorted (g, s, p, o) ids to pieces of documents, PIECES each; pieces break between subjects if these have no more than CHUNK quads."""
+    most, pieces = CHUNK, PIECES
     opening, between, closing = {"jsonld": ("[", ",", "]"), "rdfxml": (RDFXML_HEAD, "", RDFXML_TAIL)}.get(format, ("", "", ""))
 
     def piece(rows: list[tuple]) -> str:
+        if format == "jsonld":
+            return jsonld_nodes(rows)
         terms: dict[str, Term] = {}
         of = lambda x: terms[x] if x in terms else terms.setdefault(x, parse_id(x))
         quads = [(Term(IRI, g) if g else None, of(s), Term(IRI, p), of(o)) for g, s, p, o in rows]
@@ -128,24 +165,28 @@ def _documents(format: str, prefixes: Prefixes | None) -> Callable:
             return to_trig(quads, prefixes, inline=False)
         if format == "rdfxml":
             return rdfxml_descriptions([q[1:] for q in quads])
-        if format == "jsonld":
-            return to_jsonld(quads).strip()[1:-1].strip()
         return SERIALIZERS[format](quads, prefixes)
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         rows: list[tuple] = []
-        first = True
+        done = 0
+
+        def next_piece(last: bool) -> pd.DataFrame:
+            nonlocal done
+            first, done = done % pieces == 0, done + 1
+            return pd.DataFrame({"value": [(opening if first else between) + piece(rows) + (closing if last or done % pieces == 0 else "")]})
+
         for b in batches:
             for r in zip(b["g"], b["s"], b["p"], b["o"]):
-                if len(rows) >= most and (r[:2] != rows[-1][:2] or len(rows) >= 2 * most):
-                    yield pd.DataFrame({"value": [(opening if first else between) + piece(rows)]})
-                    rows, first = [], False
+                if rows:
+                    if r == rows[-1]:
+                        continue
+                    if len(rows) >= most and (r[:2] != rows[-1][:2] or len(rows) >= 2 * most):
+                        yield next_piece(False)
+                        rows = []
                 rows.append(r)
         if rows:
-            yield pd.DataFrame({"value": [(opening if first else between) + piece(rows)]})
-            first = False
-        if closing and not first:
-            yield pd.DataFrame({"value": [closing]})
+            yield next_piece(True)
 
     return run
 
@@ -154,16 +195,17 @@ def write(quads: DataFrame, path: str, format: str, prefixes: Prefixes | None =
     """Write a graph as a folder of text files; formats without graphs drop them.
 
     N-Triples and N-Quads are sorted lines. Of the other formats every file is a document, which a task writes piece by
-    piece from its range of the sorted quads: a subject stands together unless it has very many, and blank nodes keep
-    their labels, which mean the same in all files (``read`` with ``parts``). ``serialize`` makes a single text.
+    piece from its range of the sorted quads, and another when it has PIECES: a subject stands together unless it has very
+    many, and blank nodes keep their labels, which mean the same in all files (``read`` with ``parts``). ``serialize``
+    makes a single text.
     """
     if format in ("ntriples", "nquads"):
         write_lines(quads, path, format == "nquads")
         return
     graph = F.col("g") if format in ("trig", "jsonld") or format not in PARSERS else F.lit(None).cast("string").alias("g")
-    rows = quads.where(WHOLE).select(graph, F.col("s.id").alias("s"), "p", F.col("o.id").alias("o")).distinct()
-    ranges = rows.repartitionByRange("g", "s", "p", "o").sortWithinPartitions("g", "s", "p", "o")
-    ranges.mapInPandas(_documents(format, prefixes), "value string").write.text(path)
+    rows = quads.where(WHOLE).select(graph, F.col("s.id").alias("s"), "p", F.col("o.id").alias("o"))
+    ranges = rows.repartitionByRange("g", "s", "p", "o").sortWithinPartitions("g", "s", "p", "o")  # repetitions meet there
+    ranges.mapInPandas(_documents(format, prefixes), "value string").write.option("maxRecordsPerFile", PIECES).text(path)
 
 
 def serialize(quads: DataFrame, format: str, prefixes: Prefixes | None = None) -> str:

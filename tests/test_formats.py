@@ -243,3 +243,35 @@ def test_parts_share_their_blank_nodes(spark, graph, tmp_path, monkeypatch, form
     assert key(io.read(spark, str(tmp_path / "out"), format, parts=True)) == key(q)
     io.write(q.limit(0), str(tmp_path / "none"), format)
     assert io.read(spark, str(tmp_path / "none"), format, parts=True).count() == 0
+
+
+def test_jsonld_is_read_by_elements():
+    """An outer array is never held as a whole: the quads come in lists, while the rest of the text isn't read yet."""
+    from quadloom.sources.jsonld import JsonLdError, iter_jsonld
+
+    text = json.dumps([{"@id": f"http://a{i}", "http://p": [{"@id": "http://b"}, i], "http://q": [{"http://r": 1}]} for i in range(100)], indent=1)
+    lists = list(iter_jsonld(text, most=10))
+    assert max(map(len, lists)) < 20 and sum(map(len, lists)) == 400
+    assert len({s.id for x in lists for _, s, _, _ in x}) == 200  # new blank nodes stay different
+    begun = iter_jsonld(text[:-1] + " nonsense", most=10)
+    assert len(next(begun)) >= 10
+    with pytest.raises(JsonLdError):
+        list(begun)
+    for bad in ("[1,]", "[1 2]", "[1", "[", "[] []", "[1],", '[{"@id": "x"}}'):
+        with pytest.raises(JsonLdError):
+            list(iter_jsonld(bad))
+    assert [list(iter_jsonld(x)) for x in (" [ ] ", "[[{\"http://p\": 1}]]", "[null, 1]")] == [[[]]] * 3
+
+
+@pytest.mark.parametrize("format", ["turtle", "trig", "rdfxml", "jsonld"])
+def test_files_are_short_documents(spark, graph, tmp_path, monkeypatch, format):
+    """However few the tasks, a file has no more than PIECES pieces, and is a document; repeated quads are written once."""
+    monkeypatch.setattr(io, "CHUNK", 3)
+    monkeypatch.setattr(io, "PIECES", 4)
+    q = graph(" ".join(f"ex:a{i} ex:n {i} ; ex:m ex:a{i + 1} ." for i in range(100))).coalesce(1)
+    io.write(q.unionByName(q), str(tmp_path / "out"), format)
+    files = [f for f in (tmp_path / "out").glob("part-*") if f.stat().st_size]
+    each = [len(io.PARSERS[format](f.read_text())) for f in files]
+    assert sum(each) == 200 and max(each) <= 4 * 6 and len(files) > 8
+    ids = lambda df: sorted((r.s.id, r.p, r.o.id) for r in df.collect())
+    assert ids(io.read(spark, str(tmp_path / "out"), format)) == ids(q)
