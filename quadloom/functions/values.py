@@ -36,6 +36,13 @@ def decimal_text(c: Column) -> Column:
     return F.when(F.abs(c) < 1e15, F.when(fixed == "-0", F.lit("0")).otherwise(fixed)).otherwise(number_text(c))
 
 
+def _instant(lex: Column) -> Column:
+    """The instant that a text states, whatever its datatype."""
+    day = F.regexp_replace(lex, r"^(-?\d{4}-\d\d-\d\d)(Z|[+-]\d\d:\d\d)?$", "$1T00:00:00$2")
+    ok = lex.rlike(r"^\d{4}-\d\d-\d\d(T\d\d:\d\d(:\d\d(\.\d+)?)?)?(Z|[+-]\d\d:\d\d)?$")
+    return F.when(ok, day.try_cast("timestamp"))
+
+
 _NUMERIC_FORM = r"^[+-]?([0-9]+(\.[0-9]*)?|\.[0-9]+)([eE][+-]?[0-9]+)?$"
 
 
@@ -142,10 +149,7 @@ class Val:
         if self.t == "native":
             return self.col.cast("timestamp") if self.dt in (XSD.dateTime, XSD.date) else null("timestamp")
         if self.is_term:
-            lex, dt = self.lex(), self.dtype()
-            day = F.regexp_replace(lex, r"^(-?\d{4}-\d\d-\d\d)(Z|[+-]\d\d:\d\d)?$", "$1T00:00:00$2")
-            ok = lex.rlike(r"^\d{4}-\d\d-\d\d(T\d\d:\d\d(:\d\d(\.\d+)?)?)?(Z|[+-]\d\d:\d\d)?$")
-            return F.when(dt.isin(XSD.dateTime, XSD.date) & ok, day.try_cast("timestamp"))
+            return F.when(self.dtype().isin(XSD.dateTime, XSD.date), _instant(self.lex()))
         return null("timestamp")
 
     def text(self) -> Column:
@@ -271,6 +275,26 @@ def equal(a: Val, b: Val) -> Column:
     return F.when(a.bound() & b.bound(), F.when(na.isNotNull() & nb.isNotNull(), (na == nb) & ~F.isnan(na)).when(ta.isNotNull() & tb.isNotNull(), ta == tb).otherwise(plain))
 
 
+def let(value: Column, f) -> Column:
+    """f of a value that is computed once, however often f uses it."""
+    return F.transform(F.array(value), f)[0]
+
+
+def equal_keys(a: Val, b: Val) -> tuple[Column, Column] | None:
+    """Texts that are the same wherever ``equal`` is true of two values, if not only there; None where no text is sure to be.
+
+    Two numbers are equal by value and other literals by text or instant, so the key of a text that states an instant is the instant.
+    """
+    if {XSD.dateTime, XSD.date} & {a.dt, b.dt}:  # an instant's text depends on the zone
+        return (a.col.cast("string"), b.col.cast("string")) if a.t == b.t == "native" and a.dt == b.dt else None
+
+    def key(v: Val) -> Column:
+        text = let(v.lex(), lambda lex: F.coalesce(F.concat(F.lit("t"), F.unix_micros(_instant(lex)).cast("string")), F.concat(F.lit("x"), lex)))
+        return F.when(v.bound(), F.coalesce(F.concat(F.lit("n"), (v.num() + F.lit(0.0)).cast("string")), text))  # -0.0 + 0.0 is 0.0
+
+    return tuple(let(v.term(), lambda t: key(Val("term", t))) if v.is_term else key(v) for v in (a, b))
+
+
 def less(a: Val, b: Val, strict: bool = True) -> Column:
     """a < b (or <=) of numbers, instants, booleans and texts; NULL between values without an order."""
     op = (lambda x, y: x < y) if strict else (lambda x, y: x <= y)
@@ -315,4 +339,4 @@ def merge(a: Val, b: Val) -> tuple[Val, Val]:
     return IdVal(a.id()), IdVal(b.id())
 
 
-__all__ = ["Val", "constant", "equal", "less", "same", "merge", "boolean", "string", "integer", "escaped", "make_term"]
+__all__ = ["Val", "constant", "equal", "equal_keys", "less", "same", "merge", "boolean", "string", "integer", "escaped", "make_term"]

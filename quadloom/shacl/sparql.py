@@ -26,8 +26,8 @@ class Preset:
 
 
 class _Compiler(Compiler):
-    def pattern(self, p, g=None):
-        return p.frame if isinstance(p, Preset) else super().pattern(p, g)
+    def pattern(self, p, g=None, links=()):
+        return p.frame if isinstance(p, Preset) else super().pattern(p, g, links)
 
 
 def _seeded(p, preset: Preset):

@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from quadloom.functions import library
 from quadloom.functions.terms import BNODE, IRI, LITERAL, Term, make_term
-from quadloom.functions.values import IdVal, Val, constant, integer, string, val_of
+from quadloom.functions.values import IdVal, Val, constant, equal, equal_keys, integer, string, val_of
 from quadloom.functions.vocab import INTEGER_TYPES, NUMERIC_TYPES, RDF, XSD
 from quadloom.operators.closure import closure, reachable
 from quadloom.plans.frames import Frame, distinct, exists_join, join, key_columns, unite
@@ -62,11 +62,12 @@ class Compiler:
         self.fresh = 0
 
     # patterns --------------------------------------------------------------------------------------------------------
-    def pattern(self, p: object, g=None) -> Frame:
+    def pattern(self, p: object, g=None, links: tuple = ()) -> Frame:
+        """The solutions of a pattern. ``links`` are equalities that a filter demands of them; those that joins have met are marked."""
         if isinstance(p, BGP):
-            return self.bgp(p.triples, g)
+            return self.bgp(p.triples, g, links)
         if isinstance(p, Join):
-            return join(self.pattern(p.left, g), self.pattern(p.right, g))
+            return self.linked(self.pattern(p.left, g, links), self.pattern(p.right, g, links), links)
         if isinstance(p, LeftJoin) and has_exists(p.condition):
             return self.optional_exists(self.pattern(p.left, g), self.pattern(p.right, g), p.condition, g)
         if isinstance(p, LeftJoin) and isinstance(self.graph, VirtualGraph) and g is None:
@@ -81,9 +82,12 @@ class Compiler:
         if isinstance(p, Minus):
             return exists_join(self.pattern(p.left, g), self.pattern(p.right, g), True, minus=True)
         if isinstance(p, Filter):
-            return self.filter(self.pattern(p.inner, g), p.condition, g)
+            own = equalities(p.condition)
+            f = self.pattern(p.inner, g, (*links, *own))
+            left = without(p.condition, [x.condition for x in own if x.done])
+            return f if left is None else self.filter(f, left, g)
         if isinstance(p, Extend):
-            f = self.pattern(p.inner, g)
+            f = self.pattern(p.inner, g, links)
             f, e = self.marked(f, p.expr, g)
             v = self.expr(e, f)
             return self.tidy(f.extend(p.var, v))
@@ -161,7 +165,38 @@ class Compiler:
         df = self.spark.createDataFrame(list(zip(*[c for _, c in cols])), ", ".join(d for d, _ in cols))
         return Frame.make(df, vals, certain)
 
-    def bgp(self, triples: list, g) -> Frame:
+    def linked(self, a: Frame, b: Frame, links: tuple) -> Frame:
+        """The join of two frames; without a common variable, by keys of the equalities that a filter demands between them.
+
+        A side of an equality counts if its variables are bound in every solution of a frame, so that further joins don't
+        change it. Both sides are computed before the join, which then compares them exactly where their keys agree.
+        """
+        if set(a.info) & set(b.info):
+            return join(a, b)
+        kept, met = [*a.info, *b.info], []
+        inside = lambda e, f: expr_vars(e) <= {n for n, i in f.info.items() if i.certain}
+        for link in links:
+            x, y = link.condition.args
+            if not inside(x, a) or not inside(y, b):
+                x, y = y, x
+            if link.done or not inside(x, a) or not inside(y, b):
+                continue
+            vx, vy = self.expr(x, a), self.expr(y, b)
+            keys = equal_keys(vx, vy)
+            if keys is None:
+                continue
+            link.done = True
+            self.fresh += 1
+            key, names = f"_link{self.fresh}", (f"_left{self.fresh}", f"_right{self.fresh}")
+            whole = lambda v: Val("term", v.term()) if v.t == "id" else v
+            a, b = a.extend(names[0], whole(vx)).extend(key, string(keys[0]), True), b.extend(names[1], whole(vy)).extend(key, string(keys[1]), True)
+            met.append(names)
+        f = join(a, b)
+        for x, y in met:
+            f = f.where(equal(f.val(x), f.val(y)))
+        return f.only(kept) if met else f
+
+    def bgp(self, triples: list, g, links: tuple = ()) -> Frame:
         if not triples:
             return Frame.unit(self.spark)
         parts: list[tuple[set[str], object]] = []
@@ -179,11 +214,19 @@ class Compiler:
             gv = {g.name} if isinstance(g, Var) else set()
             parts += [(node_vars(t.s) | node_vars(t.p) | node_vars(t.o) | gv, t) for t in plain]
         out: Frame | None = None
+
+        def distance(names: set[str]) -> int:
+            """Of a part from those joined so far: 0 by variables, 1 by equalities, 2 neither."""
+            if out is None or names & set(out.info):
+                return 0
+            return 1 if any(x <= set(out.info) and y <= names or y <= set(out.info) and x <= names for x, y in sides) else 2
+
+        sides = [tuple(map(expr_vars, x.condition.args)) for x in links]
         while parts:  # connected parts first, those with the fewest new variables before others
-            i = min(range(len(parts)), key=lambda i: (out is not None and not (parts[i][0] & set(out.info)), len(parts[i][0] - set(out.info if out else ())) if out else 0, i))
+            i = min(range(len(parts)), key=lambda i: (distance(parts[i][0]), len(parts[i][0] - set(out.info if out else ())) if out else 0, i))
             _, what = parts.pop(i)
             f = self.graph.star(*what) if isinstance(what, tuple) else self.graph.triple(what.s, what.p, what.o, g)
-            out = f if out is None else join(out, f)
+            out = f if out is None else self.linked(out, f, links)
         for t in paths:
             f = self.path(t, g, out)
             out = f if out is None else join(out, f)
@@ -528,6 +571,37 @@ class Compiler:
         return keyed.dropDuplicates(["g", "_s", "p", "_o"]).select("g", "s", "p", "o")
 
 
+@dataclass
+class Equality:
+    """An equality that a filter demands, both sides with variables; ``done`` when a join has met it."""
+
+    condition: Call
+    done: bool = False
+
+
+def equalities(e: object) -> list[Equality]:
+    if isinstance(e, Call) and e.name == "&&":
+        return [x for a in e.args for x in equalities(a)]
+    return [Equality(e)] if isinstance(e, Call) and e.name == "=" and all(expr_vars(a) and repeatable(a) for a in e.args) else []
+
+
+def without(e: object, met: list) -> object | None:
+    """What remains to be demanded of a condition."""
+    if any(e is x for x in met):
+        return None
+    if isinstance(e, Call) and e.name == "&&":
+        rest = [y for a in e.args if (y := without(a, met)) is not None]
+        return Call("&&", tuple(rest)) if len(rest) > 1 else rest[0] if rest else None
+    return e
+
+
+def repeatable(e: object) -> bool:
+    """Whether an expression has the same value each time that it is computed, and no EXISTS."""
+    if isinstance(e, Call):
+        return e.name not in ("RAND", "UUID", "STRUUID", "BNODE") and e.name not in library.REGISTERED and all(map(repeatable, e.args))
+    return not isinstance(e, Exists)
+
+
 def has_exists(e: object) -> bool:
     return isinstance(e, Exists) or isinstance(e, Call) and any(map(has_exists, e.args))
 

@@ -96,3 +96,44 @@ def test_a_constant_predicate_or_graph_reads_one_folder(spark, graph, tmp_path):
     assert by_p.count() == by_g.count() == 8 and by_p.quads.columns == ["g", "s", "p", "o"]
     after = by_p.update(x + "DELETE WHERE { ?s ex:p ?o }")
     assert after.count() == 6 and by_p.query(x + "ASK { ex:a ex:q 1 }").df.first()[0]
+
+
+ODD = """1 , 1.0 , 1e0 , "01"^^xsd:integer , 0.0 , "-0.0"^^xsd:double , "NaN"^^xsd:double , "abc"^^xsd:integer , "abc" , "x" , "x"@en , "x"@de , "2020-01-01"^^xsd:date , "2020-01-01" ,
+"2020-01-01T00:00:00Z"^^xsd:dateTime , "2020-01-01T01:00:00+01:00"^^xsd:dateTime , "2020-01-01T00:00:00" , true , "true" , "1"^^xsd:boolean , ex:a , _:b , "http://example.org/a" , <<( ex:a ex:p 1 )>> , "9007199254740993"^^xsd:integer"""
+
+
+@pytest.mark.parametrize(
+    "body,condition",
+    [
+        ("?a ex:p ?x . ?b ex:q ?y", "?x = ?y"), ("?b ex:q ?y . { ?a ex:p ?x }", "?y = ?x"), ("?a ex:p ?x . ?b ex:q ?y", "STR(?x) = STR(?y) && ?a != ?y"), ("?a ex:p ?x . ?b ex:q ?y", "?x + 1 = ?y + 1"),
+        ("?a ex:p ?x . ?b ex:q ?y BIND(STR(?y) AS ?t)", "?x = ?y && ?t = STR(?x)"), ("?a ex:p ?x . ?t ex:r ?z . ?b ex:q ?y", "SUBJECT(?x) = ?z && ?y = ?x"), ("?a ex:p ?x . ?b ex:q ?y . ?y ex:r ?x", "?x = ?y"),
+    ],
+)
+def test_equalities_join_what_has_no_common_variable(spark, graph, body, condition):
+    """An = that a filter demands makes an equi-join that finds what comparing all pairs finds."""
+    g = QuadGraph(graph(f"ex:s ex:p {ODD} . ex:t ex:q {ODD} . ex:a ex:r ex:a . _:u ex:r 1 ."), is_set=True)
+    text = f"PREFIX ex: <http://example.org/> SELECT * {{ {body} FILTER(%s) }}"
+    shape = lambda df: re.findall(r"CartesianProduct|NestedLoopJoin", df._jdf.queryExecution().executedPlan().toString())
+    found, all_pairs = (run_query(g, text % c) for c in (condition, f"IF({condition}, true, false)"))
+    rows = lambda r: sorted(map(repr, r.ids().collect()))
+    assert rows(found) == rows(all_pairs)
+    assert not shape(found.ids())
+    if body == "?a ex:p ?x . ?b ex:q ?y":
+        assert shape(all_pairs.ids()) and rows(found)
+
+
+def test_equalities_of_what_may_be_unbound_wait(graph):
+    g = QuadGraph(graph("ex:a ex:p 1 ; ex:z 5 . ex:b ex:p 2 . ex:c ex:q 5 ; ex:z 7 . ex:d ex:q 6 ."), is_set=True)
+    rows = lambda c: sorted(map(repr, run_query(g, f"PREFIX ex: <http://example.org/> SELECT ?a ?b {{ {{ ?a ex:p ?x OPTIONAL {{ ?a ex:z ?z }} }} {{ ?b ex:q ?y }} FILTER({c}) }}").ids().collect()))
+    assert rows("?z = ?y") == rows("IF(?z = ?y, true, false)") and len(rows("?z = ?y")) == 1
+    assert rows("?x = ?y || ?x = 1") == rows("IF(?x = 1, true, false)") and len(rows("RAND() + ?x = ?y")) == 0
+
+
+def test_triple_terms_are_joined_by_their_parts(spark, tmp_path):
+    from quadloom.queries import rows
+
+    spark.createDataFrame([(None, (f"<http://f/{i}>",), rows.COUNTRY, (f"<http://kb.example/country/0{i % 4}>",)) for i in range(40)], "g string, s struct<id:string>, p string, o struct<id:string>").selectExpr(
+        "g", "named_struct('id', s.id, 'kind', 1Y, 'lex', s.id, 'dt', CAST(NULL AS STRING), 'lang', CAST(NULL AS STRING), 'dir', CAST(NULL AS STRING), 'num', CAST(NULL AS DOUBLE), 'ts', CAST(NULL AS TIMESTAMP)) AS s", "p",
+        "named_struct('id', o.id, 'kind', 1Y, 'lex', o.id, 'dt', CAST(NULL AS STRING), 'lang', CAST(NULL AS STRING), 'dir', CAST(NULL AS STRING), 'num', CAST(NULL AS DOUBLE), 'ts', CAST(NULL AS TIMESTAMP)) AS o").write.parquet(f"{tmp_path}/quads.parquet")
+    df = rows.QUERIES["fn_triples"](spark, str(tmp_path))
+    assert "CartesianProduct" not in df._jdf.queryExecution().executedPlan().toString() and df.count() == 30
